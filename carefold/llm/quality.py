@@ -10,13 +10,14 @@ Everything is computed within the row it belongs to: no shuffle, no Python, and
 sorting a row's own window hashes (only where a hash set shows that any window repeats), n log n in its words.
 
 Defined results: null and empty texts have no words and are rejected; rows are independent, so repeated rows, null
-doc_ids and ties need no rule; an empty table gives an empty result; ``cascade`` keeps extra columns (names that begin
-with _q_ are reserved).
+doc_ids and ties need no rule; an empty table gives an empty result; ``cascade`` keeps extra columns, but for ones
+named like a feature, which it replaces.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,45 +47,45 @@ RULES = (
 )
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once however often (and in however many lambdas) body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(text: Column) -> Column:
+    """Words in 3-word windows that occur twice or more in the text."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+
+    def windows(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 3)
+        return F.when(F.size(w) >= 3, F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+
+    def repeated(k: Column) -> Column:
+        ordered = F.array_sort(F.transform(k, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(k)) < F.size(k), _with(ordered, count))
+
+    def count(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+        twice = F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    return F.coalesce(_with(_with(words, windows), repeated), F.lit(0))
+
+
 def with_features(docs: DataFrame, names: set[str]) -> DataFrame:
     """Adds the named features of column text; null counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.columns
-    out = docs
-    plain: dict[str, Column] = {
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
+    every = {
+        "n_words": F.regexp_count(text, F.lit(f"[^{SPACES}]+")),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": _with(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))),
         "n_capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
+        "n_repeat_words": _repeat_words(text),
     }
-    out = out.withColumns({n: plain[n].cast("long") for n in sorted(names & set(plain))})
-    if names & {"n_lines", "n_dup_lines"}:
-        out = out.withColumn("_q_lines", F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]")))
-        out = out.withColumns(
-            {"n_lines": F.size("_q_lines").cast("long"), "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long")}
-        )
-    if "n_repeat_words" in names:
-        words = F.regexp_extract_all(text, F.lit(f"[^{SPACES}]+"), F.lit(0))
-        out = out.withColumn("_q_words", F.transform(words, lambda w: F.xxhash64(w)))
-        # The columns of each step are used more than once in the next, so the optimiser keeps the steps apart and
-        # no array is computed again for each of its elements.
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size("_q_words") - 3),
-            lambda i: F.xxhash64(F.get("_q_words", i), F.get("_q_words", i + 1), F.get("_q_words", i + 2)),
-        )
-        out = out.withColumn("_q_windows", F.when(F.size("_q_words") >= 3, windows).otherwise(F.array().cast("array<long>")))
-        ordered = F.array_sort(F.transform("_q_windows", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-        out = out.withColumn("_q_sorted", F.when(F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"), ordered))
-        repeated = F.filter(
-            "_q_sorted",
-            lambda x, j: F.coalesce(x["k"] == F.get("_q_sorted", j - 1)["k"], F.lit(False))
-            | F.coalesce(x["k"] == F.get("_q_sorted", j + 1)["k"], F.lit(False)),
-        )
-        places = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-        out = out.withColumn("n_repeat_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long"))
-        out = out.withColumn("n_words", F.size("_q_words").cast("long"))
-    elif "n_words" in names:
-        out = out.withColumn("n_words", F.regexp_count(text, F.lit(f"[^{SPACES}]+")).cast("long"))
-    return out.select(*own, *sorted(names))
+    return docs.withColumns({n: every[n].cast("long") for n in sorted(names)})
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -109,7 +110,7 @@ def cascade(docs: DataFrame, ordered: list[Rule]) -> DataFrame:
     """The rows of ``docs``, all columns, that every rule keeps; a rule sees only what those before it kept."""
     own = docs.columns
     for rule in ordered:
-        docs = with_features(docs.select(*own), set(rule.needs)).filter(~F.coalesce(F.expr(rule.rejects), F.lit(False)))
+        docs = with_features(docs, set(rule.needs)).filter(~F.expr(rule.rejects))
     return docs.select(*own)
 
 
@@ -135,7 +136,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 g AS (
   SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) >= 3),

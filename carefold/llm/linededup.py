@@ -21,10 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carefold.llm._common import join_with_hot_keys, materialize, table, text_key
+from carefold.llm._common import ASCII_SPACE, join_with_hot_keys, materialize, table, text_key
 
 MIN_CHARS = 10
 
@@ -32,16 +33,35 @@ MIN_CHARS = 10
 NO_ID = -(1 << 63)
 
 
-def line_key(line: Column) -> Column:
-    stripped = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def line_keys(text: str, min_chars: int) -> tuple[list[int], list[bytes]]:
+    """Positions and 128-bit key hashes of the lines whose key has at least ``min_chars`` code points."""
+    at, hashes = [], []
+    for i, line in enumerate(text.encode().split(b"\n")):
+        key = line.strip(ASCII_SPACE).lower()  # bytes: A-Z only
+        if len(key) >= 4 * min_chars or len(key) >= min_chars and len(key.decode()) >= min_chars:
+            at.append(i)
+            hashes.append(xxhash.xxh3_128_digest(key))
+    return at, hashes
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, row, pos, h): the lines of at least ``min_chars`` code points; h is a 128-bit hash of the key."""
-    lines = docs.select("doc", "row", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc", "row", "pos", line_key(F.col("line")).alias("k")).filter(F.length("k") >= min_chars)
-    return keys.select("doc", "row", "pos", F.unhex(F.md5("k")).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, at, hashes = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                places, found = line_keys(text.as_py(), min_chars)
+                of += [i] * len(places)
+                at += places
+                hashes += found
+            rows = pa.array(of, pa.int64())
+            yield pa.record_batch(
+                [batch.column("doc").take(rows), batch.column("row").take(rows), pa.array(at, pa.int32()), pa.array(hashes, pa.binary())],
+                ["doc", "row", "pos", "h"],
+            )
+
+    return docs.mapInArrow(run, "doc long, row long, pos int, h binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

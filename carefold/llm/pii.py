@@ -108,7 +108,7 @@ def luhn(number: Column) -> Column:
     """Does the string of digits pass the Luhn test?"""
 
     def value(c: Column, i: Column) -> Column:
-        d = c.cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
+        d = c.try_cast("int") * F.when(i % 2 == 1, 2).otherwise(1)  # a span without digits gives one empty string
         return F.when(d > 9, d - 9).otherwise(d)
 
     total = F.aggregate(F.transform(F.split(F.reverse(number), ""), value), F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0)))

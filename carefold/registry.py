@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.plans import catalog
+from carefold.plans import catalog, frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalog.queries()
+    return catalog.queries() | frames.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql()
+    return catalog.oracle_sql() | frames.oracle_sql()

@@ -36,7 +36,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carefold.llm._arrays import LETTER, SPACE, character_classes, code_points
 from carefold.llm._common import shared_dir, table, text_key
 
 END_ID = 2
@@ -91,27 +90,38 @@ class Words(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return self._put(piece, ids)
+        return self._put(piece, np.array(ids, dtype="<u4").tobytes())
 
-    def _put(self, piece: str, ids: list[int]) -> bytes:
-        packed = np.array(ids, dtype="<u4").tobytes()
+    def _put(self, piece: str, packed: bytes) -> bytes:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed
         return packed
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list({p for p in pieces if p not in self})
+    def learn(self, pieces: list[str], narrow: bool) -> None:
+        """Remember the ids of new pieces; those of letters only, in a ``narrow`` text, are words and go as one text."""
+        new = [p for p in set(pieces) if p not in self]
+        if narrow and (letters := [p for p in new if p.isalpha()]):
+            found = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            data, at = ids.tobytes(), 0
+            for piece, end in zip(letters, ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist(), strict=True):
+                self._put(piece, data[at:end])
+                at = end
+            new = [p for p in new if not p.isalpha()]
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._put(piece, found.ids)
+            self._put(piece, np.array(found.ids, dtype="<u4").tobytes())
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = split(text)
-        self.learn(pieces)
+        pieces, narrow = split(text)
+        self.learn(pieces, narrow)
         return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
 
 
@@ -121,30 +131,31 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def split(text: str) -> list[str]:
+#: The letters in lower case and the white space among the characters below U+0100.
+_LETTERS, _SPACES = "a-zªµºß-öø-ÿ", r"\x09-\x0D\x20\x85\xA0"
+
+_RUNS = re.compile(f"[^{_SPACES}]+")
+_PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}{_SPACES}]+")
+
+
+def split(text: str) -> tuple[list[str], bool]:
     r"""Pieces of the text that the vocabulary's normaliser and pre-tokenizer treat apart from each other.
 
     They always cut at white space. Between letters and other characters they cut too, unless an apostrophe
     is near (contractions) or characters compose or change their number in lower case; texts with characters
-    from U+0100 on are therefore cut at ASCII white space only.
+    from U+0100 on are therefore cut at ASCII white space only. The flag tells that there are none.
     """
-    cps = code_points(text)
-    if not len(cps):
-        return []
-    if cps.max() >= 0x100:
-        return re.findall(r"[^\x20\x09-\x0D]+", text)
-    kind = character_classes()[cps]
-    space, letter = kind == SPACE, kind == LETTER
-    cut = (space[1:] != space[:-1]) | (letter[1:] != letter[:-1])
-    near = cps == 0x27
-    if near.any():  # the whole run around an apostrophe stays in one piece
-        run = np.cumsum(np.concatenate([[0], (space[1:] != space[:-1]).astype(np.int64)]))
-        kept = np.isin(run, run[near])
-        cut &= ~(kept[1:] & kept[:-1])
-    edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(cps)]])
-    use = ~space[edges[:-1]]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return re.findall(r"[^\x20\x09-\x0D]+", text), False
     low = text.lower()
-    return [low[s:e] for s, e in zip(edges[:-1][use].tolist(), edges[1:][use].tolist(), strict=True)]
+    if "'" not in low:
+        return _PIECES.findall(low), True
+    pieces = []
+    for run in _RUNS.findall(low):  # a run with an apostrophe stays in one piece
+        pieces += [run] if "'" in run else _PIECES.findall(run)
+    return pieces, True
 
 
 def write(docs: DataFrame, vocabulary: str, to: str, end_id: int = END_ID) -> DataFrame:

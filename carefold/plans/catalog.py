@@ -178,12 +178,14 @@ DIALECTS = {
         "DAYS": "datediff({1}, {0})",
         "REPLACE": "regexp_replace({0}, r'{1}', '{2}')",
         "SHA": "sha2({0}, 256)",
+        "WORDS": "explode(split({0}, ' '))",
     },
     "duckdb": {
         "LISTAGG": "string_agg({0}, {1} ORDER BY {2})",
         "DAYS": "date_diff('day', {0}, {1})",
         "REPLACE": "regexp_replace({0}, '{1}', '{2}', 'g')",
         "SHA": "sha256({0})",
+        "WORDS": "unnest(string_split({0}, ' '))",
     },
 }
 
@@ -209,12 +211,12 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(re.sub(r"\{(?=[0-9,])|(?<=[0-9])\}", lambda m: m[0] * 2, text), **found)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, sql=sql: run(spark, sf_dir, sql) for name, sql in QUERIES.items()}
+def queries(of: dict[str, str] = QUERIES) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, sql=sql: run(spark, sf_dir, sql) for name, sql in of.items()}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {name: spelled(with_views(sql), "duckdb").replace("regexp_like(", "regexp_matches(") for name, sql in QUERIES.items()}
+def oracle_sql(of: dict[str, str] = QUERIES) -> dict[str, str]:
+    return {name: spelled(with_views(sql), "duckdb").replace("regexp_like(", "regexp_matches(") for name, sql in of.items()}
 
 
 #: For callers who want the vocabulary without a session.

@@ -139,6 +139,19 @@ VIEWS = {
       JOIN v_patient p ON p.patient_id = l.relative_id
       WHERE f.resource_type = 'Condition' AND f.status = 'active'
       GROUP BY l.patient_id, l.relative_id, l.relation, l.consent, p.name""",
+    "v_episode": """
+      SELECT *, lead(valid_from) OVER (PARTITION BY patient_id, resource_type, subject ORDER BY valid_from, id) AS valid_to,
+             lead(id) OVER (PARTITION BY patient_id, resource_type, subject ORDER BY valid_from, id) AS next_id
+      FROM v_fact WHERE status <> 'retracted'""",
+    "v_edge": """
+      SELECT id AS source, next_id AS target, 'SAME_SUBJECT' AS kind FROM v_episode WHERE next_id IS NOT NULL
+      UNION ALL SELECT fact_id, evidence_id, 'CONFLICTS' FROM v_allergy_card""",
+    "v_decision": """
+      SELECT event_id AS seq, user_id AS pending_id, CASE WHEN event_type = 'error' THEN 'reject' ELSE 'approve' END AS decision FROM events""",
+    "v_first_decision": "SELECT pending_id, min(seq) AS first FROM v_decision GROUP BY pending_id",
+    "v_term": """
+      SELECT p_partkey AS seq, lower(p_name) AS term, CASE WHEN p_partkey % 6 = 0 THEN 'no known class' ELSE class END AS class
+      FROM part JOIN d_drug ON n = p_partkey % 41""",
     "v_card": """
       SELECT * FROM v_allergy_card UNION ALL SELECT * FROM v_gap_card UNION ALL SELECT * FROM v_risk_card UNION ALL SELECT * FROM v_hereditary_card""",
 }

@@ -178,6 +178,7 @@ DIALECTS = {
         "DAYS": "datediff({1}, {0})",
         "REPLACE": "regexp_replace({0}, r'{1}', '{2}')",
         "SHA": "sha2({0}, 256)",
+        "LINES": r"posexplode(split({0}, '\n')) AS (place, line)",
         "WORDS": "explode(split({0}, ' '))",
     },
     "duckdb": {
@@ -185,6 +186,7 @@ DIALECTS = {
         "DAYS": "date_diff('day', {0}, {1})",
         "REPLACE": "regexp_replace({0}, '{1}', '{2}', 'g')",
         "SHA": "sha256({0})",
+        "LINES": "generate_subscripts(string_split({0}, chr(10)), 1) - 1 AS place, unnest(string_split({0}, chr(10))) AS line",
         "WORDS": "unnest(string_split({0}, ' '))",
     },
 }

@@ -22,6 +22,13 @@ LOOKS_ACUTE = "(" + " OR ".join(f"position('{w}' IN lower(subject)) > 0" for w i
 #: What a person asks for by name.
 TARGETS = ["metformin", "high ldl", "stroke or heart", "zzz"]
 
+# Words in the last column of a printed result.
+FLAG_WORDS = ["HIGH", "LOW", "NORMAL", "CRITICAL", "ABNORMAL", "BORDERLINE"]
+
+#: A line of "Name: value" pairs with two or more spaces between them.
+_PAIR = "[A-Z][A-Za-z ]{1,24}: *"
+PAIRS = f"^{_PAIR}[^: ][^:]{{0,39}}(  +{_PAIR}[^: ][^:]{{0,39}})*$"
+
 QUERIES = {
     # Charts of one patient's facts, for all patients at once.
     "graph_layout": f"""
@@ -75,6 +82,23 @@ QUERIES = {
                CAST(coalesce(sum(facts), 0) AS BIGINT) AS facts
         FROM (SELECT source, trim(coalesce(text, '')) = '' AS failed, CASE WHEN trim(coalesce(text, '')) <> '' THEN n END AS facts
               FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM v_fact GROUP BY doc_id) f ON f.doc_id = documents.doc_id) GROUP BY source""",
+    # Headings, name-value lines, printed result tables and paragraphs of a document. A table starts at lines "Test" and
+    # "Result", has three more header lines, and goes on by five lines a row while the fifth is a flag's word.
+    "document_blocks": f"""
+        SELECT doc_id, block, kind, @LISTAGG[line|' '|place] AS content FROM (
+          SELECT *, CAST(sum(CASE WHEN kind = former AND kind <> 'heading' AND nth > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY place) AS BIGINT) AS block
+          FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY place) AS former FROM (
+            SELECT doc_id, place, line, nth, CASE WHEN line = '' AND NOT in_table THEN 'blank' WHEN in_table THEN 'table' WHEN regexp_like(raw, '{PAIRS}') AND position('. ' IN raw) = 0 THEN 'pairs'
+                   WHEN regexp_like(line, '^[A-Z0-9]') AND NOT regexp_like(line, '[.,]$') AND NOT regexp_like(line, '^{_PAIR}[^ ]')
+                        AND length(line) <= 60 AND length(line) - length(replace(line, ' ', '')) < 9 THEN 'heading' ELSE 'paragraph' END AS kind
+            FROM (SELECT *, header IS NOT NULL AND coalesce(nth < 5 OR nth < coalesce(min(CASE WHEN nth >= 5 AND nth % 5 = 4 AND upper(line) NOT IN ({", ".join(f"'{w}'" for w in FLAG_WORDS)}) THEN nth - 4 END)
+                                OVER (PARTITION BY doc_id, header), last + 1 - (last + 1) % 5), false) AS in_table
+                  FROM (SELECT *, coalesce(place - header, place + 1) AS nth, max(place - header) OVER (PARTITION BY doc_id, header) AS last
+                        FROM (SELECT *, max(CASE WHEN lower(line) = 'test' AND lower(next) = 'result' THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS header
+                              FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS next
+                                    FROM (SELECT doc_id, place, trim(line) AS raw, trim(@REPLACE[line|\\s+| ]) AS line
+                                          FROM (SELECT doc_id, @LINES[text] FROM documents)))))))))
+        WHERE kind <> 'blank' GROUP BY doc_id, block, kind""",
     # Approval: a proposal to forget a fact is decided once; later decisions change nothing.
     "approvals_once": """
         SELECT d.seq, d.pending_id, d.decision, CASE WHEN d.seq > o.first THEN 'already decided' WHEN d.decision = 'reject' THEN 'rejected'

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries that meet a batch of rows at a time, and rows of such a batch.
+BLOCK = 256
+ROWS = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     """The inner product of two arrays of numbers, in double precision."""
@@ -26,3 +34,54 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_column: str = "vec_
     asked = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.select(F.col(id_column).alias("id"), cosine(F.col(vector_column), asked).alias("similarity"))
     return scored.filter("similarity IS NOT NULL").orderBy(F.desc("similarity"), "id").limit(k)
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(query_id, id, similarity): for each row of ``queries`` its ``k`` most similar rows of ``vectors``, ties by id.
+
+    Every pair is compared, the row itself included; ids are longs and not null. Queries are grouped into blocks of
+    about BLOCK, each pair of a block and a part of the rows is one task's work and gives the block's best k there;
+    these meet in a shuffle on the query.
+    """
+
+    def grouped(rows: DataFrame, size: int, name: str) -> DataFrame:
+        n = max(1, -(-rows.count() // size))
+        rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
+        rows = rows.filter("id IS NOT NULL AND vector IS NOT NULL")
+        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}_rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, part in zip(batch.column("block_rows"), batch.column("part_rows"), strict=True):
+                yield best(block.values, part.values)
+
+    def best(block: pa.StructArray, part: pa.StructArray) -> pa.RecordBatch:
+        out: list[tuple] = []
+        ids = part.field("id").to_numpy()
+        by_size: dict[int, list[int]] = {}
+        for i, n in enumerate(part.field("vector").value_lengths().to_pylist()):
+            by_size.setdefault(n, []).append(i)
+        matrices = {}
+        for n, at in by_size.items():
+            rows = np.array([part.field("vector")[i].as_py() for i in at], dtype=np.float64).reshape(len(at), n)
+            norms = np.einsum("ij,ij->i", rows, rows)
+            matrices[n] = rows, norms, ids[at]
+        for query_id, vector in zip(block.field("id").to_pylist(), block.field("vector").to_pylist(), strict=True):
+            if len(vector) not in matrices:
+                continue
+            rows, norms, of = matrices[len(vector)]
+            asked = np.array(vector, dtype=np.float64)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt(norms * (asked @ asked))
+                found = np.where(norm > 0, np.einsum("ij,j->i", rows, asked) / norm, np.nan)
+            fit = np.flatnonzero(~np.isnan(found))
+            first = fit[np.lexsort((of[fit], -found[fit]))[:k]]
+            out += zip([query_id] * len(first), of[first].tolist(), found[first].tolist(), strict=True)
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "id", "similarity"])
+
+    pairs = grouped(queries, BLOCK, "block").crossJoin(grouped(vectors, ROWS, "part"))
+    dealt = pairs.repartition("block", "part").select("block_rows", "part_rows")
+    near = dealt.mapInArrow(run, "query_id long, id long, similarity double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return near.withColumn("place", place).filter(F.col("place") <= k).drop("place")

@@ -39,6 +39,13 @@ def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+def recall_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every row whose id is divisible by 50, among all rows."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = recall.top_k_each(vectors, vectors.filter("vec_id % 50 = 0"), TOP)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 #: A bundle of one laboratory result and one family history per order.
 _BUNDLE = """
     SELECT id, to_json(named_struct('resourceType', 'Bundle', 'entry', array(
@@ -97,6 +104,7 @@ def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "recall_topk": recall_topk,
+    "recall_topk_each": recall_topk_each,
     "fhir_observation": fhir_observation,
     "fhir_family_history": fhir_family_history,
     "csv_labs": csv_labs,
@@ -109,6 +117,11 @@ ORACLE = {
         SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
         FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
         ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT {TOP}""",
+    "recall_topk_each": f"""
+        SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+            FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) AS pairs) AS ranked WHERE place <= {TOP}""",
     "fhir_observation": """
         SELECT id, lower(subject) AS subject, reading, 'mg/dL' AS unit, CASE flag WHEN 'high' THEN 'high' WHEN 'low' THEN 'low' ELSE flag END AS flag,
                valid_from, CAST(patient_id AS VARCHAR) AS patient_ref FROM v_fact""",

@@ -73,6 +73,7 @@ QUERIES = {
         FROM v_fact WHERE resource_type = 'LabResult' AND status <> 'retracted' AND flag IN ('high', 'low')
         GROUP BY patient_id, subject HAVING count(*) > 1 AND @DAYS[min(valid_from)|max(valid_from)] >= 90""",
     "followup_gap": f"SELECT patient_id, summary, {TODAY} AS as_of FROM v_gap_card",
+    "followup_gap_open": f"SELECT patient_id, summary, {TODAY} AS as_of FROM v_gap_open",
     "allergy_conflict": "SELECT patient_id, fact_id, evidence_id, summary FROM v_allergy_card",
     "prescribe_screen": """
         SELECT a.patient_id, p.drug AS proposed, a.id AS allergy_id, a.subject AS allergy
@@ -81,6 +82,9 @@ QUERIES = {
               WHERE drug IN ('amoxicillin', 'azithromycin')) p ON p.class = da.class OR p.grp = ga.grp
         WHERE a.resource_type = 'Allergy' AND a.status = 'active' AND a.predicate <> 'cleared'""",
     "combined_cv_risk": "SELECT patient_id, fact_id, evidence_id, summary FROM v_risk_card",
+    "combined_risk": """
+        SELECT patient_id, fact_id, evidence_id, summary FROM v_risk_card
+        UNION ALL SELECT patient_id, fact_id, evidence_id, summary FROM v_family_risk_card""",
     "hereditary_cards": "SELECT patient_id, evidence_id AS relative_id, summary FROM v_hereditary_card",
     "cards_top5": f"""
         SELECT patient_id, place, indicator, summary FROM (

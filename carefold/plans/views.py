@@ -39,6 +39,12 @@ HEREDITARY = {
 FIRST_DEGREE = ["father", "mother", "brother", "sister", "son", "daughter", "parent", "sibling", "child"]
 ANALYTES = ["hba1c", "ldl", "creatinine", "inr"]
 EARLY_ONSET = 55
+#: What in a later condition follows up an analyte; analytes that the risk check owns are not among them.
+FOLLOWUP = {
+    "hba1c": ["hba1c", "a1c", "diabet", "glycemic", "glycaemic", "endocrin"],
+    "creatinine": ["creatinine", "renal", "kidney", "nephrolog", "egfr"],
+    "inr": ["inr", "warfarin", "anticoag"],
+}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -123,6 +129,19 @@ VIEWS = {
         SELECT 1 FROM v_fact f WHERE f.patient_id = g.patient_id AND f.subject = g.subject
           AND f.resource_type = 'LabResult' AND f.status <> 'retracted' AND f.valid_from > g.last_abnormal)
         AND g.last_abnormal <= DATE '1998-06-30' - 90""",
+    "d_followup": f"SELECT analyte, keyword FROM (VALUES {_values([(a, k) for a, ks in FOLLOWUP.items() for k in ks])}) AS t(analyte, keyword)",
+    "v_followed": """
+      SELECT DISTINCT g.patient_id, g.subject FROM v_gap g JOIN v_fact f ON f.patient_id = g.patient_id AND f.valid_from > g.last_abnormal
+      JOIN d_followup k ON k.analyte = g.subject AND lower(f.subject) LIKE concat('%', k.keyword, '%')
+      WHERE f.resource_type IN ('Condition', 'Procedure') AND f.status <> 'retracted'""",
+    "v_gap_open": """
+      SELECT g.patient_id, concat('no follow-up of ', g.subject) AS summary
+      FROM v_gap g JOIN (SELECT DISTINCT analyte FROM d_followup) a ON a.analyte = g.subject
+      WHERE NOT EXISTS (
+        SELECT 1 FROM v_fact f WHERE f.patient_id = g.patient_id AND f.subject = g.subject
+          AND f.resource_type = 'LabResult' AND f.status <> 'retracted' AND f.valid_from > g.last_abnormal)
+        AND NOT EXISTS (SELECT 1 FROM v_followed d WHERE d.patient_id = g.patient_id AND d.subject = g.subject)
+        AND g.last_abnormal <= DATE '1998-06-30' - 90""",
     "v_risk_card": f"""
       SELECT fam.patient_id, 'warning' AS indicator, 2 AS check_ord, min(fam.id) AS fact_id, min(own.id) AS evidence_id,
              'early cardiovascular disease in the family and an own factor' AS summary
@@ -132,6 +151,11 @@ VIEWS = {
         AND c.category = 'cardiovascular' AND fam.age_at_onset < {EARLY_ONSET} AND own.status <> 'retracted'
         AND (own.resource_type = 'Lifestyle' OR (own.resource_type = 'LabResult' AND own.subject = 'ldl' AND own.flag = 'high'))
       GROUP BY fam.patient_id""",
+    "v_family_risk_card": """
+      SELECT fam.patient_id, 'warning' AS indicator, 2 AS check_ord, fam.id AS fact_id, CAST(NULL AS BIGINT) AS evidence_id,
+             concat('hereditary ', c.category, ' risk by a first-degree relative') AS summary
+      FROM v_fact fam JOIN d_condition c ON c.cond = fam.subject
+      WHERE fam.resource_type = 'FamilyHistory' AND fam.status <> 'retracted' AND fam.relation <> 'uncle' AND c.category <> 'cardiovascular'""",
     "v_hereditary_card": """
       SELECT l.patient_id, 'info' AS indicator, 3 AS check_ord, min(f.id) AS fact_id, min(l.relative_id) AS evidence_id,
              CASE WHEN l.consent THEN concat(l.relation, ' ', p.name, ' has ', min(f.subject)) ELSE concat(l.relation, ' has a heritable condition') END AS summary

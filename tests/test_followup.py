@@ -1,0 +1,51 @@
+"""Follow-up gaps against a loop over each patient's facts."""
+
+from __future__ import annotations
+
+import datetime
+
+import pytest
+
+from carefold import registry
+from carefold.plans.catalog import run
+
+KEYWORDS = {
+    "hba1c": ["hba1c", "a1c", "diabet", "glycemic", "glycaemic", "endocrin"],
+    "creatinine": ["creatinine", "renal", "kidney", "nephrolog", "egfr"],
+    "inr": ["inr", "warfarin", "anticoag"],
+}
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
+def test_later_conditions_close_gaps(spark, sf_dir):
+    facts = [f for f in run(spark, sf_dir, "SELECT * FROM v_fact").collect() if f.status != "retracted"]
+    by_patient: dict[int, list] = {}
+    for f in facts:
+        by_patient.setdefault(f.patient_id, []).append(f)
+    want, by_condition = set(), 0
+    for patient, own in by_patient.items():
+        for analyte, keywords in KEYWORDS.items():
+            labs = [f for f in own if f.resource_type == "LabResult" and f.subject == analyte]
+            days = [f.valid_from for f in labs if f.flag in ("high", "low")]
+            if not days or max(days) > datetime.date(1998, 6, 30) - datetime.timedelta(days=90):
+                continue
+            if any(f.valid_from > max(days) for f in labs):
+                continue
+            if any(f.valid_from > max(days) and f.resource_type in ("Condition", "Procedure") and any(k in f.subject for k in keywords) for f in own):
+                by_condition += 1
+                continue
+            want.add((patient, f"no follow-up of {analyte}"))
+    got = [(r.patient_id, r.summary) for r in registry.queries()["followup_gap_open"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert by_condition, "no gap is closed by a condition here"
+
+
+def test_each_other_relative_has_a_card(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    metabolic, oncologic = {"type 2 diabetes", "diabetes"}, {"breast cancer", "colon cancer"}
+    facts = run(spark, sf_dir, "SELECT * FROM v_fact WHERE resource_type = 'FamilyHistory' AND status <> 'retracted' AND relation <> 'uncle'").collect()
+    want = sorted((f.patient_id, f.id) for f in facts if f.subject in metabolic | oncologic)
+    got = registry.queries()["combined_risk"](spark, sf_dir).collect()
+    heart = registry.queries()["combined_cv_risk"](spark, sf_dir).collect()
+    assert want and sorted((r.patient_id, r.fact_id) for r in got if r.summary.startswith("hereditary ")) == want
+    assert len(got) == len(want) + len(heart)

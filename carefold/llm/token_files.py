@@ -14,7 +14,8 @@ Documents are range-partitioned and sorted by doc_id, so files follow each other
 partition's files are written as it is read. A file is written under a name of its own attempt and renamed when whole,
 so a task that is run again after a lost executor leaves the same files. Files and index go to shared storage.
 
-Defined results: a null or empty text has no ids but the end id; null doc_ids come first; rows that repeat a doc_id
+Defined results: a null or empty text has no ids but the end id; the string of a special token that stands in a text
+becomes that token's id, as the library has it; null doc_ids come first; rows that repeat a doc_id
 are ordered by their text's hash and are records of their own; an empty table gives no files and an empty result;
 extra columns are not written.
 """
@@ -81,13 +82,21 @@ def from_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class Words(dict):
-    """Ids of a piece of text by the tokenizers library, remembered per worker; of bounded size."""
+    """Ids of a piece of text by the tokenizers library, remembered per worker; of bounded size.
+
+    The strings of special tokens are cut out of a text first, as the library does; pieces are then free of them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens must be plain strings that are matched as they stand")
+        self.special = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.tokenizer.encode_special_tokens = True  # a piece in lower case may look like one and is none
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         vocabulary = self.tokenizer.get_vocab()
@@ -120,9 +129,17 @@ class Words(dict):
             self._put(piece, np.array(found.ids, dtype="<u4").tobytes())
 
     def encode(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        out.append(self._plain(text[at:]))
+        return np.frombuffer(b"".join(out), dtype="<u4")
+
+    def _plain(self, text: str) -> bytes:
         pieces, narrow = split(text)
         self.learn(pieces, narrow)
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
+        return b"".join(map(self.__getitem__, pieces))
 
 
 @cache

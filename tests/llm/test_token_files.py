@@ -21,9 +21,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
@@ -32,6 +30,15 @@ def test_any_text(library, text):
     assert token_files.words(PATH).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+_PART = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", "don't", "'", " ", "\n", "é", "e\u0301", "\u0301", "漢", "Word", "7", "İ"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_PART, max_size=12).map("".join))
+def test_special_strings(library, text):
+    assert token_files.words(PATH).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["", " ", "It's we'll I'D", "é é", "A<|endoftext|>B", "12345 a1b2", "ab" * 4000, "x_y-z...", "naïve CAFÉ bar", "ﬁ Å Å"])
 def test_some_texts(library, text):
     assert token_files.words(PATH).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
@@ -60,7 +67,7 @@ def test_payloads():
 def test_written_and_read(spark, library):
     rnd = random.Random(1)
     rows = [(i * 3 % 101, " ".join(rnd.choice(["Word", "it's", "é", "zig"]) for _ in range(rnd.randint(0, 30)))) for i in range(101)]
-    rows += [(200, None), (201, ""), (5, rows[0][1])]
+    rows += [(200, None), (201, ""), (202, "a<|endoftext|>b <|startoftext|>"), (5, rows[0][1])]
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, start int").repartition(3)
     to = shared_dir(spark, "test-files")
     index = token_files.write(docs, PATH, to)

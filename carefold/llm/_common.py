@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carefold.storage import materialize, shared_dir
+
+__all__ = ["ASCII_SPACE", "HOT_PARTS", "join_with_hot_keys", "materialize", "shared_dir", "table", "text_key"]
+
 #: A value with more than this share of all rows is hot; there are at most HOT_PARTS such values.
 HOT_PARTS = 1000
 
@@ -19,28 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
-
-    The folder is read from ``spark.checkpoint.dir``; a temporary one is set only where that is unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="carefold-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: Column) -> Column:
     """Tells rows that repeat a doc_id apart by their text (null counts as empty)."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

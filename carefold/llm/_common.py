@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carefold.storage import materialize, shared_dir
 
-__all__ = ["ASCII_SPACE", "HOT_PARTS", "join_with_hot_keys", "materialize", "shared_dir", "table", "text_key"]
+__all__ = ["ASCII_SPACE", "HOT_PARTS", "join_salted", "join_with_hot_keys", "materialize", "rows_as", "shared_dir", "table", "text_key"]
 
 #: A value with more than this share of all rows is hot; there are at most HOT_PARTS such values.
 HOT_PARTS = 1000
@@ -39,3 +39,26 @@ def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, n: str, tota
     cold = left.filter(F.col("_hot").isNull()).join(right.filter(~is_hot), key, "left")
     warm = left.filter(F.col("_hot").isNotNull()).join(F.broadcast(hot), key)
     return cold.unionByName(warm).drop("_hot", n)
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``, many rows to many, where single keys may hold a third of ``left``'s rows.
+
+    ``left`` is a stored table: its rows are counted. Those of a key with more than a 1/HOT_PARTS share (at most
+    HOT_PARTS keys, whose names alone are broadcast) are dealt over as many parts as a shuffle has, by a hash of the
+    row, and ``right``'s rows of such a key go to each part.
+    """
+    salts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = left.groupBy(key).agg(F.count("*").alias("n_of_key"))
+    hot = counts.filter(F.col("n_of_key") > max(1, left.count() // HOT_PARTS)).select(key, F.lit(True).alias("is_hot"))
+    hot = F.broadcast(materialize(hot, "hot-keys"))
+    part = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")).otherwise(0)
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(hot, key, "left").withColumn("part", part).drop("is_hot")
+    copied = right.join(hot, key, "left").withColumn("part", F.explode(parts)).drop("is_hot")
+    return dealt.join(copied, [key, "part"]).drop("part")
+
+
+def rows_as(docs: DataFrame, name: str = "r") -> DataFrame:
+    """``docs`` with each row as one struct, so that its column names meet no others; ``select("r.*")`` undoes it."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(name))

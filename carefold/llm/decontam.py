@@ -1,25 +1,31 @@
 """Benchmark decontamination (operator 8): greedy string tiling of documents against test items.
 
-Method. Word grams that a document shares with an item are seeds. From them, for each document and item that share
-one, the longest matches are marked first, again and again: a match covers words that no earlier match has taken, in
-the document and in the item, and what a longer match leaves over of a shorter one is tried again. Grams are found by
-running Karp-Rabin hashes. The share of an item's words that its tiles cover is the test: at ``threshold`` or more
-the document is contaminated. Tiles may come in any order, so reordered passages are caught like straight ones.
-
-Distribution: test items are a query set that is much smaller than the corpus. They go to the tasks in blocks of
-at most BLOCK_WORDS words, each block against all documents in one pass without a shuffle; most documents share no
-gram with a block and leave the task with nothing but a vectorised look-up. Results of the blocks are aggregated.
+Method. Word grams that a document shares with an item are seeds. For each document and item that may share enough,
+the longest match is marked first, again and again: a match covers words that no earlier match has taken, in the
+document and in the item; of equally long ones the first in the document goes first, then the first in the item.
+Matches of a length are found by running Karp-Rabin hashes over the windows that are still free, and the longest
+length by halving. The share of an item's words that its tiles cover is the test: at ``threshold`` or more the
+document is contaminated. Tiles may come in any order, so reordered passages are caught like straight ones.
+
+Distribution. Items never go through the driver. Their grams are a table; a bitmap of it (two bits a gram, at most
+BITS in all whatever the benchmark's size, by a bitwise-or aggregation) goes to the tasks that read the documents,
+once and without a shuffle. A document keeps the stretches of words whose grams are in the bitmap; most keep nothing.
+The kept grams meet the items' grams in a shuffle; grams and items that a large share of documents hold are salted.
+A document that covers enough of an item must share some of its rarer grams, so the grams common to many items
+make no pairs by themselves. What meets is streamed to the document's stretches, one item at a time. The work for a
+pair grows with the places of shared grams in the document and the item, not with their product. Equal items
+are one.
 
 Words are runs of characters without ASCII white space and punctuation, in lower case. Defined results: a null or
 empty text has no matches; an item of fewer words than a gram is a gram as a whole; an item without words matches
-nothing; repeated rows are rows of their own; null item_ids are items like any other; equal items each match; an
-empty corpus or benchmark leaves everything clean; extra columns are not read.
+nothing; rows that repeat both doc_id and text are one document; null item_ids are items like any other; equal items each match; an
+empty corpus or benchmark leaves everything clean; ``clean`` keeps extra columns of any name, others are not read.
+Grams, words and items are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carefold.llm._arrays import prefix_sums, range_hash, word_hashes
-from carefold.llm._common import table, text_key
+from carefold.llm._arrays import U64, mix, prefix_sums, ragged, range_hash, word_hashes
+from carefold.llm._common import join_salted, join_with_hot_keys, materialize, rows_as, table, text_key
 
 GRAM = 5
 THRESHOLD = 0.5
 
-#: Words of the items sent to the tasks at once: 2 million make some 100 MB there at most.
-BLOCK_WORDS = 2_000_000
+#: Most bits of the bitmap of grams (16 MB), and bits for each gram below that.
+BITS = 1 << 27
+BITS_PER_GRAM = 32
+
+#: Stands between stretches of a document; no word's hash.
+GAP = U64(0)
 
 #: Fixed value: ASCII punctuation, each turned into a space.
 _TO_SPACE = bytes(0x20 if c < 0x80 and not (chr(c).isalnum()) else c for c in range(256))
@@ -49,130 +59,281 @@ def gram_hashes(hashes: np.ndarray, gram: int) -> np.ndarray:
     return range_hash(prefix_sums(hashes), at, at + gram)
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, pairs: np.ndarray, gram: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of two sequences of word hashes: (place in doc, place in item, length), longest first.
+class Side:
+    """One of two word sequences that are tiled: which words are free, and the hashes of free windows."""
 
-    ``pairs`` are the places (in doc, in item) of equal grams.
-    """
-    order = np.lexsort((pairs[:, 0], pairs[:, 0] - pairs[:, 1]))
-    i, j = pairs[order, 0], pairs[order, 1]
-    run = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(i - j) != 0)]) if len(i) else np.zeros(0, bool)
-    first = np.flatnonzero(run)
-    length = np.diff(np.append(first, len(i))) + gram - 1
-    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), i[first].tolist(), j[first].tolist(), strict=True)]
-    heapq.heapify(heap)
-    in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    out = []
-    while heap and not in_item.all():
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        taken = in_doc[a : a + n] | in_item[b : b + n]
-        if not taken.any():
-            in_doc[a : a + n] = in_item[b : b + n] = True
-            out.append((a, b, n))
+    def __init__(self, words: np.ndarray):
+        self.prefix = prefix_sums(words)
+        self.taken = np.zeros(len(words) + 1, dtype=np.int64)
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of n free words."""
+        before = np.concatenate([[0], np.cumsum(self.taken[:-1])])
+        at = np.flatnonzero(before[n:] == before[: len(before) - n])
+        return at, range_hash(self.prefix, at, at + n)
+
+    def is_free(self, at: int, n: int) -> bool:
+        return not self.taken[at : at + n].any()
+
+    def take(self, at: int, n: int) -> None:
+        self.taken[at : at + n] = 1
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, gram: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of two sequences of word hashes: (place in doc, place in item, length), longest first."""
+    a, b = Side(doc), Side(item)
+    out: list[tuple[int, int, int]] = []
+
+    def meet(n: int) -> bool:
+        return bool(np.isin(b.windows(n)[1], a.windows(n)[1]).any())
+
+    most = min(len(doc), len(item))
+    while most >= gram and meet(gram):
+        low = gram
+        while low < most:  # the longest length at which windows meet; shorter ones meet there too
+            middle = (low + most + 1) // 2
+            low, most = (middle, most) if meet(middle) else (low, middle - 1)
+        out += _mark(a, b, low)
+        most = low - 1
+    return out
+
+
+def _mark(a: Side, b: Side, n: int) -> list[tuple[int, int, int]]:
+    """Take all matches of n words, n being the longest length of any."""
+    at, hashes = a.windows(n)
+    places: dict[int, list[int]] = {}
+    for j, h in zip(*(x[::-1].tolist() for x in b.windows(n)), strict=True):
+        places.setdefault(h, []).append(j)  # the first is last
+    known = np.isin(hashes, np.array(list(places), dtype=U64))
+    out, free_from = [], 0
+    for i, h in zip(at[known].tolist(), hashes[known].tolist(), strict=True):
+        if i < free_from:
             continue
-        free = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))  # begin, end, begin, ...
-        for s, e in zip(free[::2].tolist(), free[1::2].tolist(), strict=True):
-            if e - s >= gram:
-                heapq.heappush(heap, (s - e, a + s, b + s))
+        left = places[h]
+        while left and not b.is_free(left[-1], n):
+            left.pop()
+        if left:
+            j = left.pop()
+            a.take(i, n)
+            b.take(j, n)
+            out.append((i, j, n))
+            free_from = i + n
     return out
 
 
-class Items:
-    """The items of a block: their words, and the sorted hashes of their grams with the places that have them."""
-
-    def __init__(self, rows: list[tuple[int, str | None]], gram: int):
-        self.ids = [i for i, _ in rows]
-        self.words = [word_hashes(words_of(t)) for _, t in rows]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        sized = defaultdict(list)
-        for k, w in enumerate(self.words):
-            if len(w):
-                sized[min(gram, len(w))].append(k)
-        for size, items in sized.items():
-            hashes = [gram_hashes(self.words[k], size) for k in items]
-            flat = np.concatenate(hashes)
-            order = np.argsort(flat, kind="stable")
-            which = np.repeat(items, [len(h) for h in hashes])[order]
-            place = np.concatenate([np.arange(len(h)) for h in hashes])[order]
-            self.by_size[size] = flat[order], which, place
-
-    def match(self, doc: np.ndarray) -> list[tuple[int, float, int]]:
-        """(item's number, share of its words covered, longest tile) for the items that share a gram."""
-        out = []
-        for size, (hashes, which, place) in self.by_size.items():
-            own = gram_hashes(doc, size)
-            low = np.searchsorted(hashes, own)
-            hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
-            if not len(hit):
-                continue
-            count = np.searchsorted(hashes, own[hit], side="right") - low[hit]
-            at = np.repeat(low[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            doc_at = np.repeat(hit, count)
-            for k in np.unique(which[at]).tolist():
-                mine = which[at] == k
-                found = tiles(doc, self.words[k], np.stack([doc_at[mine], place[at][mine]], axis=1), size)
-                out.append((k, sum(n for _, _, n in found) / len(self.words[k]), max(n for _, _, n in found)))
-        return out
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of at most ``most`` words, read one partition at a time; a larger item is its own block."""
-    held, n = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        size = len(words_of(row[1]))
-        if held and n + size > most:
-            yield held
-            held, n = [], 0
-        held.append((row[0], row[1]))
-        n += size
-    if held:
-        yield held
-
-
-MATCHES = "doc_id long, row long, item_id long, coverage double, longest long"
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, most: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, row, item_id, coverage, longest) for each document and item that share a gram; row tells documents
-    of one doc_id apart."""
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("row"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], MATCHES)
-    for rows in blocks(benchmark, most):
-        shared = spark.sparkContext.broadcast(Items(rows, gram))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                found, of = [], []
-                for i, text in enumerate(batch.column("text")):
-                    for match in items.match(word_hashes(words_of(text.as_py()))):
-                        found.append(match)
-                        of.append(i)
-                at = pa.array(of, pa.int64())
+class Stretches:
+    """What a document may share with any item, and its grams in order of their hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in self.by_size:
+            found = gram_hashes(self.words, size)
+            order = np.argsort(found, kind="stable")
+            self.by_size[size] = found[order], order
+        return self.by_size[size]
+
+    def cover(self, item: np.ndarray, gram: int, need: int) -> tuple[int, int] | None:
+        """(words of the item that tiles cover, longest tile); None if fewer than ``need`` can be covered."""
+        size = min(gram, len(item))
+        own = gram_hashes(item, size)
+        hashes, order = self.grams(size)
+        low, high = (np.searchsorted(hashes, own, side=s) for s in ("left", "right"))
+        hit = np.flatnonzero(high > low)
+        if np.count_nonzero(_spread(hit, size, len(item))) < need:
+            return None
+        _, once = np.unique(own[hit], return_index=True)
+        at = np.sort(order[ragged(low[hit][once], (high - low)[hit][once])])
+        found = tiles(_cut_out(self.words, _spread(at, size, len(self.words))), item, size)
+        covered = sum(n for _, _, n in found)
+        return (covered, found[0][2]) if covered >= need else None
+
+
+def _spread(at: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of n places lie in a gram that starts at one of ``at``."""
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + size, -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def _cut_out(words: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The words to keep, with a GAP wherever others stood between them."""
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return words[:0]
+    gap = np.flatnonzero(np.diff(at) > 1) + 1
+    return np.insert(words[at], gap, GAP)
+
+
+def _slots(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each gram in a bitmap."""
+    mask = U64(bits - 1)
+    return grams & mask, mix(grams) & mask
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, words) for each distinct sequence of words, and (item, item_id) for those that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word_hashes(words_of(t.as_py())) for t in batch.column("text")]
+            key = [range_hash(prefix_sums(w), np.array([0]), np.array([len(w)])).view(np.int64)[0] if len(w) else None for w in words]
+            yield pa.record_batch(
+                [pa.array(key, pa.int64()), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary())], ["item", "item_id", "words"]
+            )
+
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item long, item_id long, words binary")
+    rows = materialize(rows.filter("item IS NOT NULL"), "benchmark-items")
+    return rows.select("item", "words").dropDuplicates(["item"]), rows.select("item", "item_id")
+
+
+def _item_grams(items: DataFrame, gram: int, threshold: float) -> DataFrame:
+    """(gram, item, size, places, spare): the grams of each item; any ``spare`` places may be left out as seeds.
+
+    A tile of n words has n - size + 1 >= n / size grams, so tiles over ``need`` words have need / size grams at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column("item").to_pylist(), batch.column("words"), strict=True):
+                words = np.frombuffer(data.as_py(), dtype=U64)
+                size = min(gram, len(words))
+                found, places = np.unique(gram_hashes(words, size), return_counts=True)
+                spare = max(0, -(-_need(len(words), threshold) // size) - 1)
+                n = len(found)
                 yield pa.record_batch(
-                    [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array([items.ids[k] for k, _, _ in found], pa.int64()),
-                     pa.array([c for _, c, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int64())],
-                    MATCHES.replace(",", "").split()[::2],
+                    [pa.array(found.view(np.int64)), pa.array(np.full(n, item)), pa.array(np.full(n, size, np.int32)), pa.array(places.astype(np.int32)),
+                     pa.array(np.full(n, spare, np.int64))],
+                    ["gram", "item", "size", "places", "spare"],
                 )
 
-        out = out.unionByName(keyed.mapInArrow(run, MATCHES))
+    return items.mapInArrow(run, "gram long, item long, size int, places int, spare long")
+
+
+def _need(n_words: int, threshold: float) -> int:
+    """The least number of words that are ``threshold`` of an item, and one at least."""
+    need = max(1, math.floor(threshold * n_words) - 1)
+    while need / n_words < threshold:
+        need += 1
+    return need
+
+
+def _seeds(grams: DataFrame) -> DataFrame:
+    """(gram, item): what a document that covers enough of an item must share one of; the most common are left out."""
+    items_of = materialize(grams.groupBy("gram").agg(F.count("*").alias("n_items")), "gram-counts")
+    counted = join_with_hot_keys(grams, items_of.withColumn("n", F.col("n_items")), "gram", "n", grams.count())
+    order = Window.partitionBy("item").orderBy(F.desc("n_items"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("so_far", F.sum("places").over(order)).filter("so_far > spare").select("gram", "item")
+
+
+def _bitmap(grams: DataFrame, n: int, most: int) -> np.ndarray:
+    """The bitmap of the grams, in words of 64 bits; its size has a fixed bound."""
+    bits = 1 << max(6, min(most.bit_length() - 1, (BITS_PER_GRAM * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.unique(np.concatenate(_slots(batch.column("gram").to_numpy().view(U64), bits)))
+            at, value = slots >> U64(6), U64(1) << (slots & U64(63))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            value = np.bitwise_or.reduceat(value, first) if len(at) else value
+            yield pa.record_batch([pa.array(at[first].view(np.int64)), pa.array(value.view(np.int64))], ["at", "bits"])
+
+    found = grams.select("gram").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, dtype=U64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U64)
     return out
 
 
+def _stretches(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(doc, row, words, grams): the documents that have grams in the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def within(grams: np.ndarray) -> np.ndarray:
+            known = np.ones(len(grams), bool)
+            for slot in _slots(grams, len(bits) << 6):
+                known &= (bits[slot >> U64(6)] >> (slot & U64(63)) & U64(1)).astype(bool)
+            return known
+
+        for batch in batches:
+            of, words, grams = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                own = word_hashes(words_of(text.as_py()))
+                keep, met = np.zeros(len(own), bool), []
+                for size in sizes:
+                    found = gram_hashes(own, size)
+                    hit = np.flatnonzero(within(found))
+                    if len(hit):
+                        keep |= _spread(hit, size, len(own))
+                        met.append(found[hit])
+                if met:
+                    of.append(i)
+                    words.append(_cut_out(own, keep).tobytes())
+                    grams.append(np.unique(np.concatenate(met)).view(np.int64))
+            ends = np.cumsum([0] + [len(g) for g in grams]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *grams])))
+            at = pa.array(of, pa.int64())
+            yield pa.record_batch([batch.column("doc").take(at), batch.column("row").take(at), pa.array(words, pa.binary()), listed], ["doc", "row", "words", "grams"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), text_key(F.col("text").cast("string")).alias("row"), F.col("text").cast("string"))
+    return keyed.mapInArrow(run, "doc long, row long, words binary, grams array<long>").dropDuplicates(["doc", "row"])
+
+
+def _tiled(stretches: DataFrame, pairs: DataFrame, gram: int, threshold: float) -> DataFrame:
+    """(doc, row, item, coverage, longest) for the pairs that reach the threshold.
+
+    A document's stretches come first and its items after them, one row each: a task holds one document at a time.
+    """
+    both = stretches.select("doc", "row", F.lit(None).cast("long").alias("item"), "words").unionByName(pairs.select("doc", "row", "item", "words"))
+    dealt = both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.asc_nulls_first("item"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Stretches(np.zeros(0, U64))
+        for batch in batches:
+            out = []
+            for doc, row, item, data in zip(*(batch.column(c) for c in ("doc", "row", "item", "words")), strict=True):
+                words = np.frombuffer(data.as_py(), dtype=U64)
+                if not item.is_valid:
+                    held = Stretches(words)
+                elif found := held.cover(words, gram, _need(len(words), threshold)):
+                    out.append((doc.as_py(), row.as_py(), item.as_py(), found[0] / len(words), found[1]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.record_batch([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc", "row", "item", "coverage", "longest"])
+
+    return dealt.mapInArrow(run, "doc long, row long, item long, coverage double, longest long")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(doc, row, item, coverage, longest) for each document and distinct item that reach the threshold, and the
+    (item, item_id) that have it. row tells documents of one doc_id apart by their texts; ``threshold`` is above 0."""
+    items, members = _items(benchmark)
+    items = materialize(items, "benchmark-distinct")
+    grams = materialize(_item_grams(items, gram, threshold), "benchmark-grams")
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # numbers up to ``gram``
+    stretches = materialize(_stretches(docs, _bitmap(grams, grams.count(), bits), sizes), "document-stretches")
+    met = materialize(stretches.select("doc", "row", F.explode("grams").alias("gram")), "document-grams")
+    pairs = materialize(join_salted(met, _seeds(grams), "gram").select("doc", "row", "item").distinct(), "document-items")
+    found = _tiled(stretches.select("doc", "row", "words"), join_salted(pairs, items, "item"), gram, threshold)
+    return materialize(found, "document-tiles"), members
+
+
 def report(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, coverage, longest): the contaminated documents with each item that they hold."""
-    return matches(docs, benchmark, gram).filter(F.col("coverage") >= threshold).drop("row")
+    found, members = matches(docs, benchmark, gram, threshold)
+    return join_salted(found, members, "item").select(F.col("doc").alias("doc_id"), "item_id", "coverage", "longest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    bad = matches(docs, benchmark, gram).filter(F.col("coverage") >= threshold)
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_row"))
-    return keyed.join(bad, same, "left_anti").drop("_key")
+    bad = matches(docs, benchmark, gram, threshold)[0].select("doc", "row").distinct()
+    keyed = rows_as(docs).withColumn("key", text_key(F.col("r.text").cast("string")))
+    same = keyed["r"]["doc_id"].cast("long").eqNullSafe(bad["doc"]) & (keyed["key"] == bad["row"])
+    return keyed.join(bad, same, "left_anti").select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

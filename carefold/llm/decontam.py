@@ -33,16 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carefold.llm._arrays import U64, mix, prefix_sums, ragged, range_hash, word_hashes
+from carefold.llm._arrays import U64, prefix_sums, ragged, range_hash, word_hashes
+from carefold.llm._bitmap import BITS, Bitmap, bitmap_of
 from carefold.llm._common import join_salted, join_with_hot_keys, materialize, rows_as, table, text_key
 
 GRAM = 5
 THRESHOLD = 0.5
 
-#: Most bits of the bitmap of grams (16 MB), and bits for each gram below that.
-BITS = 1 << 27
-BITS_PER_GRAM = 32
-
 #: Stands between stretches of a document; no word's hash.
 GAP = U64(0)
 
@@ -168,12 +165,6 @@ def _cut_out(words: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.insert(words[at], gap, GAP)
 
 
-def _slots(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each gram in a bitmap."""
-    mask = U64(bits - 1)
-    return grams & mask, mix(grams) & mask
-
-
 def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item, words) for each distinct sequence of words, and (item, item_id) for those that have it."""
 
@@ -229,37 +220,12 @@ def _seeds(grams: DataFrame) -> DataFrame:
     return counted.withColumn("so_far", F.sum("places").over(order)).filter("so_far > spare").select("gram", "item")
 
 
-def _bitmap(grams: DataFrame, n: int, most: int) -> np.ndarray:
-    """The bitmap of the grams, in words of 64 bits; its size has a fixed bound."""
-    bits = 1 << max(6, min(most.bit_length() - 1, (BITS_PER_GRAM * n).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = np.unique(np.concatenate(_slots(batch.column("gram").to_numpy().view(U64), bits)))
-            at, value = slots >> U64(6), U64(1) << (slots & U64(63))
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-            value = np.bitwise_or.reduceat(value, first) if len(at) else value
-            yield pa.record_batch([pa.array(at[first].view(np.int64)), pa.array(value.view(np.int64))], ["at", "bits"])
-
-    found = grams.select("gram").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits >> 6, dtype=U64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(U64)
-    return out
-
-
-def _stretches(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+def _stretches(docs: DataFrame, bitmap: Bitmap, sizes: list[int]) -> DataFrame:
     """(doc, row, words, grams): the documents that have grams in the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-
-        def within(grams: np.ndarray) -> np.ndarray:
-            known = np.ones(len(grams), bool)
-            for slot in _slots(grams, len(bits) << 6):
-                known &= (bits[slot >> U64(6)] >> (slot & U64(63)) & U64(1)).astype(bool)
-            return known
-
+        known = shared.value
         for batch in batches:
             of, words, grams = [], [], []
             for i, text in enumerate(batch.column("text")):
@@ -267,7 +233,7 @@ def _stretches(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFra
                 keep, met = np.zeros(len(own), bool), []
                 for size in sizes:
                     found = gram_hashes(own, size)
-                    hit = np.flatnonzero(within(found))
+                    hit = np.flatnonzero(known.has(found))
                     if len(hit):
                         keep |= _spread(hit, size, len(own))
                         met.append(found[hit])
@@ -315,7 +281,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold:
     items = materialize(items, "benchmark-distinct")
     grams = materialize(_item_grams(items, gram, threshold), "benchmark-grams")
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # numbers up to ``gram``
-    stretches = materialize(_stretches(docs, _bitmap(grams, grams.count(), bits), sizes), "document-stretches")
+    stretches = materialize(_stretches(docs, bitmap_of(grams, "gram", bits), sizes), "document-stretches")
     met = materialize(stretches.select("doc", "row", F.explode("grams").alias("gram")), "document-grams")
     pairs = materialize(join_salted(met, _seeds(grams), "gram").select("doc", "row", "item").distinct(), "document-items")
     found = _tiled(stretches.select("doc", "row", "words"), join_salted(pairs, items, "item"), gram, threshold)

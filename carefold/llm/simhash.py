@@ -7,10 +7,15 @@ differences add up on the way down, and a pair of groups is dropped as a whole o
 
 Distribution: two fingerprints within ``limit`` bits agree on one of ``limit + 1`` blocks of bits. Each distinct
 fingerprint goes, once per block, to the group of those with equal bits there, and each group gets an index of
-its own. A group holds distinct 64-bit numbers only (copies of a text are one number) and has about one 8,192th of
-them; a group of near copies is no problem either, as two nodes all of whose members are already connected are not
-compared again. Each group returns at most one link per fingerprint, to the least of its component there; links
-meet in a distributed connected-components loop (large star, small star) that writes its state to shared storage.
+its own. Groups hold distinct 64-bit numbers only (copies of a text are one number). A group of more than MAX_GROUP is
+split exactly: two of its members within the limit agree on one of ``limit + 1`` blocks of the bits that the group
+leaves open, too, so its members go on, once per such block, to groups that agree on more bits. What is still
+larger after LEVELS blocks (one dense family) is cut into slices, and each two slices meet in a group of their own. So
+no task ever holds more than a bounded group, and the work per fingerprint stays flat as their number grows.
+
+Two nodes all of whose members are already connected are not compared again. Each group returns at most one link per
+fingerprint, to the least of its component there; links meet in a distributed connected-components loop (large star,
+small star) that writes its state to shared storage.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows are rows
 of one component; the component of null doc_ids is the least non-null doc_id reachable, null if there is none;
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carefold.llm._arrays import U64
-from carefold.llm._common import join_with_hot_keys, materialize, table
+from carefold.llm._common import join_with_hot_keys, materialize, rows_as, table
 
 SHINGLE = 4
 LIMIT = 4
@@ -38,28 +43,41 @@ SEED = 42
 FAN = 16
 #: Groups of more fingerprints are searched piece by piece, so that what is connected already is skipped.
 LARGE = 1024
-#: Rows of complete groups that a task indexes at a time.
+#: Rows of complete groups that a task indexes at a time, and pairs of members that it may expand at a time.
 CHUNK = 1_000_000
+PAIRS = 1 << 22
+#: Larger groups are split by further blocks of bits, up to so many blocks, and then into slices of half this size.
+MAX_GROUP = 8192
+LEVELS = 3
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of the text's word shingles: bit b is set if it is in over half of their hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of the text's word shingles, repeats included; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype=U64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype=U64)
+    return np.array([digest(joined[s:e], SEED) for s, e in spans], dtype=U64)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The number whose bit b is set if it is in over half of the hashes; zero of none."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of the text's word shingles."""
+    return fold(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
@@ -159,7 +177,8 @@ def link_groups(group: np.ndarray, fp: np.ndarray, limit: int = LIMIT) -> tuple[
     top = len(index.levels) - 1
     roots = np.arange(len(index.levels[top][0]))
     small = roots[size <= LARGE]
-    for part in np.array_split(small, max(1, len(small) // 4096)):
+    done = np.cumsum(size[small] ** 2) // PAIRS
+    for part in np.split(small, np.flatnonzero(np.diff(done)) + 1):
         labels = unite(labels, *index.links(top, part, part, limit, labels))
     # Large groups: each node of the third level against itself and those after it, connecting in between.
     for g in np.flatnonzero(size > LARGE).tolist():
@@ -178,24 +197,60 @@ def link_groups(group: np.ndarray, fp: np.ndarray, limit: int = LIMIT) -> tuple[
     return fp.view(np.int64)[other], least[other]
 
 
-def _blocks(limit: int) -> list[tuple[int, int]]:
-    """(shift, width) of limit + 1 blocks that make up the 64 bits."""
-    edges = [64 * i // (limit + 1) for i in range(limit + 2)]
-    return [(s, e - s) for s, e in zip(edges, edges[1:], strict=False)]
+def _finer(mask: int, limit: int) -> list[int]:
+    """``mask`` with each of limit + 1 blocks of its open bits added in turn."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(free) * i // (limit + 1) for i in range(limit + 2)]
+    return [mask | sum(1 << b for b in free[s:e]) for s, e in zip(edges, edges[1:], strict=False)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _groups(nodes: DataFrame, limit: int) -> DataFrame:
+    """(g, fp): groups that have each two fingerprints within the limit in common; g is a hash, so that two groups
+    may fall together, which only adds to what is compared."""
+
+    def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in _finer(m, limit)]))])
+        rows = rows.select("fp", F.explode(F.element_at(finer, F.col("mask"))).alias("mask"))
+        return rows.withColumn("g", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+
+    masks, out = [0], []
+    rows = nodes.select("fp", F.lit(0).cast("long").alias("mask"))
+    for level in range(LEVELS):
+        rows = dealt(rows, masks)
+        masks = [f for m in masks for f in _finer(m, limit)]
+        sizes = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_GROUP)
+        large = materialize(sizes.withColumn("of", F.col("n")), "simhash-large")
+        if large.isEmpty():
+            return _union([*out, rows])
+        met = materialize(join_with_hot_keys(rows, large, "g", "n", rows.count()), "simhash-groups")
+        out.append(met.filter("of IS NULL"))
+        rows = met.filter("of IS NOT NULL")
+    # Slices: each member meets those of its own and of every other slice.
+    slices = F.ceil(F.col("of") * 2 / MAX_GROUP).cast("int")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("fp"), slices)).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    out.append(rows.select("fp", F.xxhash64("g", F.least("slice", "other"), F.greatest("slice", "other")).alias("g")))
+    return _union(out)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].select("g", "fp")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("g", "fp"))
+    return out
 
 
 def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(u, v): links between the distinct fingerprints of ``nodes`` (fp) that give their components."""
-    blocks = _blocks(limit)
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias("key")) for i, (s, w) in enumerate(blocks)])
-    dealt = nodes.select("fp", F.explode(keys).alias("at")).select("fp", "at.*")
-    dealt = dealt.repartition("block", "key").sortWithinPartitions("block", "key")
+    dealt = _groups(nodes, limit).repartition("g").sortWithinPartitions("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 0), dtype=np.int64)
         for batch in batches:
-            group = batch.column("block").to_numpy().astype(np.int64) << 56 | batch.column("key").to_numpy()
-            held = np.concatenate([held, np.stack([group, batch.column("fp").to_numpy()])], axis=1)
+            held = np.concatenate([held, np.stack([batch.column("g").to_numpy(), batch.column("fp").to_numpy()])], axis=1)
             if held.shape[1] >= CHUNK and (held[0] != held[0, -1]).any():
                 whole = int(np.searchsorted(held[0], held[0, -1]))
                 yield linked(held[:, :whole])
@@ -210,7 +265,10 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
-    """(u, root): for each node of ``edges`` (u, v) but the roots themselves, the least node connected to it."""
+    """(u, root): for each node of ``edges`` (u, v) but the roots themselves, the least node connected to it.
+
+    A node that a large share of all edges has, such as the centre of a star, is joined as a hot key.
+    """
     edges = materialize(edges, purpose)
     state = None
     while True:
@@ -220,13 +278,15 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         state = now
         # Large star: every larger neighbour of u links to the least of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, purpose)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        least = materialize(least, purpose)
+        large = join_with_hot_keys(both.filter("v > u"), least, "u", "n", 2 * now[0])
+        large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), purpose)
         # Small star: u and its smaller neighbours link to the least of these.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), purpose)
+        small = join_with_hot_keys(down, least, "u", "n", large.count())
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), purpose)
 
 
@@ -247,8 +307,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT)
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its component; rows that repeat one doc_id all stay."""
     groups = near_duplicates(docs, shingle, limit)
-    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    rows = rows_as(docs)
+    return rows.join(firsts, rows["r"]["doc_id"].cast("long").eqNullSafe(firsts["first"]), "left_semi").select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def brute(docs: list[tuple], items: list[tuple]) -> list[tuple]:
 
 
 @pytest.mark.parametrize("seed,bits", [(1, decontam.BITS), (2, decontam.BITS), (3, 64), (4, 1 << 10)])
-def test_report_like_all_pairs(spark, seed, bits, monkeypatch):
+def test_report_like_all_pairs(spark, seed, bits):
     """Items with a common beginning, documents with parts of items in any order; bitmaps that let grams through."""
     rnd = random.Random(seed)
     template = [f"t{i}" for i in range(9)]
@@ -76,7 +76,6 @@ def test_report_like_all_pairs(spark, seed, bits, monkeypatch):
         rnd.shuffle(parts)
         docs.append((i, " ".join(sum(parts, []))))
     docs += [(100, "A b, a b" * 40), (None, items[0][1]), (101, None), (7, docs[8][1]), (7, docs[8][1]), (102, "one")]
-    monkeypatch.setattr(decontam, "BITS", bits)
     found, members = decontam.matches(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), bits=bits
     )

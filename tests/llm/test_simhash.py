@@ -80,6 +80,40 @@ def test_index_gives_all_components(n, seed):
     assert (simhash.unite(np.arange(len(fp)), i, j) == labels).all()
 
 
+@pytest.mark.parametrize("most,levels", [(4, 1), (4, 3), (40, 2), (40, 3), (100_000, 3)])
+def test_split_groups_give_all_components(spark, monkeypatch, most, levels):
+    """Groups above the bound: by further blocks of bits, and in slices."""
+    monkeypatch.setattr(simhash, "MAX_GROUP", most)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
+    rng = np.random.default_rng(most + levels)
+    fp = np.repeat(rng.integers(0, 1 << 63, size=12, dtype=np.uint64), 25)
+    for _ in range(5):
+        flip = rng.random(len(fp)) < 0.6
+        fp[flip] ^= np.uint64(1) << rng.integers(0, 64, flip.sum(), dtype=np.uint64)
+    fp = np.unique(np.concatenate([fp, rng.integers(0, 1 << 63, size=200, dtype=np.uint64)]))
+    nodes = spark.createDataFrame([(x,) for x in fp.view(np.int64).tolist()], "fp long")
+    groups = simhash._groups(nodes, simhash.LIMIT)
+    assert most > 100 or groups.groupBy("g").count().agg({"count": "max"}).first()[0] < len(fp) / 2
+    of = {r.u: r.root for r in simhash.components(simhash.links(nodes)).collect()}
+    want = classes(fp.tolist(), simhash.LIMIT)
+    least: dict[int, int] = {}
+    for x, c in zip(fp.view(np.int64).tolist(), want, strict=True):
+        least[c] = min(x, least.get(c, x))
+    assert [of.get(x, x) for x in fp.view(np.int64).tolist()] == [least[c] for c in want]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(2, "a b c", 1, 2, 3), (1, "A b c", 4, 5, 6)], "doc_id long, text string, _id int, first int, r int")
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "A b c", 4, 5, 6)]
+
+
+def test_components_of_a_star(spark):
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(5000, 4000)], "u long, v long")
+    got = {r.u: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {5000: 4000}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(100)], "u long, v long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.plans.views import ANALYTES, DRUG_CLASSES, tables_of, with_views
+from carefold.plans.views import ANALYTES, tables_of, with_views
+from carefold.vocabulary import DRUG_CLASSES
 
 AS_OF = "DATE '2024-01-15'"
 TODAY = "DATE '1998-06-30'"
@@ -19,80 +20,17 @@ NORMAL_NAME = "@REPLACE[trim(replace(replace(lower({0}), '''', ''), '-', ' '))|\
 
 QUERIES = {
     # The ledger and time travel.
-    "snapshot_as_of": f"SELECT * FROM v_ledger WHERE valid_from <= {AS_OF} AND (valid_to IS NULL OR {AS_OF} < valid_to)",
     "snapshot_max_by": f"""
         SELECT patient_id, subject, max_by(bucket, event_key) AS bucket, max(valid_from) AS stated
         FROM (SELECT *, id AS event_key FROM v_state WHERE valid_from <= {AS_OF}) GROUP BY patient_id, subject""",
-    "ledger_active": "SELECT id, patient_id, subject, bucket, valid_from FROM v_ledger WHERE valid_to IS NULL",
-    "ledger_history": "SELECT patient_id, subject, count(*) AS facts, count(superseded_by) AS superseded, min(valid_from) AS since FROM v_ledger GROUP BY patient_id, subject",
-    "supersession_chain": """
-        SELECT patient_id, subject, @LISTAGG[CAST(id AS STRING)|'>'|valid_from, id] AS chain, count(*) AS links
-        FROM v_ledger GROUP BY patient_id, subject""",
-    "reconcile_islands": """
-        SELECT id, patient_id, subject, bucket, valid_from, valid_to, superseded_by,
-               CASE WHEN superseded_by IS NULL THEN 'active' ELSE 'superseded' END AS status,
-               CAST(least(100, 80 + 5 * (statements - 1)) AS BIGINT) AS confidence_percent
-        FROM v_ledger""",
-    "reconcile_contested": """
-        SELECT patient_id, subject, valid_from, min(bucket) AS low, max(bucket) AS high, count(*) AS statements
-        FROM v_state GROUP BY patient_id, subject, valid_from HAVING min(bucket) <> max(bucket)""",
-    "reconcile_classified": """
-        SELECT id, patient_id, subject, CASE WHEN prior IS NULL THEN 'NEW' WHEN prior = bucket THEN 'CONSISTENT'
-               WHEN before = valid_from THEN 'CONTRADICTS' ELSE 'SUPERSEDES' END AS classification
-        FROM (SELECT *, lag(bucket) OVER (PARTITION BY patient_id, subject ORDER BY valid_from, id) AS prior,
-                     lag(valid_from) OVER (PARTITION BY patient_id, subject ORDER BY valid_from, id) AS before FROM v_state)""",
-    "status_three_valued": f"""
-        SELECT id, CASE WHEN valid_from > {AS_OF} THEN 'future' WHEN valid_to IS NULL OR valid_to > {AS_OF} THEN 'active' ELSE 'superseded' END AS status
-        FROM v_ledger""",
-    "retract_restore": """
-        SELECT id, patient_id, subject, bucket, valid_from,
-               CASE WHEN next_retracted THEN NULL ELSE valid_to END AS valid_to, CASE WHEN id % 10 = 0 THEN 'retracted'
-               WHEN next_retracted OR superseded_by IS NULL THEN 'active' ELSE 'superseded' END AS status
-        FROM (SELECT *, coalesce(superseded_by % 10 = 0, false) AS next_retracted FROM v_ledger)""",
     "naive_vs_healed": """
         SELECT patient_id, subject, count(*) AS naive_facts, CAST(sum(opens) AS BIGINT) AS healed_facts FROM v_island_start GROUP BY patient_id, subject""",
     # The graph.
-    "graph_nodes": f"""
-        SELECT concat('fact:', CAST(id AS STRING)) AS node, patient_id, 'fact' AS kind,
-               CASE WHEN valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to > {AS_OF}) THEN 'active' ELSE 'superseded' END AS status FROM v_ledger
-        UNION ALL
-        SELECT DISTINCT concat('relative:', CAST(relative_id AS STRING)), patient_id, 'relative', 'active' FROM v_link WHERE consent""",
-    "graph_edges_superseded": "SELECT id AS source, superseded_by AS target, 'SUPERSEDED_BY' AS kind FROM v_ledger WHERE superseded_by IS NOT NULL",
     "graph_edges_adjacent": """
         SELECT source, target, 'SAME_SUBJECT' AS kind FROM (
           SELECT id AS source, lead(id) OVER (PARTITION BY patient_id, resource_type, subject ORDER BY valid_from, id) AS target
           FROM v_fact WHERE status <> 'retracted') WHERE target IS NOT NULL""",
-    "why_trend": """
-        SELECT patient_id, subject, n, CASE WHEN n < 2 THEN 'single reading' WHEN last = first THEN 'steady' WHEN last > first THEN 'rising' ELSE 'falling' END AS trend
-        FROM (SELECT patient_id, subject, count(*) AS n, min_by(reading, k) AS first, max_by(reading, k) AS last
-              FROM (SELECT *, concat(CAST(valid_from AS STRING), lpad(CAST(id AS STRING), 12, '0')) AS k FROM v_fact WHERE resource_type = 'LabResult')
-              GROUP BY patient_id, subject)""",
     # Checks and cards.
-    "lab_trend_cards": """
-        SELECT patient_id, subject, @LISTAGG[CAST(reading AS STRING)|' > '|valid_from, id] AS sequence, count(*) AS readings, max(valid_from) AS latest
-        FROM v_fact WHERE resource_type = 'LabResult' AND status <> 'retracted' AND flag IN ('high', 'low')
-        GROUP BY patient_id, subject HAVING count(*) > 1 AND @DAYS[min(valid_from)|max(valid_from)] >= 90""",
-    "followup_gap": f"SELECT patient_id, summary, {TODAY} AS as_of FROM v_gap_card",
-    "followup_gap_open": f"SELECT patient_id, summary, {TODAY} AS as_of FROM v_gap_open",
-    "allergy_conflict": "SELECT patient_id, fact_id, evidence_id, summary FROM v_allergy_card",
-    "prescribe_screen": """
-        SELECT a.patient_id, p.drug AS proposed, a.id AS allergy_id, a.subject AS allergy
-        FROM v_fact a JOIN d_drug da ON da.drug = a.subject LEFT JOIN d_group ga ON ga.class = da.class
-        JOIN (SELECT drug, d_drug.class AS class, grp FROM d_drug LEFT JOIN d_group ON d_group.class = d_drug.class
-              WHERE drug IN ('amoxicillin', 'azithromycin')) p ON p.class = da.class OR p.grp = ga.grp
-        WHERE a.resource_type = 'Allergy' AND a.status = 'active' AND a.predicate <> 'cleared'""",
-    "combined_cv_risk": "SELECT patient_id, fact_id, evidence_id, summary FROM v_risk_card",
-    "combined_risk": """
-        SELECT patient_id, fact_id, evidence_id, summary FROM v_risk_card
-        UNION ALL SELECT patient_id, fact_id, evidence_id, summary FROM v_family_risk_card""",
-    "hereditary_cards": "SELECT patient_id, evidence_id AS relative_id, summary FROM v_hereditary_card",
-    "cards_top5": f"""
-        SELECT patient_id, place, indicator, summary FROM (
-          SELECT patient_id, indicator, summary, row_number() OVER (PARTITION BY patient_id ORDER BY {SEVERITY}, check_ord, summary, fact_id, evidence_id) AS place
-          FROM v_card) WHERE place <= 5""",
-    "critical_dashboard": f"""
-        SELECT patient_id, count(*) AS cards, CAST(sum(CASE WHEN indicator = 'critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical, min({SEVERITY}) AS worst FROM v_card GROUP BY patient_id""",
-    "brief_sections": "SELECT patient_id, resource_type AS section, count(*) AS facts, max(valid_from) AS latest FROM v_fact WHERE status = 'active' GROUP BY patient_id, resource_type",
     "allergy_badge": """
         SELECT patient_id, @LISTAGG[subject|', '|subject] AS badge FROM (
           SELECT DISTINCT patient_id, subject FROM v_fact WHERE resource_type = 'Allergy' AND status = 'active' AND predicate <> 'cleared') GROUP BY patient_id""",
@@ -104,74 +42,17 @@ QUERIES = {
     "last_visit": "SELECT p.patient_id, max(f.valid_from) AS last_visit FROM v_patient p LEFT JOIN v_fact f ON f.patient_id = p.patient_id GROUP BY p.patient_id",
     "ingested_documents": "SELECT doc_id, max_by(id, k) AS fact_id FROM (SELECT *, concat(CAST(valid_from AS STRING), lpad(CAST(id AS STRING), 12, '0')) AS k FROM v_fact) GROUP BY doc_id",
     # Identity, kinship and access.
-    "patient_resolve": f"""
-        SELECT a.doctor_id, q.query, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(p.patient_id) END AS resolved
-        FROM (VALUES ('MRN-900007'), ('given3 '), ('o''family-12')) AS q(query)
-        JOIN v_patient p ON position(q.query IN lower(p.name)) > 0 OR p.mrn = q.query
-        JOIN v_access a ON a.patient_id = p.patient_id GROUP BY a.doctor_id, q.query""",
     "access_scope": "SELECT doctor_id, count(*) AS patients, min(patient_id) AS first, max(patient_id) AS last FROM v_access GROUP BY doctor_id",
-    "entity_find": f"""
-        SELECT query_id, patient_id FROM (
-          SELECT q.patient_id AS query_id, p.patient_id, row_number() OVER (PARTITION BY q.patient_id ORDER BY p.patient_id) AS place
-          FROM (SELECT patient_id, {NORMAL_NAME.format("name")} AS n, dob FROM v_patient) q
-          JOIN (SELECT patient_id, {NORMAL_NAME.format("name")} AS n, dob FROM v_patient) p
-            ON p.n = q.n AND (p.dob = q.dob OR p.dob IS NULL OR q.dob IS NULL)) WHERE place = 1""",
     "normalized_names": f"SELECT patient_id, {NORMAL_NAME.format('name')} AS name FROM v_patient",
-    "kinship_match": """
-        SELECT l.patient_id, l.relative_id, l.relation,
-               CASE WHEN a.dob IS NULL OR b.dob IS NULL THEN NULL
-                    WHEN l.relation IN ('father', 'mother', 'parent') THEN year(a.dob) - year(b.dob) BETWEEN 12 AND 70
-                    WHEN l.relation IN ('son', 'daughter', 'child') THEN year(b.dob) - year(a.dob) BETWEEN 12 AND 70
-                    ELSE abs(year(a.dob) - year(b.dob)) <= 30 END AS plausible
-        FROM v_link l JOIN v_patient a ON a.patient_id = l.patient_id JOIN v_patient b ON b.patient_id = l.relative_id""",
-    "kinship_links_reciprocal": """
-        SELECT a, b, max(CASE WHEN consent THEN 1 ELSE 0 END) AS consent FROM (
-          SELECT patient_id AS a, relative_id AS b, consent FROM v_link UNION ALL SELECT relative_id, patient_id, consent FROM v_link) GROUP BY a, b""",
-    "consented_links": "SELECT patient_id, relative_id, relation FROM v_link WHERE consent",
     "age_years": f"""
         SELECT patient_id, year({TODAY}) - year(dob) - CASE WHEN month(dob) * 100 + day(dob) > month({TODAY}) * 100 + day({TODAY}) THEN 1 ELSE 0 END AS age FROM v_patient""",
     # Dedup and idempotency.
     "upload_dedup": "SELECT hash, min(doc_id) AS doc_id, count(*) AS uploads FROM (SELECT doc_id, @SHA[text] AS hash FROM documents) GROUP BY hash",
-    "batch_dedup_split": """
-        SELECT doc_id, h IN (SELECT @SHA[text] FROM documents WHERE doc_id % 2 = 0) AS duplicate
-        FROM (SELECT doc_id, @SHA[text] AS h FROM documents WHERE doc_id % 2 = 1)""",
     "idempotent_keys": "SELECT @SHA[concat(lower(trim(role)), chr(31), lower(trim(text)))] AS write_key, count(*) AS writes, min(conv_id) AS first FROM conversations GROUP BY 1",
     # Scalar functions.
-    "canonical_analyte": f"""
-        SELECT raw, CASE {' '.join(f"WHEN position('{a}' IN lower(raw)) > 0 THEN '{a}'" for a in ANALYTES)} ELSE split_part(lower(trim(raw)), ' ', 1) END AS analyte, count(*) AS n
-        FROM (SELECT concat(upper(subject), ' reading ', CAST(id % 3 AS STRING)) AS raw FROM v_fact) GROUP BY raw""",
-    "canonical_flag": "SELECT flag, CASE lower(substr(flag, 1, 1)) WHEN 'h' THEN 'high' WHEN 'l' THEN 'low' ELSE lower(flag) END AS canonical, count(*) AS n FROM v_fact GROUP BY flag",
-    "coerce_date": """
-        SELECT raw, CASE WHEN regexp_like(raw, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN CAST(substr(raw, 1, 10) AS DATE)
-               WHEN regexp_like(raw, '^[0-9]{4}-[0-9]{2}$') THEN CAST(concat(raw, '-01') AS DATE)
-               WHEN regexp_like(raw, '^[0-9]{4}$') THEN CAST(concat(raw, '-01-01') AS DATE) ELSE DATE '2000-01-01' END AS coerced
-        FROM (SELECT substr(CAST(valid_from AS STRING), 1, CAST(CASE id % 4 WHEN 0 THEN 4 WHEN 1 THEN 7 WHEN 2 THEN 10 ELSE 2 END AS INT)) AS raw FROM v_fact)""",
-    "drug_class": "SELECT f.id, d.class, g.grp FROM v_fact f JOIN d_drug d ON d.drug = f.subject LEFT JOIN d_group g ON g.class = d.class",
-    "family_risk": """
-        SELECT id, relation, subject, category, relation <> 'uncle' AS first_degree, age_at_onset < 55 AS early
-        FROM v_fact JOIN d_condition ON cond = subject WHERE resource_type = 'FamilyHistory'""",
-    "ground_facts": """
-        SELECT f.id, d.drug IS NOT NULL OR c.cond IS NOT NULL OR a.analyte IS NOT NULL AS grounded
-        FROM v_fact f LEFT JOIN d_drug d ON d.drug = f.subject LEFT JOIN d_condition c ON c.cond = f.subject LEFT JOIN d_analyte a ON a.analyte = f.subject""",
-    "ontology_triples": """
-        SELECT drug AS s, 'subClassOf' AS p, class AS o FROM d_drug UNION ALL SELECT class, 'subClassOf', grp FROM d_group
-        UNION ALL SELECT cond, 'confersFamilialRisk', category FROM d_condition""",
-    "fact_label": "SELECT id, concat(upper(substr(subject, 1, 1)), substr(subject, 2), CASE predicate WHEN 'cleared' THEN ' (cleared)' WHEN 'stopped' THEN ' (stopped)' WHEN 'measured' THEN concat(' ', CAST(reading AS STRING)) ELSE '' END) AS label FROM v_fact",
-    "upload_format": """
-        SELECT page_id, CASE WHEN lower(url) LIKE '%.pdf' THEN 'pdf' WHEN regexp_like(lower(url), '[.](png|jpe?g|webp|gif)$') THEN 'image'
-               WHEN lower(url) LIKE '%.csv' THEN 'csv' ELSE 'text' END AS format FROM pages""",
     # Evidence, conversation, audit, recall.
-    "citation_join": """
-        SELECT c.answer, c.place, f.id, f.valid_from, f.page FROM (
-          SELECT o_custkey AS answer, o_orderkey * 3 AS cited, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) c
-        JOIN v_fact f ON f.id = c.cited""",
-    "certainty_guard": """
-        SELECT patient_id, count(*) AS cited, CASE WHEN sum(CASE WHEN status = 'contested' THEN 1 ELSE 0 END) > 0 THEN 'low_confidence' ELSE 'settled' END AS certainty
-        FROM v_fact WHERE status <> 'retracted' GROUP BY patient_id""",
-    "answer_fallback": "SELECT patient_id, @LISTAGG[subject|'; '|valid_from, id] AS answer FROM v_fact WHERE status = 'active' AND resource_type = 'Condition' GROUP BY patient_id",
     "thread_list": "SELECT conv_id, min_by(substr(text, 1, 60), turn) AS title, count(*) AS messages FROM conversations GROUP BY conv_id",
     "message_replay": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) WHERE place <= 20",
-    "turn_rollup": "SELECT conv_id, max_by(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS characters, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id",
     "audit_recent": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
     "audit_by_actor": "SELECT user_id, event_type, count(*) AS actions, min(event_id) AS first FROM events GROUP BY user_id, event_type",
 }
@@ -212,9 +93,10 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a query of the catalog's form over the tables it names."""
     text = spelled(with_views(sql), "spark").replace("regexp_matches(", "regexp_like(")
     found = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in tables_of(text)}
+    text = text.replace("{", "{{").replace("}", "}}")  # braces of the text are not placeholders
     for name in found:
         text = re.sub(rf"\b(FROM|JOIN)(\s+){name}\b", rf"\1\2{{{name}}} AS {name}", text)
-    return spark.sql(re.sub(r"\{(?=[0-9,])|(?<=[0-9])\}", lambda m: m[0] * 2, text), **found)
+    return spark.sql(text, **found)
 
 
 def queries(of: dict[str, str] = QUERIES) -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -128,6 +128,4 @@ QUERIES = {
     "thread_titles": """
         SELECT conv_id, coalesce(min_by(substr(text, 1, 80), turn) FILTER (WHERE role = 'user'), '') AS title, max(turn) AS latest FROM conversations GROUP BY conv_id""",
     "model_roles": "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, concat('[', role, '] ', text) AS content FROM conversations",
-    "chat_index_points": """
-        SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS prior FROM conversations) WHERE prior % 5 = 0""",
 }

@@ -9,82 +9,110 @@ from __future__ import annotations
 
 import re
 
-# Fixed values of the clinical vocabulary, as `name = values`.
-DRUG_CLASSES = {
-    "penicillin": ["penicillin", "amoxicillin", "ampicillin", "dicloxacillin", "piperacillin", "amoxicillin-clavulanate"],
-    "cephalosporin": ["cephalexin", "cefazolin", "ceftriaxone", "cefuroxime", "cefepime"],
-    "carbapenem": ["meropenem", "imipenem", "ertapenem"],
-    "macrolide": ["azithromycin", "clarithromycin"],
-    "fluoroquinolone": ["ciprofloxacin", "levofloxacin"],
-    "sulfonamide": ["sulfamethoxazole", "trimethoprim-sulfamethoxazole"],
-    "glycopeptide": ["vancomycin"],
-    "tetracycline": ["doxycycline"],
-    "ace_inhibitor": ["lisinopril", "enalapril", "ramipril"],
-    "arb": ["losartan", "valsartan"],
-    "calcium_channel_blocker": ["amlodipine", "diltiazem"],
-    "beta_blocker": ["metoprolol", "atenolol"],
-    "biguanide": ["metformin"],
-    "sulfonylurea": ["glipizide"],
-    "insulin": ["insulin"],
-    "statin": ["atorvastatin", "rosuvastatin", "simvastatin"],
-    "thiazide": ["hydrochlorothiazide"],
-    "nsaid": ["ibuprofen", "naproxen", "aspirin", "diclofenac"],
-}
-CROSS_REACTIVE = {"beta_lactam": ["penicillin", "cephalosporin", "carbapenem"]}
-HEREDITARY = {
-    "cardiovascular": ["myocardial infarction", "coronary artery disease", "stroke", "hypertension"],
-    "metabolic": ["type 2 diabetes", "diabetes"],
-    "oncologic": ["breast cancer", "colon cancer"],
-}
-FIRST_DEGREE = ["father", "mother", "brother", "sister", "son", "daughter", "parent", "sibling", "child"]
+from carefold.vocabulary import CROSS_REACTIVE, DRUG_CLASS, DRUG_CLASSES, FAMILY_RISK, FIRST_DEGREE, HEREDITARY
+
 ANALYTES = ["hba1c", "ldl", "creatinine", "inr"]
-EARLY_ONSET = 55
-#: What in a later condition follows up an analyte; analytes that the risk check owns are not among them.
-FOLLOWUP = {
-    "hba1c": ["hba1c", "a1c", "diabet", "glycemic", "glycaemic", "endocrin"],
-    "creatinine": ["creatinine", "renal", "kidney", "nephrolog", "egfr"],
-    "inr": ["inr", "warfarin", "anticoag"],
-}
+RELATIONS = [*FIRST_DEGREE, "uncle", "grandmother"]
+#: Conditions of charts that no family risk comes from.
+OTHER_CONDITIONS = ["hypertension", "asthma", "pneumonia"]
+
+# What charts are made of; some of it is in no vocabulary.
+CHART_ANALYTES = ["hba1c", "ldl", "creatinine", "inr", "potassium", "egfr", "ferritin"]
+CHART_CONDITIONS = [*FAMILY_RISK, "heart attack (myocardial infarction)", "Type 2 Diabetes mellitus", "hypertension", "asthma", "chronic kidney disease"]
+CHART_DRUGS = [*DRUG_CLASS, "zinc", "peanut oil", "latex"]
+CHART_RELATIONS = [*FIRST_DEGREE, "Mother ", "uncle", "aunt"]
+CHART_EVENTS = ["Renal ultrasound", "endocrinology consult", "HbA1c review", "appendectomy", "electrolyte panel", "ferritin infusion", "warfarin plan"]
+# What functions of single texts are tried on.
+RAW_NAMES = ["HbA1c", " Glycated Hb", "LDL cholesterol", "VLDL", "HDL-C", "Triglycerides", "Total Cholesterol", "Creatinine, serum", "eGFR", "Potassium", "Sodium", "INR (PT)", "Glucose fasting", "BMI", "Ferritin ng", "A1C "]
+RAW_FLAGS = ["H", "l", " High ", "hemolyzed", "Low", "", "CRITICAL"]
+RAW_DATES = ["2001-02-03", "2001-02-03T10:00:00", "2001-02", "2001", " 2001-02-03 ", "2001-13-40", "soon", "", "20010203", "x2001"]
+OTHER_RAW = ["7.8", " 12 ", "nan", "inf", "-Infinity", "1e3", "within limits", "", "5 mg"]
+CHART_HABITS = ["smokes daily", "non-smoker", "never smoked", "quit smoking", "weekly walks"]
 
 
 def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
 
 
 _DRUGS = [(i, d, c) for i, (d, c) in enumerate((d, c) for c, ds in DRUG_CLASSES.items() for d in ds)]
 _CONDITIONS = [(i, c, g) for i, (c, g) in enumerate((c, g) for g, cs in HEREDITARY.items() for c in cs)]
 
+
+def pick(values: list[str], n: str) -> str:
+    """SQL: the n-th of the values, counted from 0 and again from the start after the last."""
+    joined = "|".join(values).replace("'", "''")
+    return f"split_part('{joined}', '|', CAST({n} % {len(values)} + 1 AS INT))"
+
+
+#: Digits of an order's key, by which its row of the chart is made.
+_D, _T, _H = "o_orderkey % 10", "CAST(floor(o_orderkey / 10) AS BIGINT)", "CAST(floor(o_orderkey / 7) AS BIGINT)"
+_DRUG_NAMES = [d for _, d, _ in _DRUGS]
+_CONDITION_NAMES = [c for _, c, _ in _CONDITIONS]
+
 VIEWS = {
     "d_drug": f"SELECT n, drug, class FROM (VALUES {_values(_DRUGS)}) AS t(n, drug, class)",
     "d_group": f"SELECT class, grp FROM (VALUES {_values([(c, g) for g, cs in CROSS_REACTIVE.items() for c in cs])}) AS t(class, grp)",
     "d_condition": f"SELECT n, cond, category FROM (VALUES {_values(_CONDITIONS)}) AS t(n, cond, category)",
     "d_analyte": f"SELECT n, analyte FROM (VALUES {_values(list(enumerate(ANALYTES)))}) AS t(n, analyte)",
-    "d_relation": f"SELECT n, relation FROM (VALUES {_values(list(enumerate(FIRST_DEGREE + ['uncle'])))}) AS t(n, relation)",
+    # Three patients share each name, at any size; a family of 39 ids shares its surname.
     "v_patient": """
       SELECT c_custkey AS patient_id, concat('MRN-', CAST(900000 + c_custkey AS STRING)) AS mrn,
-             concat('Given', CAST(c_custkey % 31 AS STRING), ' O''Family-', CAST(c_custkey % 97 AS STRING)) AS name,
+             concat('Given-', CAST(c_custkey % 13 AS STRING), ' O''Fam', CAST(CAST(floor(c_custkey / 39) AS BIGINT) AS STRING)) AS name,
              CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE DATE '1940-01-01' + CAST(c_custkey * 7919 % 25000 AS INT) END AS dob,
              c_nationkey AS nation
       FROM customer""",
-    "v_fact": """
+    "v_fact": f"""
       SELECT o_orderkey AS id, o_custkey AS patient_id, CAST(o_orderdate AS DATE) AS valid_from,
-             CASE WHEN o_orderkey % 10 < 4 THEN 'LabResult' WHEN o_orderkey % 10 < 6 THEN 'Medication'
-                  WHEN o_orderkey % 10 = 6 THEN 'Allergy' WHEN o_orderkey % 10 = 7 THEN 'Condition'
-                  WHEN o_orderkey % 10 = 8 THEN 'FamilyHistory' ELSE 'Lifestyle' END AS resource_type,
-             CASE WHEN o_orderkey % 10 < 4 THEN a.analyte WHEN o_orderkey % 10 < 7 THEN g.drug
-                  WHEN o_orderkey % 10 < 9 THEN c.cond ELSE 'smoking' END AS subject,
-             CASE WHEN o_orderkey % 10 = 6 AND o_orderkey % 7 = 0 THEN 'cleared' WHEN o_orderkey % 10 = 4 AND o_orderkey % 5 = 0 THEN 'stopped'
-                  WHEN o_orderkey % 10 < 4 THEN 'measured' WHEN o_orderkey % 10 < 6 THEN 'prescribed' ELSE 'reported' END AS predicate,
+             CASE WHEN {_D} < 4 THEN 'LabResult' WHEN {_D} < 6 THEN 'Medication'
+                  WHEN {_D} = 6 THEN 'Allergy' WHEN {_D} = 7 THEN 'Condition'
+                  WHEN {_D} = 8 THEN 'FamilyHistory' ELSE 'Lifestyle' END AS resource_type,
+             CASE WHEN {_D} < 4 THEN {pick(ANALYTES, "o_orderkey")} WHEN {_D} < 7 THEN {pick(_DRUG_NAMES, "o_orderkey")}
+                  WHEN {_D} = 7 THEN {pick(_CONDITION_NAMES + OTHER_CONDITIONS, _T)}
+                  WHEN {_D} = 8 THEN {pick(_CONDITION_NAMES, _T)} ELSE 'smoking' END AS subject,
+             CASE WHEN {_D} = 6 AND o_orderkey % 7 = 0 THEN 'cleared' WHEN {_D} = 4 AND {_T} % 5 = 0 THEN 'stopped'
+                  WHEN {_D} < 4 THEN 'measured' WHEN {_D} < 6 THEN 'prescribed' ELSE 'reported' END AS predicate,
              CAST(floor(o_totalprice) AS BIGINT) AS reading,
              CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE 'normal' END AS flag,
-             r.relation, CAST(30 + o_orderkey % 50 AS BIGINT) AS age_at_onset,
+             {pick(RELATIONS, _H)} AS relation, CAST(30 + {_H} % 50 AS BIGINT) AS age_at_onset,
              CASE WHEN o_orderkey % 23 = 0 THEN 'retracted' WHEN o_orderkey % 29 = 0 THEN 'contested' ELSE 'active' END AS status,
              CAST(floor(o_orderkey / 5) AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 4 AS BIGINT) AS page
-      FROM orders
-      JOIN d_analyte a ON a.n = o_orderkey % 4
-      JOIN d_drug g ON g.n = o_orderkey % 41
-      JOIN d_condition c ON c.n = o_orderkey % 8
-      JOIN d_relation r ON r.n = o_orderkey % 10""",
+      FROM orders""",
+    # Charts with every kind of fact, in the form that the operators take (operators/facts.py).
+    "v_order": f"""
+      SELECT o_orderkey AS id, o_custkey AS patient_id, CAST(o_orderdate AS DATE) AS valid_from, {_D} AS d, {_T} AS t, {_H} AS h,
+             CAST(floor(o_totalprice / 10000) AS DOUBLE) / 2 AS half, o_orderpriority AS priority,
+             CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 40 ELSE CAST(floor(o_custkey / 39) AS BIGINT) * 39 + o_orderkey % 39 END AS relative
+      FROM orders""",
+    "v_chart": f"""
+      SELECT id, patient_id, valid_from,
+             CASE WHEN d < 4 THEN 'LabResult' WHEN d < 6 THEN 'Medication' WHEN d = 6 THEN 'Allergy' WHEN d = 7 THEN 'Condition'
+                  WHEN d = 8 THEN 'FamilyHistory' WHEN t % 5 = 0 THEN 'Procedure' WHEN t % 5 = 2 THEN 'Vital' WHEN t % 5 > 2 THEN 'Lifestyle' END AS resource_type,
+             CASE WHEN d < 4 THEN concat('lab ', {pick(CHART_ANALYTES, "t")}) WHEN d < 6 THEN 'medication' WHEN d = 6 THEN 'allergy' WHEN d = 7 THEN 'diagnosis'
+                  WHEN d = 8 THEN 'family' WHEN t % 5 = 0 THEN 'procedure' WHEN t % 5 = 1 THEN {pick(["note", "Plan", "memo"], "h")} WHEN t % 5 = 2 THEN 'vital' ELSE 'lifestyle' END AS subject,
+             CASE WHEN d < 4 THEN 'measured' WHEN d < 6 THEN {pick(["prescribed", "switched", "stopped"], "h")} WHEN d = 6 THEN {pick(["diagnosed", "diagnosed", " Cleared"], "h")}
+                  WHEN d = 7 THEN {pick(["diagnosed", "resolved"], "h")} ELSE 'reported' END AS predicate,
+             CASE WHEN d < 4 THEN CASE WHEN id % 13 = 0 THEN 'within limits' ELSE concat({pick(CHART_ANALYTES, "t")}, ' reading') END
+                  WHEN d < 6 THEN concat({pick(CHART_DRUGS, "id")}, {pick(["", " 500mg", "/clavulanate", " XR 5 mg"], "t")})
+                  WHEN d = 6 THEN {pick(CHART_DRUGS, "h")} WHEN d = 7 OR d = 8 THEN concat({pick(["", "Suspected ", "severe "], "h")}, {pick(CHART_CONDITIONS, "t")})
+                  WHEN t % 5 < 2 THEN {pick(CHART_EVENTS, "h")} WHEN t % 5 = 2 THEN 'blood pressure 120/80' ELSE {pick(CHART_HABITS, "h")} END AS value,
+             CASE WHEN id % 23 = 0 THEN 'retracted' WHEN id % 29 = 0 THEN 'contested' WHEN id % 19 = 0 THEN 'superseded' ELSE 'active' END AS status,
+             CASE WHEN id % 29 = 0 THEN 0.5 WHEN id % 31 = 0 THEN 0.55 ELSE 0.9 END AS confidence,
+             {pick(["Dr. Ames", "Dr. Bell", "unknown"], "id")} AS source,
+             CASE WHEN id % 17 <> 0 THEN CAST(floor(id / 5) AS BIGINT) END AS source_document,
+             CASE WHEN id % 3 = 0 THEN concat('Visit ', CAST(CAST(floor(id / 5) AS BIGINT) AS STRING)) WHEN id % 3 = 1 THEN '' END AS document_title, CAST(1 + id % 4 AS BIGINT) AS page,
+             CASE WHEN d < 4 THEN {pick(CHART_ANALYTES, "t")} END AS analyte, CASE WHEN d < 4 AND id % 13 <> 0 THEN half END AS reading,
+             CASE WHEN d < 4 THEN {pick(["", "high", "Critical ", "therapeutic", "abnormal", "low"], "CAST(substr(priority, 1, 1) AS INT)")} END AS abnormal_flag,
+             CASE WHEN d IN (4, 5) AND id % 7 <> 0 THEN concat({pick(CHART_DRUGS, "id")}, {pick(["", " 500mg", "/clavulanate", " XR 5 mg"], "t")}) END AS drug,
+             CASE WHEN d = 6 AND id % 4 <> 0 THEN {pick(CHART_DRUGS, "h")} END AS substance, CASE WHEN d = 6 THEN {pick(["", "rash", "anaphylaxis"], "h")} END AS reaction,
+             CASE WHEN d = 6 THEN {pick(["severe", "", "mild"], "t")} END AS severity,
+             CASE WHEN d IN (7, 8) AND id % 7 <> 0 THEN concat({pick(["", "Suspected ", "severe "], "h")}, {pick(CHART_CONDITIONS, "t")}) END AS condition,
+             CASE WHEN d = 8 THEN {pick(CHART_RELATIONS, "h")} END AS relation, CASE WHEN d = 8 AND h % 6 <> 0 THEN CAST(30 + h % 50 AS BIGINT) END AS age_at_onset,
+             CASE WHEN d = 8 AND h % 9 <> 0 THEN concat('GIVEN-', CAST(relative % 13 AS STRING), '  O''Fam', CAST(CAST(floor(relative / 39) AS BIGINT) AS STRING)) END AS relative_name,
+             CASE WHEN d = 8 AND h % 4 = 0 THEN DATE '1940-01-01' + CAST(relative * 7919 % 25000 AS INT) END AS relative_dob,
+             CASE WHEN d = 8 AND h % 10 = 0 THEN concat(' mrn-', CAST(900000 + relative AS STRING)) END AS relative_mrn,
+             CASE WHEN d = 9 AND t % 5 > 2 THEN {pick(["smoking", "exercise", "habits"], "id")} END AS factor
+      FROM v_order""",
     "v_state": """
       SELECT event_id AS id, user_id AS patient_id, event_type AS subject, CAST(floor(value / 100) AS BIGINT) AS bucket, CAST(ts AS DATE) AS valid_from
       FROM events""",
@@ -105,64 +133,13 @@ VIEWS = {
       SELECT s_suppkey AS doctor_id, s_nationkey AS nation, s_name AS doctor FROM supplier""",
     "v_access": """
       SELECT DISTINCT doctor_id, c_custkey AS patient_id FROM v_doctor JOIN customer ON c_nationkey = nation AND c_custkey % 10 = doctor_id % 10""",
-    "v_link": """
-      SELECT DISTINCT f.patient_id, p.patient_id AS relative_id, f.relation, f.patient_id % 3 <> 0 AS consent
-      FROM v_fact f JOIN v_patient p ON p.patient_id = (f.patient_id * 31 + f.id % 7) % 1000 + 1 AND p.patient_id <> f.patient_id
-      WHERE f.resource_type = 'FamilyHistory' AND f.relation <> 'uncle'""",
+    "v_drug_key": """
+      SELECT drug, concat('class ', class) AS react FROM d_drug UNION ALL SELECT drug, concat('group ', grp) FROM d_drug JOIN d_group ON d_group.class = d_drug.class""",
     "v_allergy_card": """
-      SELECT m.patient_id, 'critical' AS indicator, 0 AS check_ord, m.id AS fact_id, a.id AS evidence_id,
-             concat(m.subject, ' conflicts with ', a.subject) AS summary
-      FROM v_fact m JOIN v_fact a ON m.patient_id = a.patient_id
-      JOIN d_drug dm ON dm.drug = m.subject JOIN d_drug da ON da.drug = a.subject
-      LEFT JOIN d_group gm ON gm.class = dm.class LEFT JOIN d_group ga ON ga.class = da.class
-      WHERE m.resource_type = 'Medication' AND m.status = 'active' AND m.predicate <> 'stopped'
-        AND a.resource_type = 'Allergy' AND a.status = 'active' AND a.predicate <> 'cleared'
-        AND (dm.class = da.class OR gm.grp = ga.grp)""",
-    "v_gap": """
-      SELECT l.patient_id, l.subject, max(l.valid_from) AS last_abnormal
-      FROM v_fact l WHERE l.resource_type = 'LabResult' AND l.status <> 'retracted' AND l.flag IN ('high', 'low')
-      GROUP BY l.patient_id, l.subject""",
-    "v_gap_card": """
-      SELECT g.patient_id, 'warning' AS indicator, 1 AS check_ord, CAST(NULL AS BIGINT) AS fact_id, CAST(NULL AS BIGINT) AS evidence_id,
-             concat('no follow-up of ', g.subject) AS summary
-      FROM v_gap g WHERE NOT EXISTS (
-        SELECT 1 FROM v_fact f WHERE f.patient_id = g.patient_id AND f.subject = g.subject
-          AND f.resource_type = 'LabResult' AND f.status <> 'retracted' AND f.valid_from > g.last_abnormal)
-        AND g.last_abnormal <= DATE '1998-06-30' - 90""",
-    "d_followup": f"SELECT analyte, keyword FROM (VALUES {_values([(a, k) for a, ks in FOLLOWUP.items() for k in ks])}) AS t(analyte, keyword)",
-    "v_followed": """
-      SELECT DISTINCT g.patient_id, g.subject FROM v_gap g JOIN v_fact f ON f.patient_id = g.patient_id AND f.valid_from > g.last_abnormal
-      JOIN d_followup k ON k.analyte = g.subject AND lower(f.subject) LIKE concat('%', k.keyword, '%')
-      WHERE f.resource_type IN ('Condition', 'Procedure') AND f.status <> 'retracted'""",
-    "v_gap_open": """
-      SELECT g.patient_id, concat('no follow-up of ', g.subject) AS summary
-      FROM v_gap g JOIN (SELECT DISTINCT analyte FROM d_followup) a ON a.analyte = g.subject
-      WHERE NOT EXISTS (
-        SELECT 1 FROM v_fact f WHERE f.patient_id = g.patient_id AND f.subject = g.subject
-          AND f.resource_type = 'LabResult' AND f.status <> 'retracted' AND f.valid_from > g.last_abnormal)
-        AND NOT EXISTS (SELECT 1 FROM v_followed d WHERE d.patient_id = g.patient_id AND d.subject = g.subject)
-        AND g.last_abnormal <= DATE '1998-06-30' - 90""",
-    "v_risk_card": f"""
-      SELECT fam.patient_id, 'warning' AS indicator, 2 AS check_ord, min(fam.id) AS fact_id, min(own.id) AS evidence_id,
-             'early cardiovascular disease in the family and an own factor' AS summary
-      FROM v_fact fam JOIN v_fact own ON own.patient_id = fam.patient_id
-      JOIN d_condition c ON c.cond = fam.subject
-      WHERE fam.resource_type = 'FamilyHistory' AND fam.status <> 'retracted' AND fam.relation <> 'uncle'
-        AND c.category = 'cardiovascular' AND fam.age_at_onset < {EARLY_ONSET} AND own.status <> 'retracted'
-        AND (own.resource_type = 'Lifestyle' OR (own.resource_type = 'LabResult' AND own.subject = 'ldl' AND own.flag = 'high'))
-      GROUP BY fam.patient_id""",
-    "v_family_risk_card": """
-      SELECT fam.patient_id, 'warning' AS indicator, 2 AS check_ord, fam.id AS fact_id, CAST(NULL AS BIGINT) AS evidence_id,
-             concat('hereditary ', c.category, ' risk by a first-degree relative') AS summary
-      FROM v_fact fam JOIN d_condition c ON c.cond = fam.subject
-      WHERE fam.resource_type = 'FamilyHistory' AND fam.status <> 'retracted' AND fam.relation <> 'uncle' AND c.category <> 'cardiovascular'""",
-    "v_hereditary_card": """
-      SELECT l.patient_id, 'info' AS indicator, 3 AS check_ord, min(f.id) AS fact_id, min(l.relative_id) AS evidence_id,
-             CASE WHEN l.consent THEN concat(l.relation, ' ', p.name, ' has ', min(f.subject)) ELSE concat(l.relation, ' has a heritable condition') END AS summary
-      FROM v_link l JOIN v_fact f ON f.patient_id = l.relative_id JOIN d_condition c ON c.cond = f.subject
-      JOIN v_patient p ON p.patient_id = l.relative_id
-      WHERE f.resource_type = 'Condition' AND f.status = 'active'
-      GROUP BY l.patient_id, l.relative_id, l.relation, l.consent, p.name""",
+      SELECT DISTINCT m.id AS fact_id, a.id AS evidence_id
+      FROM (SELECT patient_id, id, react FROM v_fact JOIN v_drug_key ON drug = subject WHERE resource_type = 'Medication' AND status = 'active' AND predicate <> 'stopped') m
+      JOIN (SELECT patient_id, id, react FROM v_fact JOIN v_drug_key ON drug = subject WHERE resource_type = 'Allergy' AND status = 'active' AND predicate <> 'cleared') a
+        ON m.patient_id = a.patient_id AND m.react = a.react""",
     "v_episode": """
       SELECT *, lead(valid_from) OVER (PARTITION BY patient_id, resource_type, subject ORDER BY valid_from, id) AS valid_to,
              lead(id) OVER (PARTITION BY patient_id, resource_type, subject ORDER BY valid_from, id) AS next_id
@@ -176,26 +153,25 @@ VIEWS = {
     "v_term": """
       SELECT p_partkey AS seq, lower(p_name) AS term, CASE WHEN p_partkey % 6 = 0 THEN 'no known class' ELSE class END AS class
       FROM part JOIN d_drug ON n = p_partkey % 41""",
-    "v_card": """
-      SELECT * FROM v_allergy_card UNION ALL SELECT * FROM v_gap_card UNION ALL SELECT * FROM v_risk_card UNION ALL SELECT * FROM v_hereditary_card""",
 }
 
 
-def with_views(body: str) -> str:
-    """``body`` preceded by the common table expressions it needs, in order of need."""
+def with_views(body: str, more: dict[str, str] | None = None) -> str:
+    """``body`` preceded by the common table expressions it needs, in order of need; ``more`` may be recursive."""
+    views = VIEWS | (more or {})
     order: list[str] = []
 
-    def need(sql: str) -> None:
-        for name in VIEWS:
-            if name not in order and re.search(rf"\b{name}\b", sql):
-                need(VIEWS[name])
+    def need(sql: str, within: str = "") -> None:
+        for name in views:
+            if name not in order and name != within and re.search(rf"\b{name}\b", sql):
+                need(views[name], name)
                 if name not in order:
                     order.append(name)
 
     need(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in order) + "\n" + body
+    return f"WITH {'RECURSIVE ' if more else ''}" + ",\n".join(f"{name} AS ({views[name]})" for name in order) + "\n" + body
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.plans import catalog, charts, frames
+from carefold.plans import catalog, charts, clinic, clinic_sql, frames
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return catalog.queries() | catalog.queries(charts.QUERIES) | frames.queries()
+    return catalog.queries() | catalog.queries(charts.QUERIES) | frames.queries() | clinic.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql() | catalog.oracle_sql(charts.QUERIES) | frames.oracle_sql()
+    return catalog.oracle_sql() | catalog.oracle_sql(charts.QUERIES) | frames.oracle_sql() | clinic_sql.oracle_sql()

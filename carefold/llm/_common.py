@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carefold.storage import materialize, shared_dir
 
-__all__ = ["ASCII_SPACE", "HOT_PARTS", "join_salted", "join_with_hot_keys", "materialize", "rows_as", "shared_dir", "table", "text_key"]
+__all__ = ["ASCII_SPACE", "HOT_PARTS", "join_salted", "join_with_hot_keys", "materialize", "rows_as", "shared_dir", "sliced", "table", "text_key"]
 
 #: A value with more than this share of all rows is hot; there are at most HOT_PARTS such values.
 HOT_PARTS = 1000
@@ -59,6 +59,21 @@ def join_salted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return dealt.join(copied, [key, "part"]).drop("part")
 
 
+def sliced(rows: DataFrame, key: str, n: str, by: str, most: int) -> DataFrame:
+    """``rows`` with groups of more than ``most`` cut up: ``key`` then names two slices, each of half of ``most`` or so.
+
+    ``n`` is the size of a row's group. Each two rows of a group have a slice pair in common, so whatever compares all
+    rows of a key still compares them; ``by`` tells which slice a row is in. Keys are longs that are hashes.
+    """
+    slices = F.ceil(F.col(n) * 2 / most).cast("int")
+    large = F.col(n) > most
+    own = F.when(large, F.pmod(F.xxhash64(by), slices)).otherwise(0)
+    others = F.when(large, F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.lit(0)))
+    met = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    pair = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
+    return met.withColumn(key, F.when(large, pair).otherwise(F.col(key))).drop("own", "other")
+
+
 def rows_as(docs: DataFrame, name: str = "r") -> DataFrame:
     """``docs`` with each row as one struct, so that its column names meet no others; ``select("r.*")`` undoes it."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(name))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carefold.llm._arrays import U64
-from carefold.llm._common import join_with_hot_keys, materialize, rows_as, table
+from carefold.llm._common import join_with_hot_keys, materialize, rows_as, sliced, table
 
 SHINGLE = 4
 LIMIT = 4
@@ -229,10 +229,7 @@ def _groups(nodes: DataFrame, limit: int) -> DataFrame:
         met = materialize(join_with_hot_keys(rows, large, "g", "n", rows.count()), "simhash-groups")
         out.append(met.filter("of IS NULL"))
         rows = met.filter("of IS NOT NULL")
-    # Slices: each member meets those of its own and of every other slice.
-    slices = F.ceil(F.col("of") * 2 / MAX_GROUP).cast("int")
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("fp"), slices)).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-    out.append(rows.select("fp", F.xxhash64("g", F.least("slice", "other"), F.greatest("slice", "other")).alias("g")))
+    out.append(sliced(rows, "g", "of", "fp", MAX_GROUP))
     return _union(out)
 
 

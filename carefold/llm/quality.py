@@ -1,29 +1,30 @@
 r"""Quality rules (operator 9), by DataFrame functions alone.
 
 Method: a short-circuit cascade. Each rule names the features it needs and the condition under which it rejects a
-document. On a sample (of SAMPLE_ROWS rows or so: it only orders the rules and never decides about a row) each
-rule is run by itself for its cost in seconds and the share it rejects; rules are then ordered by rejection per
-cost. ``cascade`` computes a rule's features only for the rows that all rules before it kept. All rules must keep a
-document, so the order changes the work and not the verdict.
+document. On a sample (of SAMPLE_ROWS rows or so: it only orders the rules and never decides about a row) the share of
+rows that each rule rejects is counted, in one job for all combinations of verdicts; a rule's cost is the work of its
+features on the sample's characters (WORK, passes over the text), so the order is the same in every run. Rules are
+ordered greedily: next comes the one that rejects most per cost of the features it still needs, among the rows that
+the rules before it keep. ``cascade`` and ``verdicts`` compute a rule's features only for the rows that all rules before
+it kept, ``verdicts`` but for the features that are wanted of every row. All rules must keep a document, so the order
+changes the work and not the verdict.
 
 Everything is computed within the row it belongs to: no shuffle, no Python, and repeated 3-word windows are found by
 sorting a row's own window hashes (only where a hash set shows that any window repeats), n log n in its words.
 
 Defined results: null and empty texts have no words and are rejected; rows are independent, so repeated rows, null
-doc_ids and ties need no rule; an empty table gives an empty result; ``cascade`` keeps extra columns, but for ones
-named like a feature, which it replaces.
+doc_ids and ties need no rule; an empty table gives an empty result; ``cascade`` keeps extra columns of any name.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carefold.llm._common import materialize, table
+from carefold.llm._common import table
 
 SPACES = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -34,18 +35,21 @@ SAMPLE_ROWS = 2_000
 class Rule:
     name: str
     needs: tuple[str, ...]
-    rejects: str  # SQL condition over the features
+    rejects: Callable[[dict[str, Column]], Column]  # a condition over the features
 
 
 RULES = (
-    Rule("few_words", ("n_words",), "n_words < 50"),
-    Rule("repeated_words", ("n_words", "n_repeat_words"), "100 * n_repeat_words > 50 * n_words"),
-    Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("symbols", ("n_words", "n_symbols"), "2 * n_symbols > n_words"),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), "100 * n_dup_lines > 30 * n_lines"),
-    Rule("capitals", ("word_chars", "n_capitals"), "2 * n_capitals > word_chars"),
+    Rule("few_words", ("n_words",), lambda f: f["n_words"] < 50),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
+    Rule("word_length", ("n_words", "word_chars"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
+    Rule("symbols", ("n_words", "n_symbols"), lambda f: 2 * f["n_symbols"] > f["n_words"]),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: 100 * f["n_dup_lines"] > 30 * f["n_lines"]),
+    Rule("capitals", ("word_chars", "n_capitals"), lambda f: 2 * f["n_capitals"] > f["word_chars"]),
 )
 
+#: Work of a feature in passes over the text: a scan is one, hashing and sorting windows many.
+WORK = {"n_words": 2.0, "word_chars": 1.0, "n_symbols": 1.0, "n_lines": 3.0, "n_dup_lines": 4.0, "n_capitals": 3.0, "n_repeat_words": 20.0}
+
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, computed once however often (and in however many lambdas) body uses it."""
@@ -72,11 +76,11 @@ def _repeat_words(text: Column) -> Column:
     return F.coalesce(_with(_with(words, windows), repeated), F.lit(0))
 
 
-def with_features(docs: DataFrame, names: set[str]) -> DataFrame:
-    """Adds the named features of column text; null counts as empty."""
+def features() -> dict[str, Column]:
+    """The features of column text by name; null counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
-    every = {
+    found = {
         "n_words": F.regexp_count(text, F.lit(f"[^{SPACES}]+")),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")),
         "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
@@ -85,52 +89,74 @@ def with_features(docs: DataFrame, names: set[str]) -> DataFrame:
         "n_capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
         "n_repeat_words": _repeat_words(text),
     }
-    return docs.withColumns({n: every[n].cast("long") for n in sorted(names)})
+    return {name: value.cast("long") for name, value in found.items()}
+
+
+def with_features(docs: DataFrame, names: set[str]) -> DataFrame:
+    """Adds the named features of column text."""
+    every = features()
+    return docs.withColumns({n: every[n] for n in sorted(names)})
+
 
+def _columns(names: tuple[str, ...]) -> dict[str, Column]:
+    return {n: F.col(n) for n in names}
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds on the sample, share rejected), by rejection per cost, most first."""
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, free: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """(rule, cost, share rejected of the rows that the rules before it keep), in the order of the cascade.
+
+    ``free`` features are computed anyway and cost nothing. Ties go to the rule that is named first.
+    """
     total = docs.count()
     sample = docs.select("text").sample(min(1.0, rows / max(total, 1)), seed=1)
-    sample = materialize(sample, "quality-sample")
-    size = max(1, sample.count())
-    out = []
-    for rule in rules:
-        judged = with_features(sample, set(rule.needs))
-        best, rejected = float("inf"), 0
-        for _ in range(2):  # the first run compiles
-            began = time.perf_counter()
-            rejected = judged.filter(rule.rejects).count()
-            best = min(best, time.perf_counter() - began)
-        out.append((rule, best, rejected / size))
-    return sorted(out, key=lambda x: -(x[2] + 1 / size) / x[1])
+    judged = with_features(sample, {n for rule in rules for n in rule.needs})
+    verdict = F.concat(*[F.when(rule.rejects(_columns(rule.needs)), "1").otherwise("0") for rule in rules])
+    seen = [(r[0], r[1]) for r in judged.groupBy(verdict.alias("v")).count().collect()]  # at most 2 ** rules rows
+    size = max(1, sum(n for _, n in seen))
+    out, have, left = [], set(free), list(range(len(rules)))
+    while left:
+        alive = max(1, sum(n for _, n in seen))
+        share = {i: sum(n for v, n in seen if v[i] == "1") / alive for i in left}
+        cost = {i: sum(WORK[n] for n in rules[i].needs if n not in have) for i in left}
+        best = max(left, key=lambda i: ((share[i] + 1 / size) / (cost[i] + 0.1), -i))  # noqa: B023
+        out.append((rules[best], cost[best], share[best]))
+        seen = [(v, n) for v, n in seen if v[best] == "0"]
+        have |= set(rules[best].needs)
+        left.remove(best)
+    return out
 
 
 def cascade(docs: DataFrame, ordered: list[Rule]) -> DataFrame:
     """The rows of ``docs``, all columns, that every rule keeps; a rule sees only what those before it kept."""
-    own = docs.columns
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r"), "text")
     for rule in ordered:
-        docs = with_features(docs, set(rule.needs)).filter(~F.expr(rule.rejects))
-    return docs.select(*own)
+        rows = with_features(rows, set(rule.needs)).filter(~rule.rejects(_columns(rule.needs)))
+    return rows.select("r.*")
+
 
+def verdicts(docs: DataFrame, ordered: list[Rule], wanted: tuple[str, ...]) -> DataFrame:
+    """doc_id, the ``wanted`` features and kept.
 
-def verdicts(docs: DataFrame, ordered: list[Rule]) -> DataFrame:
-    """doc_id, all features and kept: the cascade's verdict where the features are wanted for every row anyway."""
-    needs = {n for rule in ordered for n in rule.needs}
-    out = with_features(docs.select("doc_id", "text"), needs)
-    rejected = F.lit(False)
+    Other features are computed within the row only where the rules before have kept it: Spark evaluates a condition's
+    branches one after the other.
+    """
+    every = features()
+    out = docs.select("doc_id", "text").withColumns({n: every[n] for n in wanted})
+    kept = F.lit(True)
     for rule in reversed(ordered):
-        rejected = F.when(F.expr(rule.rejects), True).otherwise(rejected)
-    return out.withColumn("kept", ~rejected).drop("text")
+        kept = F.when(rule.rejects({n: F.col(n) if n in wanted else every[n] for n in rule.needs}), False).otherwise(kept)
+    return out.withColumn("kept", kept).drop("text")
+
+
+#: What the query returns of every document.
+WANTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = verdicts(docs, [rule for rule, _, _ in estimate(docs)])
+    judged = verdicts(docs, [rule for rule, _, _ in estimate(docs, free=WANTED)], WANTED)
     base_failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept"
-    )
+    return judged.select("doc_id", *WANTED, base_failed.alias("base_failed"), "kept")
 
 
 ORACLE = r"""

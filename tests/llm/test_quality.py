@@ -44,10 +44,26 @@ def test_cascade_is_the_verdict(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     ordered = [r for r, _, _ in quality.estimate(docs)]
     assert sorted(r.name for r in ordered) == sorted(r.name for r in quality.RULES)
-    kept = {r.doc_id for r in quality.verdicts(docs, list(quality.RULES)).filter("kept").collect()}
-    assert {r.doc_id for r in quality.cascade(docs, ordered).collect()} == kept
+    assert ordered == [r for r, _, _ in quality.estimate(docs)]  # the same in every run
+    for order in (ordered, ordered[::-1]):
+        kept = {r.doc_id for r in quality.verdicts(docs, order, quality.WANTED).filter("kept").collect()}
+        assert {r.doc_id for r in quality.cascade(docs, order).collect()} == kept and kept
+
+
+def test_order_by_rejection_per_cost(spark):
+    """What rejects nothing comes last; shares are of what earlier rules keep."""
+    docs = spark.createDataFrame([(1, "a b c")] * 10 + [(2, "# # # #" * 3 + " word" * 80)] * 5, "doc_id long, text string")
+    found = [(r.name, share) for r, _, share in quality.estimate(docs)]
+    assert found[0] == ("few_words", 10 / 15) and dict(found)["capitals"] == 0
+    assert dict(found)["repeated_words"] in (0.0, 1.0)
+
+
+def test_cascade_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(60)), 7, 8)], "doc_id long, text string, n_words int, r int")
+    left = quality.cascade(docs, list(quality.RULES))
+    assert left.columns == docs.columns and [tuple(r)[2:] for r in left.collect()] == [(7, 8)]
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert quality.verdicts(none, [r for r, _, _ in quality.estimate(none)]).collect() == []
+    assert quality.verdicts(none, [r for r, _, _ in quality.estimate(none)], quality.WANTED).collect() == []

@@ -12,7 +12,7 @@ to meet the positions to drop.
 
 Defined results: a null or empty text is one empty line and stays empty; rows that repeat a doc_id are one document
 in the counts, and keep their own lines; a null doc_id counts as less than any other; an empty table gives an empty
-result; extra columns stay in ``dedup`` (names that begin with _ld_ are reserved).
+result; extra columns of any name stay in ``dedup``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carefold.llm._common import ASCII_SPACE, join_with_hot_keys, materialize, table, text_key
+from carefold.llm._common import ASCII_SPACE, join_with_hot_keys, materialize, rows_as, table, text_key
 
 MIN_CHARS = 10
 
@@ -81,10 +81,10 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _joined(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``docs`` with _ld_drop, the positions to drop (null: none)."""
-    found = drops(docs, min_chars).select(F.col("doc").alias("_ld_doc"), F.col("row").alias("_ld_row"), F.col("positions").alias("_ld_drop"))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_ld_doc")) & (text_key(docs["text"]) == F.col("_ld_row"))
-    return docs.join(found, same, "left").drop("_ld_doc", "_ld_row")
+    """(r, positions): the rows of ``docs`` as structs, and the positions to drop (null: none)."""
+    found, rows = drops(docs, min_chars), rows_as(docs)
+    same = (F.coalesce(rows["r"]["doc_id"].cast("long"), F.lit(NO_ID)) == found["doc"]) & (text_key(rows["r"]["text"].cast("string")) == found["row"])
+    return rows.join(found, same, "left").select("r", "positions")
 
 
 def _without(text: str | None, positions: list[int] | None) -> tuple[str, int, int]:
@@ -98,19 +98,21 @@ def _without(text: str | None, positions: list[int] | None) -> tuple[str, int, i
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs``, all columns, with the repeated lines taken out of text; a text of which nothing is left is empty."""
-    kept = docs.columns
-    joined = _joined(docs, min_chars)
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
+            columns = batch.column("r").flatten()
+            texts = columns[at]
             new = [
                 t.as_py() if d.as_py() is None else _without(t.as_py(), d.as_py())[0]
-                for t, d in zip(texts, batch.column("_ld_drop"), strict=True)
+                for t, d in zip(texts, batch.column("positions"), strict=True)
             ]
-            yield pa.record_batch([pa.array(new, texts.type) if c == "text" else batch.column(c) for c in kept], kept)
+            columns[at] = pa.array(new, texts.type)
+            yield pa.record_batch(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return _joined(docs, min_chars).mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -119,9 +121,10 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_without(t.as_py(), d.as_py()) for t, d in zip(batch.column("text"), batch.column("_ld_drop"), strict=True)]
+            ids, texts = batch.column("r").flatten()
+            out = [_without(t.as_py(), d.as_py()) for t, d in zip(texts, batch.column("positions"), strict=True)]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([n for _, n, _ in out], pa.int64()), pa.array([n for _, _, n in out], pa.int64()),
+                [ids, pa.array([n for _, n, _ in out], pa.int64()), pa.array([n for _, _, n in out], pa.int64()),
                  pa.array([hashlib.sha256(t.encode()).hexdigest() for t, _, _ in out], pa.string())],
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )

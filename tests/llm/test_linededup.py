@@ -44,6 +44,12 @@ def test_like_loops(spark, seed):
     assert left == {(a, 1) for a, _ in rows}
 
 
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a line of both", 1, 2, 3), (2, "a line of both\nown", 4, 5, 6)], "doc_id long, text string, _ld_doc int, positions int, r int")
+    left = linededup.dedup(docs)
+    assert left.schema == docs.schema and sorted(map(tuple, left.collect())) == [(1, "a line of both", 1, 2, 3), (2, "own", 4, 5, 6)]
+
+
 def test_empty(spark):
     assert linededup.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

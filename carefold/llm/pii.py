@@ -43,22 +43,26 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser patterns, whose matches are candidates that the method may add.
+_AT, _DOT = r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)", r"(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)"
+#: Looser patterns, whose matches are candidates that the method may add: addresses that are written out, addresses of
+#: the longer kind, numbers shaped like cards or phones.
 LOOSE = {
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?:[0-9]{4}[\x20.-]?){3}[0-9]{1,4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)[\x20-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 #: What the usual way of writing looks like, by kind.
 SHAPE = {
-    "email": r"^[a-z0-9]+(?:[._+-][a-z0-9]+)*@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,6}$",
-    "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
+    "email": rf"^[a-z0-9]+(?:[._+-][a-z0-9]+)*(?:@|{_AT})[a-z0-9-]+(?:(?:\.|{_DOT})[a-z0-9-]+)*(?:\.|{_DOT})[a-z]{{2,6}}$",
+    "ip": r"^(?:(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}|[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7})$",
     "card": r"^(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{5})$",
     "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}$",
 }
 #: Gazetteer: top-level domains, first octets in public use, issuers' first digits, country and area codes.
 KNOWN = {
-    "email": r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|example|test)$",
-    "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
+    "email": r"(?:\.|dot[\])]?\x20?)(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|example|test)$",
+    "ip": r"^(?:(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.|(?:2[0-9a-f]{3}|fe80|fd[0-9a-f]{2}):)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^(?:\+(?:1|33|34|44|49)\b|\(?[2-9][0-9]{2})",
 }

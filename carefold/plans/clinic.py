@@ -146,6 +146,13 @@ def upload_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("upload_id", of.alias("duplicate_of"), F.when(of.isNotNull(), F.col("duplicate_name")).alias("duplicate_name"))
 
 
+def batch_dedup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a batch of a hundred ids; a duplicate's content is in an earlier batch."""
+    docs = run(spark, sf_dir, "SELECT doc_id, text, CAST(floor(doc_id / 100) AS BIGINT) AS batch FROM documents").withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    first = docs.groupBy("hash").agg(F.min("batch").alias("first"))
+    return docs.join(first, "hash").select("doc_id", (F.col("first") < F.col("batch")).alias("duplicate"))
+
+
 def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     asked = docs.select("patient_id", F.col("doc_id")).unionByName(docs.select("patient_id", (F.col("doc_id") * 1000 + 7).alias("doc_id")))
@@ -319,7 +326,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "why_narratives": lambda s, d: provenance.narratives(materialize(facts(s, d), "ledger")),
     "graph_nodes": lambda s, d: provenance.graph_nodes(*_graph(s, d), as_of()),
     "graph_edges": lambda s, d: provenance.graph_edges(*_graph(s, d)[:2], same_subject=True),
+    "graph_edges_superseded": lambda s, d: facts(s, d).filter("superseded_by IS NOT NULL").select(F.col("id").alias("source"), F.col("superseded_by").alias("target"), F.lit("SUPERSEDED_BY").alias("kind")),
     # Checks.
+    "followup_gap_open": lambda s, d: checks.gap_cards(_series(s, d), charts(s, d)).select("patient_id", "summary", today().alias("as_of")),
     "lab_trend_cards": lambda s, d: _shown(checks.trend_cards(_series(s, d))),
     "followup_gap": lambda s, d: _shown(checks.gap_cards(_series(s, d), charts(s, d))),
     "allergy_conflict": lambda s, d: _shown(checks.allergy_cards(charts(s, d)), "ord2"),
@@ -379,6 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merged_identity": lambda s, d: intake.merged_identity(_pages_of_identity(s, d)),
     "csv_identity": lambda s, d: intake.csv_identity(run(s, d, "SELECT CAST(floor(id / 5) AS BIGINT) AS doc_id, id AS row, relative_mrn AS mrn, CAST(patient_id AS STRING) AS patient_id FROM v_chart")),
     "upload_split": upload_split,
+    "batch_dedup_split": batch_dedup_split,
     "ingest_plan": ingest_plan,
     "ingest_outcomes": ingest_outcomes,
     "batch_pins": batch_pins,

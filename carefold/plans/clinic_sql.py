@@ -269,6 +269,10 @@ QUERIES = {
         SELECT concat('fact:', id) AS source, concat('fact:', superseded_by) AS target, 'SUPERSEDED_BY' AS kind, NULL AS label FROM o_ledger WHERE superseded_by IS NOT NULL
         UNION ALL SELECT concat('fact:', id), concat('fact:', next), 'SAME_SUBJECT', NULL FROM (SELECT *, lead(id) OVER (PARTITION BY patient_id, subject ORDER BY valid_from, id) AS next FROM o_ledger) WHERE next <> coalesce(superseded_by, -1)
         UNION ALL SELECT concat('fact:', anchor), concat('rel:', b), 'RELATED_TO', relation FROM o_edge JOIN (SELECT patient_id, first(id ORDER BY valid_from, id) AS anchor FROM o_ledger GROUP BY 1) ON patient_id = a WHERE confidence = 'high'""",
+    "graph_edges_superseded": "SELECT id AS source, superseded_by AS target, 'SUPERSEDED_BY' AS kind FROM o_ledger WHERE superseded_by IS NOT NULL",
+    "followup_gap_open": f"SELECT patient_id, summary, {TODAY} AS as_of FROM o_gap_card",
+    "batch_dedup_split": """
+        SELECT d.doc_id, EXISTS (SELECT 1 FROM documents e WHERE coalesce(e.text, '') = coalesce(d.text, '') AND floor(e.doc_id / 100) < floor(d.doc_id / 100)) AS duplicate FROM documents d""",
     "lab_trend_cards": f"SELECT {_SHOWN} FROM o_trend_card",
     "followup_gap": f"SELECT {_SHOWN} FROM o_gap_card",
     "allergy_conflict": f"SELECT {_SHOWN}, o2 AS ord2 FROM o_allergy_card",

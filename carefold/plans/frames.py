@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carefold.functions.clinical import age_on, normal_name
 from carefold.operators import recall
+from carefold.plans import clinic_sql
 from carefold.plans.catalog import run
 from carefold.plans.views import with_views
 from carefold.sources import fhir, lab_csv
@@ -81,7 +82,7 @@ def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replays the events as a stream; the closed facts go to a table in the shared folder."""
     path = f"{sf_dir}/events.parquet"
     # As a pattern, the path may be a single file as well as a folder.
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/event[s].parquet")
     statements = events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("patient_id"), F.col("event_type").alias("subject"),
         F.floor(F.col("value") / 100).cast("long").alias("bucket"), F.to_date("ts").alias("valid_from"),
@@ -126,7 +127,8 @@ ORACLE = {
                max(1998 - year(dob) - CASE WHEN month(dob) * 100 + day(dob) > 630 THEN 1 ELSE 0 END) AS oldest
         FROM v_patient GROUP BY 1""",
     "stream_reconcile": """
-        SELECT patient_id, subject, id, bucket, valid_from, valid_to, superseded_by, statements FROM v_ledger WHERE superseded_by IS NOT NULL""",
+        SELECT f.patient_id, f.subject, f.id, f.value AS bucket, f.valid_from, f.valid_to, f.superseded_by, f.status,
+               1 + (SELECT count(*) FROM o_verdict r WHERE r.cls = 'CONSISTENT' AND r.target = f.id) AS statements FROM o_ledger f WHERE f.status <> 'active'""",
 }
 
 
@@ -135,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in ORACLE.items()}
+    return {name: with_views(sql, clinic_sql.VIEWS) for name, sql in ORACLE.items()}

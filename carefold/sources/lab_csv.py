@@ -1,7 +1,7 @@
 """Laboratory results in CSV files with a header.
 
 Defined results: headers are matched without regard to case and outer spaces, the first alias with a value wins;
-rows without an analyte are dropped; blank values are null; columns of other names are not read; a file without rows
+rows without an analyte are dropped; analytes are canonical; blank values are null; columns of other names are not read; a file without rows
 gives none.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carefold.functions.clinical import canonical_flag, coerce_date
+from carefold.functions.clinical import canonical_analyte, canonical_flag, coerce_date
 
 #: The names that each field goes by.
 ALIASES = {
@@ -29,8 +29,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
 
 
-def assertions(rows: DataFrame) -> DataFrame:
-    """One laboratory assertion per row of a table of strings."""
+def assertions(rows: DataFrame, today: Column | None = None) -> DataFrame:
+    """One laboratory assertion per row of a table of strings; a row without a date is of ``today``."""
     by_name = {c.strip().lower(): c for c in rows.columns}
 
     def field(name: str) -> Column:
@@ -40,12 +40,13 @@ def assertions(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.lit("LabResult").alias("resource_type"),
         F.lit("measured").alias("predicate"),
-        F.lower(field("subject")).alias("subject"),
+        canonical_analyte(field("subject")).alias("subject"),
+        field("subject").alias("analyte_name"),
         field("reading").alias("reading"),
         field("unit").alias("unit"),
         field("reference_range").alias("reference_range"),
-        canonical_flag(field("flag")).alias("flag"),
-        coerce_date(field("date")).alias("valid_from"),
+        F.nullif(canonical_flag(field("flag")), F.lit("")).alias("flag"),
+        coerce_date(field("date"), today=today).alias("valid_from"),
         field("patient_ref").alias("patient_ref"),
         field("source").alias("source"),
-    ).filter("subject IS NOT NULL")
+    ).filter("analyte_name IS NOT NULL").drop("analyte_name")

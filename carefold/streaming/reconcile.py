@@ -1,11 +1,17 @@
 """Reconciliation of a stream of statements into a ledger of facts, one state per (patient, subject).
 
-The state of a key is its active fact only: id, value, first day and number of statements. A statement with the
-active fact's value reinforces it; one with another value supersedes it, which emits the closed fact. Statements of
-a micro-batch are ordered by (valid_from, id); across batches the order is that of arrival. A statement older than
-the active fact is taken as it comes, or dropped where ``strict`` is set.
+The state of a key is its active fact only: id, value, first day and number of statements. ``ledger.verdict`` decides:
+a statement with the active fact's value reinforces it; one with another value supersedes it, which emits the closed
+fact; one with another value of the same day contradicts it, which emits both as contested and leaves none active.
 
-Defined results: statements without a key are dropped; a repeated id reinforces; an empty stream emits nothing.
+Statements of a micro-batch are ordered by (valid_from, id) within their key. Across batches the order is that of
+arrival, as statements are judged when they come: one that is older than the active fact is judged like any other, so
+its fact may end before it began (valid_to < valid_from) and hold on no day. With ``strict`` such late statements are
+not judged but emitted as they are, with status late, so that none is lost. A stream that comes in order gives the
+batch's ledger.
+
+A key's rows of one trigger are sorted in one task, so the source's maxFilesPerTrigger bounds them; the replay of a
+backlog is ``ledger.reconcile``'s work. Defined results: statements without a key, an id, a value or a date are dropped; a repeated id reinforces; an empty stream emits nothing.
 """
 
 from __future__ import annotations
@@ -16,39 +22,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CLOSED = "patient_id long, subject string, id long, bucket long, valid_from date, valid_to date, superseded_by long, statements long"
+from carefold.operators.ledger import CONSISTENT, CONTRADICTS, NEW, verdict
+
+CLOSED = "patient_id long, subject string, id long, bucket long, valid_from date, valid_to date, superseded_by long, statements long, status string"
 STATE = "id long, bucket long, valid_from date, statements long"
 
 
 def closed_facts(statements: DataFrame, strict: bool = False) -> DataFrame:
-    """The facts that later statements supersede, as they are superseded.
+    """The facts that are active no more, as later statements supersede or contradict them.
 
     ``statements`` is a stream of (id, patient_id, subject, bucket, valid_from).
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["valid_from", "id"])
-        active = state.get if state.exists else None
+        active = tuple(state.get) if state.exists else None
         out = []
-        for row in rows.itertuples(index=False):
-            if active is None:
-                active = (row.id, row.bucket, row.valid_from, 1)
-            elif strict and row.valid_from < active[2]:
+        # A key's rows of one trigger: pieces in turn, sorted as a whole.
+        for row in pd.concat(list(batches)).sort_values(["valid_from", "id"]).itertuples(index=False):
+            if strict and active is not None and row.valid_from < active[2]:
+                out.append((*key, row.id, row.bucket, row.valid_from, None, None, 1, "late"))
                 continue
-            elif row.bucket == active[1]:
+            said = verdict(active, row.bucket, row.valid_from)
+            if said == CONSISTENT:
                 active = (*active[:3], active[3] + 1)
-            else:
-                out.append((*key, *active[:3], row.valid_from, row.id, active[3]))
-                active = (row.id, row.bucket, row.valid_from, 1)
+                continue
+            if said == CONTRADICTS:
+                out.append((*key, *active[:3], None, None, active[3], "contested"))
+                out.append((*key, row.id, row.bucket, row.valid_from, None, None, 1, "contested"))
+                active = None
+                continue
+            if said != NEW:
+                out.append((*key, *active[:3], row.valid_from, row.id, active[3], "superseded"))
+            active = (row.id, row.bucket, row.valid_from, 1)
         if active is not None:
             state.update(tuple(int(x) if i != 2 else x for i, x in enumerate(active)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
+        elif state.exists:
+            state.remove()
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
+        yield frame.astype({"superseded_by": "Int64"})
 
     known = statements.filter("patient_id IS NOT NULL AND subject IS NOT NULL AND id IS NOT NULL AND bucket IS NOT NULL AND valid_from IS NOT NULL")
     chosen = known.select("id", "patient_id", "subject", "bucket", "valid_from")
     return chosen.groupBy("patient_id", "subject").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def once(statements: DataFrame, key: str = "id") -> DataFrame:
-    """A stream without repeated deliveries: the first row of each key stays."""
-    return statements.dropDuplicates([key])
+def once(statements: DataFrame, key: str = "id", at: str | None = None, within: str = "7 days") -> DataFrame:
+    """A stream without repeated deliveries: the first row of each key stays.
+
+    With ``at``, a column of timestamps, keys are kept for ``within`` after them and forgotten then, so the state is
+    bounded by the deliveries of that time; without it every key is kept.
+    """
+    if at is None:
+        return statements.dropDuplicates([key])
+    return statements.withWatermark(at, within).dropDuplicatesWithinWatermark([key])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
-from carefold.operators import checks, conversation, evidence, identity, intake, ledger, provenance
+from carefold.operators import checks, conversation, evidence, identity, intake, ledger, memory, provenance, recall
 from carefold.plans.catalog import run
 from carefold.plans.views import OTHER_RAW, RAW_DATES, RAW_FLAGS, RAW_NAMES
 from carefold.storage import materialize
@@ -305,6 +305,32 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return own, kin(spark, sf_dir).join(own.select("patient_id").distinct(), "patient_id", "left_semi"), registry(spark, sf_dir)
 
 
+_NODE = """
+    SELECT id, CASE id % 5 WHEN 0 THEN concat('{"name": "n', CAST(id AS STRING), '", "type": "Fact"}') WHEN 1 THEN concat('{"name": " ", "title": "t", "node_type": "Doc", "text": "', subject, '"}')
+           WHEN 2 THEN '{"__class__": "Day"}' WHEN 3 THEN '{}' ELSE 'no json' END AS raw FROM v_chart"""
+_EDGE = """
+    SELECT id, CASE id % 3 WHEN 0 THEN concat('{"source": "', CAST(id AS STRING), '", "target_node_id": "x", "relationship_name": "OF"}')
+           WHEN 1 THEN concat('{"source_node_id": "', CAST(id AS STRING), '", "target": "y", "label": "l"}') ELSE '[]' END AS raw FROM v_chart"""
+
+
+def memory_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline has the documents (seven events each) without any correction."""
+    judged = materialize(ledger.classify(statements(spark, sf_dir)), "verdicts").withColumn("doc_id", F.floor(F.col("id") / 7))
+    plain = intake.outcomes(judged.select("doc_id", F.col("id").alias("place"), "classification", F.lit("").alias("reason"))).filter("naive").select("doc_id")
+    said = judged.join(plain, "doc_id", "left_semi").select("patient_id", "id", "valid_from", F.concat("subject", F.lit(" "), F.col("value").cast("string")).alias("label"))
+    return memory.answers(said, facts(spark, sf_dir))
+
+
+def memory_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts nearest to every fiftieth vector; vectors without a document have none."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = vectors.filter("vec_id % 50 = 0")
+    found = recall.top_k_each(vectors, asked, 5)
+    texts = run(spark, sf_dir, "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0")
+    out = memory.recalled(asked.select(F.col("vec_id").alias("query_id")), found, texts)
+    return out.select("query_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # The ledger and time travel.
     "snapshot_as_of": lambda s, d: ledger.snapshot(facts(s, d), as_of()).select("id", "patient_id", "subject", "value", "valid_from", "valid_to", "status"),
@@ -392,6 +418,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_plan": ingest_plan,
     "ingest_outcomes": ingest_outcomes,
     "batch_pins": batch_pins,
+    # Memory.
+    "memory_nodes": lambda s, d: memory.nodes(run(s, d, _NODE)),
+    "memory_edges": lambda s, d: memory.edges(run(s, d, _EDGE)),
+    "entry_texts": lambda s, d: run(s, d, _NODE).select("id", memory.entry_text(F.col("raw")).alias("text")),
+    "timeline_facts": lambda s, d: memory.timeline_facts(run(s, d, "SELECT id, patient_id, subject, predicate, value, CAST(valid_from AS STRING) AS date, CASE WHEN id % 2 = 0 THEN source END AS source, value AS text FROM v_chart")),
+    "memory_answers": memory_answers,
+    "memory_recalled": memory_recalled,
     # Conversations.
     "turn_rollup": turn_rollup,
     "message_meta": message_meta,

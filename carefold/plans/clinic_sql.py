@@ -386,6 +386,24 @@ QUERIES = {
                bool_or(cls IN ('SUPERSEDES', 'CONTRADICTS')) AS healed, NOT bool_or(cls IN ('SUPERSEDES', 'CONTRADICTS')) AS naive FROM o_verdict GROUP BY 1""",
     "batch_pins": """
         SELECT CAST(floor(a.id / 7) AS BIGINT) AS batch, a.id AS place, (SELECT first(b.patient_id ORDER BY b.id) FROM v_order b WHERE floor(b.id / 7) = floor(a.id / 7) AND b.id <= a.id AND b.id % 3 <> 0) AS chart, a.id % 3 <> 0 AS ok FROM v_order a""",
+    "memory_nodes": """
+        SELECT CAST(id AS VARCHAR) AS id, CASE id % 5 WHEN 0 THEN concat('n', id) WHEN 1 THEN subject WHEN 2 THEN 'Day' ELSE 'Timestamp' END AS label, CASE id % 5 WHEN 0 THEN 'Fact' WHEN 1 THEN 'Doc' ELSE '' END AS type FROM v_chart""",
+    "memory_edges": "SELECT CASE WHEN id % 3 < 2 THEN CAST(id AS VARCHAR) ELSE '' END AS source, CASE id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE '' END AS target, CASE id % 3 WHEN 0 THEN 'OF' WHEN 1 THEN 'l' ELSE '' END AS type FROM v_chart",
+    "entry_texts": "SELECT id, CASE WHEN id % 5 = 1 THEN subject END AS text FROM v_chart",
+    "timeline_facts": f"""
+        SELECT id, patient_id, subject, predicate, value, valid_from, CASE WHEN id % 2 = 0 THEN source ELSE 'unknown' END AS source, value AS raw_text, type AS resource_type
+        FROM v_chart LEFT JOIN (VALUES {_values(list(V.RESOURCE_TYPES.items()))}) AS t(s, type) ON s = lower(subject)""",
+    "memory_answers": """
+        SELECT coalesce(n.patient_id, s.patient_id) AS patient_id, coalesce(naive, '') AS naive, coalesce(smart, '') AS smart
+        FROM (SELECT patient_id, string_agg(concat(subject, ' ', bucket), '; ' ORDER BY valid_from, id) AS naive FROM o_verdict
+              WHERE floor(id / 7) NOT IN (SELECT floor(id / 7) FROM o_verdict WHERE cls IN ('SUPERSEDES', 'CONTRADICTS')) GROUP BY 1) n
+        FULL JOIN (SELECT patient_id, string_agg(label, '; ' ORDER BY valid_from, id) AS smart FROM o_ledger WHERE status = 'active' GROUP BY 1) s ON s.patient_id = n.patient_id""",
+    "memory_recalled": """
+        SELECT q.vec_id AS query_id, sha256(coalesce(t, 'No memory matches.')) AS text_sha256 FROM embeddings q LEFT JOIN (
+          SELECT query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY place) AS t FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
+              SELECT a.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS similarity FROM embeddings e, embeddings a WHERE a.vec_id % 50 = 0)
+          ) JOIN documents ON doc_id = vec_id AND doc_id % 2 = 0 WHERE place <= 5 GROUP BY query_id) ON query_id = q.vec_id WHERE q.vec_id % 50 = 0""",
     "turn_rollup": """
         SELECT turn_id, coalesce(string_agg(chip, ',' ORDER BY seq) FILTER (WHERE chip <> ''), '') AS actions, last(fact_id ORDER BY seq) FILTER (WHERE fact_id IS NOT NULL) AS fact_id,
                CASE max(rank) WHEN 2 THEN 'contested' WHEN 1 THEN 'low_confidence' ELSE 'settled' END AS certainty, first(pending ORDER BY seq) FILTER (WHERE pending IS NOT NULL) AS pending,

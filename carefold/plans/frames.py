@@ -114,7 +114,7 @@ ORACLE = {
             SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
             FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) AS pairs) AS ranked WHERE place <= {TOP}""",
     "fhir_observation": """
-        SELECT id, lower(subject) AS subject, reading, 'mg/dL' AS unit, CASE flag WHEN 'high' THEN 'high' WHEN 'low' THEN 'low' ELSE flag END AS flag,
+        SELECT id, split_part(lower(subject), ' ', 1) AS subject, reading, 'mg/dL' AS unit, CASE flag WHEN 'high' THEN 'high' WHEN 'low' THEN 'low' ELSE flag END AS flag,
                valid_from, CAST(patient_id AS VARCHAR) AS patient_ref FROM v_fact""",
     "fhir_family_history": """
         SELECT id, subject, relation, age_at_onset, CAST(date_trunc('month', valid_from) AS DATE) AS valid_from FROM v_fact

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carefold.llm import bpe, decontam, langid, linededup, pii, quality, simhash, substring, token_counts, token_files
+from carefold.llm import bpe, centroids, decontam, dialogs, langid, linededup, pii, quality, simhash, substring, token_counts, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontam.query,
         "op9_quality_rules": quality.query,
         "op10_line_dedup": linededup.query,
+        "op11_centroid_clustering": centroids.query,
+        "op12_warc": warc.query,
+        "op13_conversation_repair": dialogs.query,
     }
 
 

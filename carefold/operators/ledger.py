@@ -3,23 +3,20 @@
 A fact is (id, patient_id, subject, value, valid_from, valid_to, superseded_by, status, confidence); it holds from
 valid_from until before valid_to.
 
-Reconciliation reads a key's statements (patient, subject) in the order of (valid_from, id) and needs what came before
-each, so a task goes through its sorted rows once and holds one active fact, not a group: a key of any size fits.
-Everything that follows from the verdicts is joins and aggregations. Defined results: statements without a patient,
+Reconciliation reads a key's statements (patient, subject) in the order of (valid_from, id); ``verdicts`` says how a key
+of any size is spread over tasks. Everything that follows from the verdicts is joins and aggregations. Defined results: statements without a patient,
 subject, id, value or date are dropped; an empty table has no facts; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carefold.operators import verdicts
+from carefold.operators.verdicts import CONSISTENT, CONTRADICTS, NEW, SUPERSEDES
 from carefold.storage import materialize
 
-NEW, CONSISTENT, CONTRADICTS, SUPERSEDES = "NEW", "CONSISTENT", "CONTRADICTS", "SUPERSEDES"
 #: What a restatement adds to a fact's confidence, and the most that a contested fact has.
 STEP, CONTESTED_MOST = 0.05, 0.5
 
@@ -39,26 +36,7 @@ def verdict(active: tuple | None, value: object, day: object) -> str:
 
 def classify(statements: DataFrame) -> DataFrame:
     """(id, patient_id, subject, value, valid_from, classification, target): ``target`` is the fact that it is about."""
-    columns = ["patient_id", "subject", "valid_from", "id", "value"]
-    known = statements.select(*columns).na.drop()
-    dealt = known.repartition("patient_id", "subject").sortWithinPartitions("patient_id", "subject", "valid_from", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, active = None, None
-        for batch in batches:
-            said, targets = [], []
-            for patient, subject, day, i, value in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if (patient, subject) != key:
-                    key, active = (patient, subject), None
-                said.append(verdict(active, value, day))
-                targets.append(active[0] if active else None)
-                if said[-1] == CONTRADICTS:
-                    active = None
-                elif said[-1] != CONSISTENT:
-                    active = (i, value, day)
-            yield pa.record_batch([*batch.columns, pa.array(said, pa.string()), pa.array(targets, batch.column("id").type)], [*columns, "classification", "target"])
-
-    return dealt.mapInArrow(run, known.schema.add("classification", "string").add("target", known.schema["id"].dataType))
+    return verdicts.classify(statements)
 
 
 def reconcile(statements: DataFrame, confidence: float = 1.0) -> DataFrame:
@@ -67,19 +45,11 @@ def reconcile(statements: DataFrame, confidence: float = 1.0) -> DataFrame:
     A superseded fact ends where the next begins; a contradiction leaves both facts contested, open, and out of what
     later statements are compared with; a restatement is no fact and makes its fact surer.
     """
-    judged = materialize(classify(statements), "verdicts")
-    kind = F.col("classification")
-    about = judged.filter(kind != NEW).groupBy(F.col("target").alias("id")).agg(
-        F.count(F.when(kind == CONSISTENT, 1)).alias("restated"),
-        F.max(F.when(kind == SUPERSEDES, F.struct("valid_from", "id"))).alias("next"),
-        F.max(kind == CONTRADICTS).alias("disputed"),
-    )
-    contested = (kind == CONTRADICTS) | F.coalesce("disputed", F.lit(False))
-    sure = F.least(F.lit(1.0), F.round(F.lit(confidence) + STEP * F.coalesce("restated", F.lit(0)), 4))
-    return judged.filter(kind != CONSISTENT).join(about, "id", "left").select(
-        "id", "patient_id", "subject", "value", "valid_from", F.col("next.valid_from").alias("valid_to"), F.col("next.id").alias("superseded_by"),
-        F.when(contested, "contested").when(F.col("next").isNotNull(), "superseded").otherwise("active").alias("status"),
-        F.when(contested, F.least(sure, F.lit(CONTESTED_MOST))).otherwise(sure).alias("confidence"),
+    sure = F.least(F.lit(1.0), F.round(F.lit(confidence) + STEP * F.col("restated"), 4))
+    return verdicts.facts(statements).select(
+        "id", "patient_id", "subject", "value", "valid_from", "valid_to", "superseded_by",
+        F.when(F.col("contested"), "contested").when(F.col("superseded_by").isNotNull(), "superseded").otherwise("active").alias("status"),
+        F.when(F.col("contested"), F.least(sure, F.lit(CONTESTED_MOST))).otherwise(sure).alias("confidence"),
     )
 
 

@@ -10,7 +10,7 @@ subject, id, value or date are dropped; an empty table has no facts; extra colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from carefold.operators import verdicts
@@ -19,6 +19,8 @@ from carefold.storage import materialize
 
 #: What a restatement adds to a fact's confidence, and the most that a contested fact has.
 STEP, CONTESTED_MOST = 0.05, 0.5
+#: Pointers that are followed before the result is stored; a round goes JUMPS + 1 times as far as the one before.
+JUMPS = 3
 
 
 def verdict(active: tuple | None, value: object, day: object) -> str:
@@ -81,6 +83,44 @@ def chains(facts: DataFrame, starts: DataFrame) -> DataFrame:
         jumps = materialize(jumps.join(on, "to").select("id", F.col("beyond").alias("to"), (F.col("far") + F.col("more")).alias("far")), "chain-jumps")
 
 
+def ranked(facts: DataFrame) -> DataFrame:
+    """(id, chain, position, length): where each fact stands in its chain of supersession, a row for each id.
+
+    List ranking by pointer jumping: each fact knows a later one and how far that is, and takes over what that one knows,
+    JUMPS times a round, so the rounds are the logarithm of the longest chain and a round has a row a fact at most. ``chain`` is the last
+    fact, ``position`` counts from 1 on; facts that share a successor are of one chain, whose length is that of its
+    longest way. An unknown superseded_by ends a chain; facts of a cycle, or that lead into one, have nulls.
+    """
+    known = facts.groupBy("id").agg(F.max("superseded_by").alias("next"))
+    there = known.select(F.col("id").alias("next"), F.lit(True).alias("there"))
+    ends = F.col("there").isNull() | F.col("next").isNull()
+    linked = known.join(there, "next", "left").select("id", F.when(ends, F.col("id")).otherwise(F.col("next")).alias("to"), F.when(ends, 0).otherwise(1).cast("long").alias("far"), ends.alias("done"))
+
+    def stored(rows: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        return materialize(rows.observe(seen, F.count(F.when(~F.col("done"), 1)).alias("n")), "chain-ranks"), seen.get["n"]
+
+    every, n = stored(linked)
+    left = every.filter("NOT done")
+    while n:
+        on = every.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("far").alias("more"), F.col("done").alias("ends"))
+        moved = left
+        for _ in range(JUMPS):  # an end points to itself and is no way off
+            moved = moved.join(on, "to").select("id", F.col("beyond").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("done"))
+        before = n
+        moved, n = stored(moved)
+        every, left = every.filter("done").unionByName(moved), moved.filter("NOT done")
+        if n == before:  # the nearest one to an end would have found it
+            break
+    every = every.filter("done")
+    lengths = every.groupBy("to").agg((F.max("far") + 1).alias("length"))
+    out = every.join(lengths, "to").select("id", F.col("to").alias("chain"), (F.col("length") - F.col("far")).alias("position"), "length")
+    if n:
+        none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[1:]]
+        out = out.unionByName(left.select("id", *none))
+    return out
+
+
 def retract(facts: DataFrame, ids: DataFrame) -> DataFrame:
     """``facts`` after the facts of ``ids`` (id, reason) are retracted as entered in error.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
+from carefold.operators import ledger
 
 
 def trends(facts: DataFrame) -> DataFrame:
@@ -57,6 +58,22 @@ def why(facts: DataFrame) -> DataFrame:
     )
 
 
+def answers(facts: DataFrame) -> DataFrame:
+    """``why`` with the fact's place in its chain (chain, position, length) and the trend of its siblings.
+
+    trend and trend_reason are those of the active readings of its subject, for facts that nothing replaced and that
+    have siblings; chains of a cycle are null.
+    """
+    siblings = trend_reason(trends(facts)).select("patient_id", "subject", "trend", F.col("reason").alias("trend_reason"))
+    place = facts.select("id", "patient_id", "subject")
+    met = why(facts).join(place, "id").join(ledger.ranked(facts), "id").join(siblings, ["patient_id", "subject"], "left")
+    shown = F.col("siblings") > 1
+    return met.select(
+        "id", "replaced_by", "reason", "source", "date", "siblings", "chain", "position", "length",
+        F.when(shown, F.col("trend")).alias("trend"), F.when(shown, F.col("trend_reason")).alias("trend_reason"),
+    )
+
+
 def narratives(facts: DataFrame) -> DataFrame:
     """(patient_id, subject, narrative, fact_id): the history of each subject in words, and the fact to show.
 

@@ -336,7 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_as_of": lambda s, d: ledger.snapshot(facts(s, d), as_of()).select("id", "patient_id", "subject", "value", "valid_from", "valid_to", "status"),
     "ledger_active": lambda s, d: facts(s, d).filter("status = 'active'").select("id", "patient_id", "subject", "value", "valid_from"),
     "ledger_history": lambda s, d: facts(s, d).select("patient_id", "subject", "id", "value", "valid_from", "valid_to", "status", "superseded_by"),
-    "supersession_chain": lambda s, d: ledger.chains(own := materialize(facts(s, d).select("id", "superseded_by"), "ledger"), own),
+    "supersession_chain": lambda s, d: ledger.ranked(materialize(facts(s, d).select("id", "superseded_by"), "ledger")),
     "reconcile_islands": lambda s, d: facts(s, d).select("id", "patient_id", "subject", "value", "valid_from", "valid_to", "superseded_by", "status", F.round(F.col("confidence") * 100).cast("long").alias("confidence_percent")),
     "reconcile_contested": lambda s, d: facts(s, d).filter("status = 'contested'").select("id", "patient_id", "subject", "value", "valid_from", "confidence"),
     "reconcile_classified": lambda s, d: ledger.classify(statements(s, d)).select("id", "patient_id", "subject", "classification", "target"),
@@ -349,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "why_trend": lambda s, d: provenance.trends(charts(s, d)).select("patient_id", "subject", "n", "seq", "trend", "wrong_way"),
     "trend_reasons": lambda s, d: provenance.trend_reason(provenance.trends(charts(s, d))).select("patient_id", "subject", "reason"),
     "why_facts": lambda s, d: provenance.why(materialize(facts(s, d), "ledger")),
+    "why_answers": lambda s, d: provenance.answers(materialize(facts(s, d), "ledger")),
     "why_narratives": lambda s, d: provenance.narratives(materialize(facts(s, d), "ledger")),
     "graph_nodes": lambda s, d: provenance.graph_nodes(*_graph(s, d), as_of()),
     "graph_edges": lambda s, d: provenance.graph_edges(*_graph(s, d)[:2], same_subject=True),

@@ -63,6 +63,10 @@ VIEWS = {
     "o_chain": """
         SELECT id AS start, 0 AS step, id, superseded_by AS next FROM o_ledger
         UNION ALL SELECT c.start, c.step + 1, l.id, l.superseded_by FROM o_chain c JOIN o_ledger l ON l.id = c.next""",
+    # Of each fact the last one of its chain, and how many come before it.
+    "o_rank": """
+        SELECT e.start AS id, e.id AS chain, 1 + (SELECT max(b.step) FROM o_chain b WHERE b.id = e.start) AS position, 1 + (SELECT max(b.step) FROM o_chain b WHERE b.id = e.id) AS length
+        FROM o_chain e WHERE e.next IS NULL""",
     # Kinship.
     "o_person": f"SELECT patient_id, name, {_NN.format('name')} AS nn, dob, lower(trim(mrn)) AS mrn, mrn AS shown_mrn, regexp_extract({_NN.format('name')}, '[^ ]+$') AS surname FROM v_patient",
     "o_mention": f"""
@@ -227,7 +231,7 @@ QUERIES = {
     "snapshot_as_of": f"SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from, valid_to, status FROM o_ledger WHERE valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to > {AS_OF})",
     "ledger_active": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from FROM o_ledger WHERE status = 'active'",
     "ledger_history": "SELECT patient_id, subject, id, CAST(value AS VARCHAR) AS value, valid_from, valid_to, status, superseded_by FROM o_ledger",
-    "supersession_chain": "SELECT start, step, id FROM o_chain",
+    "supersession_chain": "SELECT id, chain, position, length FROM o_rank",
     "reconcile_islands": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from, valid_to, superseded_by, status, percent AS confidence_percent FROM o_ledger",
     "reconcile_contested": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from, percent / 100 AS confidence FROM o_ledger WHERE status = 'contested'",
     "reconcile_classified": "SELECT id, patient_id, subject, cls AS classification, target FROM o_verdict",
@@ -253,6 +257,15 @@ QUERIES = {
         SELECT l.id, s.id AS replaced_by, coalesce(l.reason, s.reason, '') AS reason, coalesce(s.source, l.source) AS source, coalesce(s.valid_from, l.valid_from) AS date,
                CASE WHEN s.id IS NULL AND k.n > 1 THEN k.n ELSE 0 END AS siblings
         FROM o_ledger l LEFT JOIN o_ledger s ON s.id = l.superseded_by LEFT JOIN (SELECT patient_id, subject, count(*) AS n FROM o_ledger WHERE status = 'active' GROUP BY 1, 2) k ON k.patient_id = l.patient_id AND k.subject = l.subject""",
+    "why_answers": """
+        SELECT l.id, s.id AS replaced_by, coalesce(l.reason, s.reason, '') AS reason, coalesce(s.source, l.source) AS source, coalesce(s.valid_from, l.valid_from) AS date,
+               CASE WHEN s.id IS NULL AND k.n > 1 THEN k.n ELSE 0 END AS siblings, r.chain, r.position, r.length, CASE WHEN s.id IS NULL AND k.n > 1 THEN k.way END AS trend,
+               CASE WHEN s.id IS NULL AND k.n > 1 THEN CASE WHEN k.way = 'steady' THEN concat(upper(l.subject), ' has stayed steady at ', k.z, ' across ', k.n, ' readings (', k.since, ' → ', k.until, ').')
+                 ELSE concat(upper(l.subject), ' is ', k.way, ': ', k.seq, ' (', k.since, ' → ', k.until, ') — ', CASE WHEN k.way = 'falling' THEN 'trending the wrong way despite prior results.' ELSE 'trending in the right direction.' END) END END AS trend_reason
+        FROM o_ledger l LEFT JOIN o_ledger s ON s.id = l.superseded_by JOIN o_rank r ON r.id = l.id LEFT JOIN (
+          SELECT *, CASE WHEN a = z THEN 'steady' WHEN z > a THEN 'rising' ELSE 'falling' END AS way FROM (
+            SELECT patient_id, subject, count(*) AS n, string_agg(value, ' → ' ORDER BY valid_from, id) AS seq, first(value ORDER BY valid_from, id) AS a, last(value ORDER BY valid_from, id) AS z, min(valid_from) AS since, max(valid_from) AS until
+            FROM o_ledger WHERE status = 'active' GROUP BY 1, 2)) k ON k.patient_id = l.patient_id AND k.subject = l.subject""",
     "why_narratives": """
         SELECT patient_id, subject, CASE WHEN replaced IS NOT NULL THEN concat('Change history:', chr(10), lines, coalesce(chr(10) || chr(10) || 'Current state: ' || now, ''))
                WHEN k > 1 THEN concat('No single record replaced another — ', subject, ' has ', k, ' readings on file, each still active: ', points, '.') WHEN k = 1 THEN concat('Current: ', now, ' No prior changes recorded.')

@@ -60,6 +60,25 @@ def test_chains(spark):
     assert got == sorted(want + [(60, 0, 60), (70, 0, 70), (80, 0, 80)])
 
 
+def test_ranked(spark):
+    """A long chain, a cycle and what leads into it, a fact that points to itself, one that points nowhere, one alone, two with one successor."""
+    links = [(i, i + 1) for i in range(3000)] + [(3000, None), (4001, 4002), (4002, 4003), (4003, 4001), (4000, 4001), (4010, 4010), (4020, 9999), (4030, None), (4040, 4042), (4041, 4042), (4042, None), (4043, 4040)]
+    got = {r.id: tuple(r)[1:] for r in ledger.ranked(spark.createDataFrame(links, "id long, superseded_by long")).collect()}
+    want = {i: (3000, i + 1, 3001) for i in range(3001)} | dict.fromkeys((4000, 4001, 4002, 4003, 4010), (None, None, None))
+    want |= {4020: (4020, 1, 1), 4030: (4030, 1, 1), 4040: (4042, 2, 3), 4041: (4042, 2, 3), 4042: (4042, 3, 3), 4043: (4042, 1, 3)}
+    assert got == want
+
+
+def test_why_answers(spark):
+    schema = "id long, patient_id long, subject string, label string, valid_from date, superseded_by long, status string, source string, reason string, reading double"
+    rows = [(1, 1, "x", "x 1", day(1), 2, "superseded", "A", None, 1.0), (2, 1, "x", "x 2", day(2), None, "active", "B", "newer", 2.0)]
+    rows += [(3 + i, 1, "lab ldl", f"ldl {i}", day(i + 1), None, "active", "C", None, 100.0 + i) for i in range(3)]
+    got = {r.id: r for r in provenance.answers(spark.createDataFrame(rows, schema)).collect()}
+    assert [(got[i].chain, got[i].position, got[i].length, got[i].replaced_by) for i in (1, 2, 3)] == [(2, 1, 2, 2), (2, 2, 2, None), (3, 1, 1, None)]
+    assert (got[1].trend, got[2].trend_reason, got[2].siblings) == (None, None, 0)
+    assert got[4].trend == "rising" and got[4].siblings == 3 and got[4].trend_reason.startswith("LDL is rising: 100 → 101 → 102 (2024-01-01 → 2024-01-03)")
+
+
 FACT = "id long, valid_from date, valid_to date, superseded_by long, status string, reason string"
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
+from carefold.storage import materialize
 
 #: Birth years that a name's patients are counted by: those of people on record, and unknown.
 _UNKNOWN = -1
@@ -47,6 +48,7 @@ def find(queries: DataFrame, registry: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     """``rows`` with ``n``, 1, 2, ... in the given order: sorted by ranges, and each range counted before it is numbered."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranges")  # once, as another run may cut the ranges elsewhere
     ranged = ranged.select("*", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))  # one row per partition
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

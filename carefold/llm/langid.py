@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carefold.llm._arrays import LETTER, character_classes, code_points
-from carefold.llm._common import table
+from carefold.llm._common import rows_as, table
 
 BUCKETS = 1 << 13
 UNDETERMINED = "und"
@@ -166,6 +166,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """(r, lang_pred, lang_score, lang_ambiguous): ``predict`` with each row of ``docs`` as a struct, whatever its columns
+    are called."""
+    named = rows_as(docs).select("r", F.col("r.text").cast("string").alias("text"))
+    return predict(named, model).drop("text")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out(F.col("doc_id"))))

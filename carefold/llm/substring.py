@@ -13,10 +13,12 @@ Method: seed and extend.
 * Maximal repeats: overlapping and adjacent repeats of a document are united, and their words removed.
 
 Windows are told apart by the anchor's and the window's 64-bit hashes together. Which anchors need the second
-extension is sent to the tasks only when their number is at most BROADCAST_ANCHORS; beyond, the same rows are
-selected by a shuffled semi-join. Every step is a shuffle on hashes that the optimiser may split when skewed.
+extension the tasks know from a bitmap of at most 16 MB; anchors that it lets through besides change nothing, as their
+classes have no window in common or are repeated as a whole. Every step is a shuffle on hashes that the optimiser may
+split when skewed.
 
-Defined results: a null text has no words. Repeated rows are documents of their own: their windows repeat. Null
+Defined results: a null text has no words. Repeated rows are documents of their own: their windows repeat, and as the
+spans of rows with one doc_id and text are the same, they are one set however many such rows there are. Null
 doc_ids are kept and handled like other ids. Documents shorter than a window stay as they are. An empty table
 gives an empty result. Extra columns are not returned.
 """
@@ -32,14 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carefold.llm._arrays import U64, mix, prefix_sums, range_hash, word_hashes
+from carefold.llm._bitmap import Bitmap, bitmap_of
 from carefold.llm._common import materialize, table, text_key
 
 WINDOW = 35
 GRAM = 8
 
-#: 8 bytes each: the most that is ever sent to every task is 16 MB.
-BROADCAST_ANCHORS = 2_000_000
-
 
 def words_of(text: str | None) -> list[bytes]:
     r"""The words `[^\x20\x09-\x0D]+`; bytes.split() cuts at just these characters."""
@@ -62,7 +62,7 @@ def anchors(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
     return grams[owner[first]], mix(reach + place * U64(0x8CB92BA72F3D8DD7)), first, count, prefix
 
 
-def _occurrences(docs: DataFrame, length: int, gram: int, windows: bool, only: np.ndarray | None = None) -> DataFrame:
+def _occurrences(docs: DataFrame, length: int, gram: int, windows: bool, only: Bitmap | None = None) -> DataFrame:
     """One row per anchor occurrence; with ``windows`` also the hash of each of its windows."""
     spark = docs.sparkSession
     wanted = None if only is None else spark.sparkContext.broadcast(only)
@@ -78,8 +78,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int, windows: bool, only: n
                     continue
                 anchor, reach, first, count, prefix = anchors(word_hashes(words), length, gram)
                 if keys is not None:
-                    near = np.searchsorted(keys, anchor)
-                    keep = keys[np.minimum(near, len(keys) - 1)] == anchor if len(keys) else np.zeros(len(anchor), bool)
+                    keep = keys.has(anchor)
                     anchor, reach, first, count = anchor[keep], reach[keep], first[keep], count[keep]
                 if not len(anchor):
                     continue
@@ -109,7 +108,6 @@ def repeats(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFram
 
     ``docs`` has doc_id, row and text; doc_id and row identify a document.
     """
-    spark = docs.sparkSession
     occurrences = _occurrences(docs, length, gram, windows=False)
     classes = occurrences.groupBy("anchor", "reach").agg(F.count("*").alias("copies"))
     classes = materialize(classes, "substring-classes")
@@ -122,11 +120,7 @@ def repeats(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFram
     # Anchors with several classes, one of which has no copy of its whole reach.
     several = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("copies").alias("least"))
     several = materialize(several.filter("n > 1 AND least = 1").select("anchor"), "substring-anchors")
-    if several.count() <= BROADCAST_ANCHORS:
-        only = np.sort(several.toArrow().column(0).to_numpy().view(U64))
-        extended = _occurrences(docs, length, gram, windows=True, only=only)
-    else:
-        extended = _occurrences(docs, length, gram, windows=True).join(several, "anchor", "left_semi")
+    extended = _occurrences(docs, length, gram, windows=True, only=bitmap_of(several, "anchor"))
     one = extended.groupBy("anchor", "reach").agg(
         F.count("*").alias("copies"), F.first(F.struct("doc_id", "row", "first", "windows")).alias("o")
     )
@@ -140,7 +134,7 @@ def repeats(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFram
         .select("doc_id", "row", (F.col("first") + F.col("i")).alias("start"), (F.col("first") + F.col("i") + length).alias("end"))
     )
     spans = full.unionByName(partly)
-    return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:

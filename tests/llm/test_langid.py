@@ -116,3 +116,14 @@ def test_near_ties_are_flagged():
     code = langid.codewords(2)
     model = langid.Model(["a", "b"], code, np.zeros((langid.BUCKETS, 1), np.float32), np.zeros(1), np.ones(1), np.ones(1))
     assert model.predict("anything") == ("a", 0.5, True)
+
+
+def test_columns_of_any_name(spark):
+    """The pipeline's stage gives back whatever columns its input has, as they were."""
+    import corpus_pipeline
+
+    rows = [(i, "der die und das ist nicht mit auf" if i % 2 else "the of and to in that it was", "de" if i % 2 else "en", f"own {i}", 0.5, True, i, "t") for i in range(12)]
+    rows.append((99, "12 34", None, "x", 0.5, False, 3, "t"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, lang_score double, lang_ambiguous boolean, `a.b` int, r string")
+    left = corpus_pipeline.identify_language(spark, docs, "")
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(rows[:-1])

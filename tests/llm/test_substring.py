@@ -7,9 +7,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from carefold.llm import substring
+from carefold.llm._bitmap import Bitmap
 
 
 def brute(rows: list[tuple], length: int) -> list[tuple]:
@@ -60,13 +64,23 @@ def test_copies_in_one_document_and_runs(spark):
     assert sorted(map(tuple, substring.digest(docs).collect()), key=repr) == brute(rows, substring.WINDOW)
 
 
-def test_many_anchors_by_join(spark, monkeypatch):
-    monkeypatch.setattr(substring, "BROADCAST_ANCHORS", 0)
+def test_a_full_bitmap_lets_all_anchors_through(spark, monkeypatch):
+    monkeypatch.setattr(substring, "bitmap_of", lambda *_: Bitmap(np.full(1, -1).view(np.uint64)))
     rows = corpus(3, 12)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, substring.digest(docs, 12, 8).collect()), key=repr) == brute(rows, 12)
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_that_repeat_in_all(spark, doc_id):
+    """Their spans are one small set, so the work is in proportion to the rows."""
+    text, n = " ".join(f"w{i}" for i in range(60)), 20_000
+    docs = spark.range(n).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    assert substring.digest(docs).groupBy("n_words", "n_removed").count().collect() == [(60, 60, n)]
+    spans = substring.repeats(docs.select("doc_id", F.lit(1).cast("long").alias("row"), "text")).collect()
+    assert [len(r.spans) for r in spans] == [len({(s.start, s.end) for s in spans[0].spans})]
+
+
 def test_texts_left(spark):
     p = " ".join(f"p{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"a {p} b"), (2, f"c {p} d"), (3, None)], "doc_id long, text string")

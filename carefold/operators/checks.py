@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
 
-CARD = ("patient_id", "check_id", "indicator", "summary", "detail", "evidence", "check_ord", "ord1", "ord2", "ord3")
+CARD = ("patient_id", "check_id", "indicator", "summary", "detail", "evidence", "check_ord", "ord1", "ord2", "ord3", "suggestions")
 
 
 def _first_day() -> Column:
@@ -30,6 +30,10 @@ def _card(rows: DataFrame, **columns: Column | str | int) -> DataFrame:
     return rows.select("patient_id", *[made[c].alias(c) for c in CARD[1:]])
 
 
+def _texts(*texts: Column | str) -> Column:
+    return F.array(*[x if isinstance(x, Column) else F.lit(x) for x in texts])
+
+
 def is_abnormal(flag: Column) -> Column:
     return C.norm(flag).isin(V.ABNORMAL)
 
@@ -68,7 +72,10 @@ def _conflict_cards(found: DataFrame, summary: Column, ord1: Column, ord2: Colum
         F.coalesce(F.concat(F.lit(" (severity: "), F.nullif("severity", F.lit("")), F.lit(")")), F.lit("")),
         F.lit("."),
     )
-    return _card(found, check_id="allergy", indicator="critical", summary=summary, detail=detail, evidence=F.array("allergy_id"), check_ord=0, ord1=ord1, ord2=ord2, ord3=ord3)
+    agents = F.replace(F.coalesce(C.drug_group(of_class), of_class, F.lit("related")), F.lit("_"), F.lit(" "))
+    avoid = F.concat(F.lit("Avoid "), name, F.lit(" and other "), agents, F.lit(" agents"))
+    suggestions = _texts(avoid, "Choose a non-cross-reactive alternative", "Reconfirm the allergy and reaction with the patient")
+    return _card(found, check_id="allergy", indicator="critical", summary=summary, detail=detail, evidence=F.array("allergy_id"), check_ord=0, ord1=ord1, ord2=ord2, ord3=ord3, suggestions=suggestions)
 
 
 def allergy_cards(facts: DataFrame) -> DataFrame:
@@ -129,6 +136,7 @@ def trend_cards(series: DataFrame) -> DataFrame:
         check_id=F.concat(F.lit("followup_gap:trend:"), F.col("analyte")), indicator="warning", summary=F.concat(name, F.lit(" "), way, F.lit(": "), moved),
         detail=F.concat(name, F.lit(" moved "), moved, F.lit(" ("), span, F.lit(") — trending the wrong way despite prior results.")),
         evidence=F.transform("points", lambda p: p["id"]), check_ord=1, ord1=F.col("seen.valid_from"), ord2=F.col("seen.id"),
+        suggestions=_texts(F.concat(F.lit("Review "), name, F.lit(" management")), "Consider treatment intensification or specialist referral"),
     )
 
 
@@ -159,6 +167,7 @@ def gap_cards(series: DataFrame, facts: DataFrame) -> DataFrame:
         summary=F.concat(F.lit("Abnormal "), name, F.lit(" ("), shown, F.lit(") with no follow-up")),
         detail=F.concat(name, F.lit(" was "), shown, F.lit(" ("), F.col("latest.flag"), F.lit(") on "), F.col("latest.valid_from").cast("string"), F.lit(" with no subsequent lab, note, or referral on record.")),
         evidence=F.array("latest.id"), check_ord=1, ord1=F.col("seen.valid_from"), ord2=F.col("seen.id"),
+        suggestions=_texts(F.concat(F.lit("Order a repeat "), name), "Refer to the relevant specialist", "Document a follow-up plan"),
     )
 
 
@@ -182,6 +191,10 @@ def family_risks(facts: DataFrame) -> DataFrame:
     return family.select("patient_id", "id", "valid_from", C.family_risk(condition).alias("category"), early.alias("early"), described.alias("described")).filter("category IS NOT NULL")
 
 
+def _screening() -> Column:
+    return _texts(F.concat(F.lit("Consider "), F.col("category"), F.lit(" screening per family-history guidelines")))
+
+
 def risk_cards(facts: DataFrame) -> DataFrame:
     """Early heart disease in the family together with an own factor; and each relative with another heritable condition."""
     family, at = family_risks(facts), F.struct("valid_from", "id")
@@ -192,13 +205,14 @@ def risk_cards(facts: DataFrame) -> DataFrame:
         check_id="combined_risk:cardiovascular", indicator="warning", summary="Elevated cardiovascular risk — family history plus active risk factors",
         detail=F.concat(F.col("relative.described"), F.lit(", combined with "), F.array_join(F.transform("factors", lambda f: f["label"]), ", "), F.lit(", raises this patient's cardiovascular risk.")),
         evidence=F.concat(F.array("relative.id"), F.transform("factors", lambda f: f["id"])), check_ord=2, ord1=_first_day(), ord2=F.lit(0).cast("long"),
+        suggestions=_texts("Assess 10-year cardiovascular risk", "Discuss smoking cessation", "Consider lipid-lowering therapy and cardiovascular review"),
     )
     other = _card(
         family.filter("category <> 'cardiovascular'"),
         check_id=F.concat(F.lit("combined_risk:"), F.col("category")), indicator="warning",
         summary=F.concat(F.lit("Hereditary "), F.col("category"), F.lit(" risk — first-degree family history")),
         detail=F.concat(F.col("described"), F.lit(", conferring a hereditary "), F.col("category"), F.lit(" risk.")),
-        evidence=F.array("id"), check_ord=2, ord1=F.col("valid_from"), ord2=F.col("id"),
+        evidence=F.array("id"), check_ord=2, ord1=F.col("valid_from"), ord2=F.col("id"), suggestions=_screening(),
     )
     return heart.unionByName(other)
 
@@ -219,7 +233,7 @@ def hereditary_cards(links: DataFrame, facts: DataFrame, registry: DataFrame) ->
     return _card(
         found, check_id=F.concat(F.lit("hereditary:"), F.col("category")), indicator="warning",
         summary=F.concat(F.lit("Hereditary "), F.col("category"), F.lit(" risk — from a linked relative's record")), detail=F.when(F.col("consent"), told).otherwise(hidden),
-        evidence=F.array().cast("array<bigint>"), check_ord=3, ord1=_first_day(), ord2=F.col("ord"), ord3=F.col("relative_id"),
+        evidence=F.array().cast("array<bigint>"), check_ord=3, ord1=_first_day(), ord2=F.col("ord"), ord3=F.col("relative_id"), suggestions=_screening(),
     )
 
 

@@ -19,6 +19,8 @@ from carefold.storage import materialize
 
 #: What a restatement adds to a fact's confidence, and the most that a contested fact has.
 STEP, CONTESTED_MOST = 0.05, 0.5
+#: Days before 1970 that dates are counted from, and the sizes of blocks of days, as powers of two.
+_EPOCH, _SIZES = 719_528, 22
 #: Pointers that are followed before the result is stored; a round goes JUMPS + 1 times as far as the one before.
 JUMPS = 3
 
@@ -61,6 +63,29 @@ def snapshot(facts: DataFrame, day: Column) -> DataFrame:
     return facts.filter(held & (F.col("status") != "retracted"))
 
 
+def held_on(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (patient_id, day and any columns) with the facts of the patient that held on the day, a row for each.
+
+    An interval join: the days that a fact holds are cut into the fewest blocks of 1, 2, 4, ... days (two of a size at
+    most), and a day is in one block of each size, so a fact and a day meet in exactly one block if it holds, and never
+    else: an equi-join on patient and block, whose output is the answer. Rows are as in ``snapshot``; rows without a
+    patient or a day, and facts that end before they begin, have no part; of equal names the columns of ``asked`` stay.
+    """
+    since, until = F.unix_date("valid_from") + _EPOCH, F.coalesce(F.unix_date("valid_to") + _EPOCH, F.lit(1 << _SIZES))
+    rows = facts.filter("status <> 'retracted' AND valid_from IS NOT NULL").withColumns({"_a": since, "_b": until})
+    first, last = "shiftright(_a + shiftleft(1, k) - 1, k)", "shiftright(_b, k)"
+    sizes = f"sequence(0, {_SIZES})"
+    odd_first = F.expr(f"transform({sizes}, k -> IF({first} < {last} AND {first} % 2 = 1, struct(k, {first} AS block), NULL))")
+    odd_last = F.expr(f"transform({sizes}, k -> IF({first} < {last} AND {last} % 2 = 1, struct(k, {last} - 1 AS block), NULL))")
+    blocks = rows.withColumn("_x", F.explode(F.array_compact(F.concat(odd_first, odd_last)))).withColumns({"_k": F.col("_x.k"), "_block": F.col("_x.block")})
+    kept = [c for c in facts.columns if c not in asked.columns]
+    blocks = blocks.select("patient_id", "_k", "_block", *kept)
+    days = asked.filter("day IS NOT NULL").withColumn("_d", F.unix_date("day") + _EPOCH)
+    days = days.withColumn("_x", F.explode(F.expr(f"transform({sizes}, k -> struct(k, shiftright(_d, k) AS block))")))
+    days = days.withColumns({"_k": F.col("_x.k"), "_block": F.col("_x.block")}).drop("_x", "_d")
+    return days.join(blocks, ["patient_id", "_k", "_block"]).select(*asked.columns, *kept)
+
+
 def chains(facts: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, step, id): the facts from each of ``starts`` (id) on, by superseded_by, to the current truth.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
-from carefold.operators import checks, conversation, evidence, identity, intake, ledger, memory, provenance, recall
+from carefold.operators import checks, conversation, evidence, identity, intake, ledger, memory, provenance, recall, terms
 from carefold.plans.catalog import run
 from carefold.plans.views import OTHER_RAW, RAW_DATES, RAW_FLAGS, RAW_NAMES
 from carefold.storage import materialize
@@ -74,6 +74,25 @@ def _shown(cards: DataFrame, *more: str) -> DataFrame:
     return cards.select("patient_id", *more, "check_id", "indicator", "summary", "detail", F.array_join(F.transform("evidence", lambda e: e.cast("string")), ",").alias("evidence"))
 
 
+def card_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|" if c == "suggestions" else ",").alias(c)
+    return _cards(spark, sf_dir).select("patient_id", "check_id", "summary", text("evidence"), text("suggestions"))
+
+
+def snapshots_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What held five days after each day on which something was said of a patient."""
+    asked = run(spark, sf_dir, "SELECT DISTINCT patient_id, valid_from + 5 AS day FROM v_state")
+    return ledger.held_on(facts(spark, sf_dir), asked).select("patient_id", "day", "id", "subject", "value", "status")
+
+
+def ground_facts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt names, and the vocabulary with what was learned."""
+    known = [*V.DRUG_CLASS, *V.FAMILY_RISK, *V.MONITORING, *{a for rules in V.MONITORING.values() for a, _ in rules}]
+    learned = run(spark, sf_dir, "SELECT term AS name FROM v_term WHERE class <> 'no known class'")
+    names = learned.unionByName(spark.createDataFrame([(n,) for n in sorted(set(known))], "name string"))
+    return terms.ground(run(spark, sf_dir, "SELECT * FROM v_misspelt"), names)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark, sf_dir).select("patient_id", F.explode(F.array(*map(F.lit, PROPOSED))).alias("drug"))
 
@@ -179,7 +198,7 @@ def retract_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forget_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialize(facts(spark, sf_dir), "ledger")
-    approved = spark.range(0, 1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2000).cast("long"), F.lit(25).cast("long"))).alias("id"), F.lit("asked").alias("reason"))
+    approved = statements(spark, sf_dir).filter("id % 25 = 0").select("id", F.lit("asked").alias("reason"))
     return ledger.forget(own, approved).groupBy("status").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count("valid_to").alias("closed"))
 
 
@@ -326,7 +345,7 @@ def memory_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = vectors.filter("vec_id % 50 = 0")
     found = recall.top_k_each(vectors, asked, 5)
-    texts = run(spark, sf_dir, "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0")
+    texts = run(spark, sf_dir, "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents")
     out = memory.recalled(asked.select(F.col("vec_id").alias("query_id")), found, texts)
     return out.select("query_id", F.sha2("text", 256).alias("text_sha256"))
 
@@ -334,6 +353,7 @@ def memory_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # The ledger and time travel.
     "snapshot_as_of": lambda s, d: ledger.snapshot(facts(s, d), as_of()).select("id", "patient_id", "subject", "value", "valid_from", "valid_to", "status"),
+    "snapshots_asked": snapshots_asked,
     "ledger_active": lambda s, d: facts(s, d).filter("status = 'active'").select("id", "patient_id", "subject", "value", "valid_from"),
     "ledger_history": lambda s, d: facts(s, d).select("patient_id", "subject", "id", "value", "valid_from", "valid_to", "status", "superseded_by"),
     "supersession_chain": lambda s, d: ledger.ranked(materialize(facts(s, d).select("id", "superseded_by"), "ledger")),
@@ -367,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hereditary_cards": lambda s, d: _shown(checks.hereditary_cards(kin(s, d), charts(s, d), registry(s, d)), "ord3"),
     "cards_top5": lambda s, d: checks.top_cards(_cards(s, d)).select("patient_id", "place", "check_id", "indicator", "summary"),
     "critical_dashboard": critical_dashboard,
+    "card_suggestions": card_suggestions,
     "checks_focus": checks_focus,
     "cards_text": lambda s, d: checks.as_text(checks.risk_cards(charts(s, d))),
     "risk_assertions": lambda s, d: checks.risk_assertions(checks.risk_cards(charts(s, d))),
@@ -391,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drug_class": lambda s, d: charts(s, d).filter("resource_type IN ('Medication', 'Allergy')").select("id", C.drug_class(F.col("value")).alias("class"), C.drug_group(C.drug_class(F.col("value"))).alias("grp")),
     "family_risk": lambda s, d: checks.family_risks(charts(s, d)).select("id", "category", "early", "described"),
     "ground_facts": lambda s, d: charts(s, d).select("id", evidence.grounded().alias("grounded"), F.array_join(evidence.grounding_candidates(), "|").alias("candidates")),
+    "ground_facts_near": ground_facts_near,
     "monitoring_rules": lambda s, d: charts(s, d).filter("resource_type = 'Condition'").select("id", F.explode(C.monitoring(F.col("value"))).alias("m")).select("id", "m.analyte", "m.every_months"),
     "ontology_triples": ontology_triples,
     "fact_label": lambda s, d: charts(s, d).select("id", C.label(F.col("subject"), F.col("predicate"), F.col("value")).alias("label")),

@@ -98,7 +98,8 @@ VIEWS = {
     "o_judged": f"SELECT *, n > 1 AND a <> z AND (z > a) = (analyte IN {_in(V.RISING_BAD)}) AS worse FROM o_series",
     "o_trend_card": """
         SELECT patient_id, concat('followup_gap:trend:', analyte) AS check_id, 'warning' AS indicator, concat(upper(analyte), CASE WHEN z > a THEN ' rising: ' ELSE ' falling: ' END, moved) AS summary,
-               concat(upper(analyte), ' moved ', moved, ' (', since, ' → ', until, ') — trending the wrong way despite prior results.') AS detail, ids AS evidence, 1 AS o0, seen.d AS o1, seen.i AS o2, 0 AS o3
+               concat(upper(analyte), ' moved ', moved, ' (', since, ' → ', until, ') — trending the wrong way despite prior results.') AS detail, ids AS evidence, 1 AS o0, seen.d AS o1, seen.i AS o2, 0 AS o3,
+               concat('Review ', upper(analyte), ' management|Consider treatment intensification or specialist referral') AS suggestions
         FROM o_judged WHERE worse""",
     "o_keyword": _table("k", "analyte, keyword", [(a, k) for a, ks in V.FOLLOWUP.items() for k in ks]),
     "o_speaks": "SELECT DISTINCT analyte, coalesce(keyword, analyte) AS keyword FROM (SELECT DISTINCT analyte FROM o_lab) LEFT JOIN o_keyword USING (analyte)",
@@ -108,7 +109,8 @@ VIEWS = {
     "o_gap_card": f"""
         SELECT j.patient_id, concat('followup_gap:gap:', j.analyte) AS check_id, 'warning' AS indicator, concat('Abnormal ', upper(j.analyte), ' (', coalesce(printf('%g', l.reading), l.value), ') with no follow-up') AS summary,
                concat(upper(j.analyte), ' was ', coalesce(printf('%g', l.reading), l.value), ' (', lower(trim(l.abnormal_flag)), ') on ', j.latest_from, ' with no subsequent lab, note, or referral on record.') AS detail,
-               CAST(l.id AS VARCHAR) AS evidence, 1 AS o0, seen.d AS o1, seen.i AS o2, 0 AS o3
+               CAST(l.id AS VARCHAR) AS evidence, 1 AS o0, seen.d AS o1, seen.i AS o2, 0 AS o3,
+               concat('Order a repeat ', upper(j.analyte), '|Refer to the relevant specialist|Document a follow-up plan') AS suggestions
         FROM o_judged j JOIN v_chart l ON l.id = j.latest
         WHERE NOT worse AND j.analyte NOT IN {_in(V.RISK_FACTORS)} AND date_diff('day', j.latest_from, {TODAY}) >= 90 AND last_lab <= latest_from
           AND NOT EXISTS (SELECT 1 FROM o_evidence e JOIN o_speaks k ON contains(e.said, k.keyword) WHERE e.patient_id = j.patient_id AND e.valid_from > j.latest_from AND k.analyte = j.analyte)""",
@@ -118,11 +120,12 @@ VIEWS = {
         WHERE dc.class = sc.class OR dc.grp = sc.grp OR EXISTS (SELECT 1 FROM o_word w WHERE w.text = d.text AND w.word = lower(trim(s.text)))""",
     "o_forbidden": f"""
         SELECT a.patient_id, r.drug, a.substance, a.id AS allergy, a.valid_from AS allergy_from, concat({_sentence("split_part(r.drug, ' ', 1)")}, coalesce(' is a ' || c.class, ''), CASE WHEN c.grp = 'beta_lactam' THEN ' (beta-lactam class)' ELSE '' END,
-               '; the patient has a documented ', a.substance, ' allergy', CASE WHEN a.reaction <> '' THEN concat('; prior reaction: ', a.reaction) ELSE '' END, CASE WHEN a.severity <> '' THEN concat(' (severity: ', a.severity, ')') ELSE '' END, '.') AS detail
+               '; the patient has a documented ', a.substance, ' allergy', CASE WHEN a.reaction <> '' THEN concat('; prior reaction: ', a.reaction) ELSE '' END, CASE WHEN a.severity <> '' THEN concat(' (severity: ', a.severity, ')') ELSE '' END, '.') AS detail, replace(coalesce(c.grp, c.class, 'related'), '_', ' ') AS agents
         FROM o_allergy a JOIN o_react r ON r.substance = a.substance LEFT JOIN o_class c ON c.text = r.drug""",
     "o_allergy_card": f"""
         SELECT m.patient_id, 'allergy' AS check_id, 'critical' AS indicator, concat('Active medication ', split_part(f.drug, ' ', 1), ' conflicts with ', f.substance, ' allergy') AS summary, f.detail,
-               CAST(f.allergy AS VARCHAR) AS evidence, 0 AS o0, m.valid_from AS o1, m.id AS o2, f.allergy AS o3
+               CAST(f.allergy AS VARCHAR) AS evidence, 0 AS o0, m.valid_from AS o1, m.id AS o2, f.allergy AS o3,
+               concat('Avoid ', split_part(f.drug, ' ', 1), ' and other ', f.agents, ' agents|Choose a non-cross-reactive alternative|Reconfirm the allergy and reaction with the patient') AS suggestions
         FROM v_chart m JOIN o_forbidden f ON f.patient_id = m.patient_id AND f.drug = trim(coalesce(nullif(m.drug, ''), m.value)) WHERE m.resource_type = 'Medication' AND m.status = 'active'""",
     "o_order": "SELECT patient_id, drug FROM v_patient, (VALUES ('amoxicillin 500mg'), ('azithromycin'), ('zinc')) AS p(drug)",
     "o_family": f"""
@@ -136,14 +139,15 @@ VIEWS = {
           FROM v_chart WHERE status <> 'retracted') WHERE label IS NOT NULL""",
     "o_heart_card": """
         SELECT f.patient_id, 'combined_risk:cardiovascular' AS check_id, 'warning' AS indicator, 'Elevated cardiovascular risk — family history plus active risk factors' AS summary,
-               concat(f.described, ', combined with ', o.labels, ', raises this patient''s cardiovascular risk.') AS detail, concat(f.id, ',', o.ids) AS evidence, 2 AS o0, DATE '0001-01-01' AS o1, 0 AS o2, 0 AS o3
+               concat(f.described, ', combined with ', o.labels, ', raises this patient''s cardiovascular risk.') AS detail, concat(f.id, ',', o.ids) AS evidence, 2 AS o0, DATE '0001-01-01' AS o1, 0 AS o2, 0 AS o3,
+               'Assess 10-year cardiovascular risk|Discuss smoking cessation|Consider lipid-lowering therapy and cardiovascular review' AS suggestions
         FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY valid_from, id) AS place FROM o_family WHERE category = 'cardiovascular' AND early) f
         JOIN (SELECT patient_id, string_agg(label, ', ' ORDER BY valid_from, id) AS labels, string_agg(id, ',' ORDER BY valid_from, id) AS ids FROM o_factor GROUP BY patient_id) o ON o.patient_id = f.patient_id
         WHERE place = 1""",
     "o_risk_card": """
         SELECT * FROM o_heart_card UNION ALL
         SELECT patient_id, concat('combined_risk:', category), 'warning', concat('Hereditary ', category, ' risk — first-degree family history'), concat(described, ', conferring a hereditary ', category, ' risk.'),
-               CAST(id AS VARCHAR), 2, valid_from, id, 0 FROM o_family WHERE category <> 'cardiovascular'""",
+               CAST(id AS VARCHAR), 2, valid_from, id, 0, concat('Consider ', category, ' screening per family-history guidelines') FROM o_family WHERE category <> 'cardiovascular'""",
     "o_has": f"""
         SELECT patient_id, first(category ORDER BY valid_from, id) AS category, string_agg(DISTINCT condition, ', ' ORDER BY condition) AS conditions
         FROM (SELECT c.patient_id, c.valid_from, c.id, r.category, {_FILLED_CONDITION} AS condition FROM v_chart c JOIN o_risk r ON r.text = {_FILLED_CONDITION} WHERE resource_type = 'Condition' AND status = 'active') GROUP BY patient_id""",
@@ -151,7 +155,7 @@ VIEWS = {
         SELECT e.a AS patient_id, concat('hereditary:', category) AS check_id, 'warning' AS indicator, concat('Hereditary ', category, ' risk — from a linked relative''s record') AS summary,
                CASE WHEN confidence = 'high' THEN concat('This patient''s ', relation, ' — a linked patient (', p.name, ') — has ', conditions, ', conferring a hereditary ', category, ' risk.')
                     ELSE concat('A first-degree relative in the system has a heritable ', category, ' condition. Enable family-record consent to see details.') END AS detail, '' AS evidence,
-               3 AS o0, DATE '0001-01-01' AS o1, fact_id * 2 + way AS o2, e.b AS o3
+               3 AS o0, DATE '0001-01-01' AS o1, fact_id * 2 + way AS o2, e.b AS o3, concat('Consider ', category, ' screening per family-history guidelines') AS suggestions
         FROM o_edge e JOIN o_has h ON h.patient_id = e.b JOIN v_patient p ON p.patient_id = e.b""",
     "o_card": """
         SELECT * FROM o_allergy_card UNION ALL SELECT * FROM o_trend_card UNION ALL SELECT * FROM o_gap_card UNION ALL SELECT * FROM o_risk_card UNION ALL SELECT * FROM o_hereditary_card""",
@@ -203,6 +207,11 @@ VIEWS = {
                CASE WHEN kind = 'lifestyle' THEN lower(trim(f_factor)) END AS factor, CASE WHEN kind = 'lifestyle' THEN trim(said) END AS factor_value
         FROM o_filled WHERE CASE kind WHEN 'allergy' THEN f_substance <> '' WHEN 'medication' THEN f_drug <> '' WHEN 'condition' THEN f_condition <> '' WHEN 'labresult' THEN f_analyte <> ''
                                       WHEN 'familyhistory' THEN coalesce(relation, '') <> '' AND f_condition <> '' WHEN 'lifestyle' THEN f_factor <> '' ELSE said <> '' END""",
+    "o_misspelt": r"""
+        SELECT id, CAST(list_filter(w, lambda x, i: list_position(w, x) = i) AS VARCHAR[]) AS cands FROM (
+          SELECT id, list_concat(whole, flatten(list_transform(whole, lambda x: list_filter(regexp_split_to_array(replace(x, '/', ' '), '\s+'), lambda t: t <> '')))) AS w FROM (
+            SELECT id, list_filter([trim(coalesce(CASE WHEN resource_type IN ('Medication', 'Allergy') THEN coalesce(nullif(drug, ''), nullif(substance, '')) WHEN resource_type = 'LabResult' THEN analyte
+                     WHEN resource_type IN ('Condition', 'FamilyHistory') THEN condition END, '')), trim(value)], lambda x: x <> '') AS whole FROM v_misspelt))""",
     "o_document": """
         SELECT CAST(floor(id / 5) AS BIGINT) AS doc_id, max(patient_id) AS patient_id, min(valid_from) AS doc_date FROM v_chart GROUP BY 1""",
     "o_call": """
@@ -229,6 +238,9 @@ _PARTS = _values([(i, p, a) for i, (p, a) in enumerate(V.ANALYTE_PARTS.items())]
 
 QUERIES = {
     "snapshot_as_of": f"SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from, valid_to, status FROM o_ledger WHERE valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to > {AS_OF})",
+    "snapshots_asked": """
+        SELECT d.patient_id, d.day, l.id, l.subject, CAST(l.value AS VARCHAR) AS value, l.status FROM (SELECT DISTINCT patient_id, CAST(valid_from + 5 AS DATE) AS day FROM v_state) d
+        JOIN o_ledger l ON l.patient_id = d.patient_id AND l.valid_from <= d.day AND (l.valid_to IS NULL OR l.valid_to > d.day)""",
     "ledger_active": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from FROM o_ledger WHERE status = 'active'",
     "ledger_history": "SELECT patient_id, subject, id, CAST(value AS VARCHAR) AS value, valid_from, valid_to, status, superseded_by FROM o_ledger",
     "supersession_chain": "SELECT id, chain, position, length FROM o_rank",
@@ -243,7 +255,7 @@ QUERIES = {
         FROM o_ledger l LEFT JOIN (SELECT first(id ORDER BY valid_from, id) AS id FROM o_ledger WHERE superseded_by % 10 = 0 GROUP BY superseded_by) r ON r.id = l.id""",
     "forget_approved": """
         SELECT CASE WHEN g THEN 'retracted' WHEN back THEN 'active' ELSE status END AS status, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, count(CASE WHEN NOT back THEN valid_to END) AS closed
-        FROM (SELECT *, id % 25 = 0 AND id <= 2000 AS g, coalesce(superseded_by % 25 = 0 AND superseded_by <= 2000, false) AS back FROM o_ledger) GROUP BY 1""",
+        FROM (SELECT *, id % 25 = 0 AS g, coalesce(superseded_by % 25 = 0, false) AS back FROM o_ledger) GROUP BY 1""",
     "ledger_upsert": """
         SELECT id, patient_id, subject, bucket + CASE WHEN id % 4 = 0 THEN 100 ELSE 0 END AS value, valid_from FROM v_state UNION ALL SELECT -id, patient_id, subject, bucket, valid_from FROM v_state WHERE id % 50 = 1""",
     "fact_lookup": "SELECT a.id * 2 AS id, f.subject, f.status FROM v_chart a LEFT JOIN v_chart f ON f.id = a.id * 2",
@@ -300,6 +312,7 @@ QUERIES = {
     "checks_focus": """
         SELECT patient_id, count(*) AS cards, min(check_id) AS first FROM (
           SELECT *, bool_or(hit) OVER (PARTITION BY patient_id) AS any_hit FROM (SELECT *, contains(lower(concat(summary, detail)), CASE WHEN patient_id % 2 = 0 THEN 'ldl' ELSE 'allergy' END) AS hit FROM o_card)) WHERE hit OR NOT any_hit GROUP BY patient_id""",
+    "card_suggestions": "SELECT patient_id, check_id, summary, evidence, suggestions FROM o_card",
     "cards_text": "SELECT patient_id, string_agg(concat('- [WARNING] ', summary, ': ', detail), chr(10) ORDER BY o1, o2) AS text FROM o_risk_card GROUP BY patient_id",
     "risk_assertions": "SELECT patient_id, concat('Risk synthesis for patient ', patient_id, ': ', summary, '. ', detail) AS text FROM o_risk_card",
     "brief_sections": f"""
@@ -346,6 +359,13 @@ QUERIES = {
           SELECT id, list_concat(whole, flatten(list_transform(whole, lambda x: list_filter(regexp_split_to_array(replace(x, '/', ' '), '\s+'), lambda t: t <> '')))) AS w FROM (
             SELECT id, list_filter([trim(coalesce(CASE WHEN resource_type IN ('Medication', 'Allergy') THEN coalesce(nullif(drug, ''), nullif(substance, '')) WHEN resource_type = 'LabResult' THEN analyte
                      WHEN resource_type IN ('Condition', 'FamilyHistory') THEN condition END, '')), trim(value)], lambda x: x <> '') AS whole FROM v_chart)))""",
+    "ground_facts_near": f"""
+        SELECT id, CASE WHEN len(cands) > 0 THEN name IS NOT NULL END AS grounded, name, distance FROM o_misspelt LEFT JOIN (
+          SELECT id, first(name ORDER BY distance, place, name) AS name, min(distance) AS distance FROM (
+            SELECT id, unnest(cands) AS cand, generate_subscripts(cands, 1) AS place FROM o_misspelt) JOIN (
+            SELECT c, name, levenshtein(c, name) AS distance FROM (SELECT DISTINCT lower(trim(unnest(cands))) AS c FROM o_misspelt) JOIN (
+              SELECT drug AS name FROM d_drug UNION SELECT cond FROM d_condition UNION SELECT term FROM v_term WHERE class <> 'no known class'
+              UNION SELECT unnest({sorted({*V.MONITORING, *_ANALYTES_WATCHED})})) ON levenshtein(c, name) <= floor(greatest(length(c), length(name)) / 5)) m ON m.c = lower(trim(cand)) GROUP BY id) USING (id)""",
     "monitoring_rules": f"SELECT id, m.analyte, every_months FROM v_chart JOIN ({_table('m', 'cond, analyte, every_months', [(c, a, m) for c, rules in V.MONITORING.items() for a, m in rules])}) AS m ON cond = lower(trim(value)) WHERE resource_type = 'Condition'",
     "ontology_triples": f"""
         SELECT drug AS s, 'type' AS p, 'Drug' AS o FROM d_drug UNION ALL SELECT DISTINCT class, 'type', 'DrugClass' FROM d_drug
@@ -416,7 +436,7 @@ QUERIES = {
           SELECT query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY place) AS t FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
               SELECT a.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS similarity FROM embeddings e, embeddings a WHERE a.vec_id % 50 = 0)
-          ) JOIN documents ON doc_id = vec_id AND doc_id % 2 = 0 WHERE place <= 5 GROUP BY query_id) ON query_id = q.vec_id WHERE q.vec_id % 50 = 0""",
+          ) JOIN documents ON doc_id = vec_id WHERE place <= 5 GROUP BY query_id) ON query_id = q.vec_id WHERE q.vec_id % 50 = 0""",
     "turn_rollup": """
         SELECT turn_id, coalesce(string_agg(chip, ',' ORDER BY seq) FILTER (WHERE chip <> ''), '') AS actions, last(fact_id ORDER BY seq) FILTER (WHERE fact_id IS NOT NULL) AS fact_id,
                CASE max(rank) WHEN 2 THEN 'contested' WHEN 1 THEN 'low_confidence' ELSE 'settled' END AS certainty, first(pending ORDER BY seq) FILTER (WHERE pending IS NOT NULL) AS pending,

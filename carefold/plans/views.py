@@ -78,7 +78,7 @@ VIEWS = {
              CASE WHEN o_orderkey % 23 = 0 THEN 'retracted' WHEN o_orderkey % 29 = 0 THEN 'contested' ELSE 'active' END AS status,
              CAST(floor(o_orderkey / 5) AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 4 AS BIGINT) AS page
       FROM orders""",
-    # Charts with every kind of fact, in the form that the operators take (operators/facts.py).
+    # Charts with every kind of fact, in the form that the operators take.
     "v_order": f"""
       SELECT o_orderkey AS id, o_custkey AS patient_id, CAST(o_orderdate AS DATE) AS valid_from, {_D} AS d, {_T} AS t, {_H} AS h,
              CAST(floor(o_totalprice / 10000) AS DOUBLE) / 2 AS half, o_orderpriority AS priority,
@@ -113,6 +113,8 @@ VIEWS = {
              CASE WHEN d = 8 AND h % 10 = 0 THEN concat(' mrn-', CAST(900000 + relative AS STRING)) END AS relative_mrn,
              CASE WHEN d = 9 AND t % 5 > 2 THEN {pick(["smoking", "exercise", "habits"], "id")} END AS factor
       FROM v_order""",
+    # Charts whose names are misspelt in every second row: a letter lost, or one too many.
+    "v_misspelt": "SELECT id, resource_type, " + ", ".join(f"CASE id % 4 WHEN 1 THEN concat(substr({c}, 1, 2), substr({c}, 4)) WHEN 2 THEN concat(substr({c}, 1, 3), 'x', substr({c}, 4)) ELSE {c} END AS {c}" for c in ("value", "drug", "substance", "analyte", "condition")) + " FROM v_chart",
     "v_state": """
       SELECT event_id AS id, user_id AS patient_id, event_type AS subject, CAST(floor(value / 100) AS BIGINT) AS bucket, CAST(ts AS DATE) AS valid_from
       FROM events""",

@@ -148,6 +148,21 @@ def test_hereditary_cards_tell_names_with_consent_only(spark):
     assert not any(word in got[3].detail for word in ("Ann", "Cole", "Stroke", "cancer", "mother"))
 
 
+def test_suggestions(spark):
+    """What each card suggests to do, the first and the number of them."""
+    rows = [{"resource_type": "Medication", "drug": "amoxicillin 500mg"}, {"resource_type": "Allergy", "predicate": "diagnosed", "substance": "penicillin"}, {"resource_type": "Medication", "drug": "zinc oxide"}, {"resource_type": "Allergy", "predicate": "diagnosed", "substance": "zinc"}]
+    rows += [lab("hba1c", "2024-01-01", 7.0), lab("hba1c", "2024-02-01", 8.0), GAP, {"resource_type": "Lifestyle", "factor": "smoking", "value": "smokes"}]
+    rows += [{"resource_type": "FamilyHistory", "relation": "father", "condition": "myocardial infarction", "age_at_onset": 49}, {"resource_type": "FamilyHistory", "relation": "mother", "condition": "type 2 diabetes"}]
+    facts = chart(spark, *rows)
+    series = checks.lab_series(facts, today())
+    found = checks.allergy_cards(facts).unionByName(checks.trend_cards(series)).unionByName(checks.gap_cards(series, facts)).unionByName(checks.risk_cards(facts))
+    got = {(r.check_id, r.suggestions[0], len(r.suggestions)) for r in found.collect()}
+    assert got == {
+        ("allergy", "Avoid amoxicillin and other beta lactam agents", 3), ("allergy", "Avoid zinc and other related agents", 3), ("followup_gap:trend:hba1c", "Review HBA1C management", 2),
+        ("followup_gap:gap:creatinine", "Order a repeat CREATININE", 3), ("combined_risk:cardiovascular", "Assess 10-year cardiovascular risk", 3), ("combined_risk:metabolic", "Consider metabolic screening per family-history guidelines", 1),
+    }
+
+
 def test_top_cards_are_stable(spark):
     rows = [(1, "warning", 3, 1), (1, "critical", 0, 9), (1, "warning", 1, 2), (1, "info", 0, 0), (1, "critical", 0, 3), (1, "warning", 1, 1)]
     made = spark.createDataFrame(rows, "patient_id long, indicator string, check_ord int, ord2 long").withColumns({"ord1": F.lit(0), "ord3": F.lit(0)})

@@ -94,6 +94,13 @@ def stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(reconcile.CLOSED).parquet(out)
 
 
+def recall_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the neighbours of every row whose id is divisible by 50 the index finds."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 50 = 0")
+    return recall.found_share(recall.Index(vectors, TOP).search(asked), recall.top_k_each(vectors, asked, TOP))
+
+
 def _half(broken: str) -> Column:
     """Files' contents, of which those where ``broken`` holds stop half-way."""
     return F.when(F.expr(broken), F.expr("substr(content, 1, CAST(length(content) / 2 AS INT))")).otherwise(F.col("content")).alias("content")
@@ -172,6 +179,7 @@ QUERIES = {
     "csv_labs": csv_labs,
     "patients_by_name": patients_by_name,
     "stream_reconcile": stream_reconcile,
+    "recall_index": recall_index,
     "registry_files": registry_files,
     "chart_documents": chart_documents,
     "document_by_id": document_by_id,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
+from carefold.operators.terms import within
 from carefold.storage import materialize
 
 #: Birth years that a name's patients are counted by: those of people on record, and unknown.
@@ -210,13 +211,20 @@ def family_members(of: DataFrame, registry: DataFrame) -> DataFrame:
 def search(queries: DataFrame, registry: DataFrame, access: DataFrame) -> DataFrame:
     """(doctor_id, query, candidates, resolved): patients whom a doctor may see by a part of the name or number, or the id.
 
-    ``queries`` (doctor_id, query) is a query set; each meets its doctor's patients only. One candidate is resolved;
-    queries without any have no candidates.
+    Distinct texts of queries are looked up in an index of grams over distinct names and numbers (``terms.within``), and
+    what they hit meets the doctors' patients: equi-joins throughout. One candidate is resolved; queries without any have
+    no candidates, an empty query has all of the doctor's patients, and a null one none.
     """
-    asked = queries.withColumn("q", C.norm(F.col("query")))
-    pool = asked.join(access, "doctor_id").join(registry, "patient_id")
-    hit = F.lower("name").contains(F.col("q")) | F.lower("mrn").contains(F.col("q")) | (F.col("patient_id").cast("string") == F.col("q"))
-    found = pool.filter(hit).groupBy("doctor_id", "query").agg(F.count("*").alias("n"), F.min("patient_id").alias("one"))
-    return queries.join(found, ["doctor_id", "query"], "left").select(
+    said = queries.select("doctor_id", "query", C.norm(F.col("query")).alias("q")).distinct()
+    texts = registry.select("patient_id", F.explode(F.array(F.lower("name"), F.lower("mrn"))).alias("text"))
+    found = within(texts.select("text"), said.select(F.col("q").alias("part")))
+    by_part = texts.join(found, "text").select("patient_id", F.col("part").alias("q"))
+    by_id = registry.select("patient_id", F.col("patient_id").cast("string").alias("q")).join(said.select("q").distinct(), "q").select("patient_id", "q")
+    hits = by_part.unionByName(by_id).distinct()
+    mine = said.join(access.select("doctor_id", "patient_id").distinct(), "doctor_id")
+    some = mine.filter("q <> ''").join(hits, ["patient_id", "q"], "left_semi")
+    every = mine.filter("q = '' AND query IS NOT NULL").join(registry.select("patient_id"), "patient_id", "left_semi")
+    counted = some.unionByName(every).groupBy("doctor_id", "query").agg(F.count("*").alias("n"), F.min("patient_id").alias("one"))
+    return queries.join(counted, ["doctor_id", "query"], "left").select(
         "doctor_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("n") == 1, F.col("one")).alias("resolved")
     )

@@ -58,3 +58,27 @@ def ground(facts: DataFrame, names: DataFrame) -> DataFrame:
     found = asked.join(close(asked.select("term"), names), "term", "left")
     best = F.min(F.when(F.col("name").isNotNull(), F.struct("distance", "place", "name"))).alias("b")
     return found.groupBy("id").agg(best, F.count("said").alias("n")).select("id", F.when(F.col("n") > 0, F.col("b").isNotNull()).alias("grounded"), "b.name", "b.distance")
+
+
+#: Characters of a text by which a part of it is found.
+LONGEST = 3
+
+
+def within(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(text, part): every distinct ``part`` of parts with each distinct ``text`` of texts that contains it.
+
+    An index of grams: a text is listed under each of its grams of LONGEST characters, a part is looked up by one of its
+    own, that of the least hash, and what meets is verified. Parts of fewer characters are looked up as a whole, among
+    grams of their length. Empty parts and nulls are contained in nothing.
+    """
+    asked = parts.select("part").filter("part <> ''").distinct()
+    size = F.least(F.length("part"), F.lit(LONGEST))
+
+    def grams_of(text: str, n: Column) -> Column:
+        all_of = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))
+        return F.when(F.length(text) >= n, all_of).otherwise(F.array().cast("array<string>"))
+
+    key = F.array_min(F.transform(grams_of("part", size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram"))))["gram"]
+    grams = F.concat(*[grams_of("text", F.lit(n)) for n in range(1, LONGEST + 1)])
+    listed = texts.select("text").filter("text <> ''").distinct().select("text", F.explode(F.array_distinct(grams)).alias("gram"))
+    return listed.join(asked.withColumn("gram", key), "gram").filter(F.col("text").contains(F.col("part"))).select("text", "part")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
-from carefold.operators import checks, conversation, evidence, identity, intake, ledger, memory, provenance, recall, terms
+from carefold.operators import checks, conversation, evidence, identity, intake, learned, ledger, memory, provenance, recall, terms
 from carefold.plans.catalog import run
 from carefold.plans.views import OTHER_RAW, RAW_DATES, RAW_FLAGS, RAW_NAMES
 from carefold.storage import materialize
@@ -93,6 +93,13 @@ def ground_facts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.ground(run(spark, sf_dir, "SELECT * FROM v_misspelt"), names)
 
 
+def classified_on_the_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of learned names: what each was known as on its day."""
+    rows = run(spark, sf_dir, "SELECT id, kind, name, day FROM v_named")
+    found = learned.classify_on(rows, run(spark, sf_dir, "SELECT kind, term, class, day, seq FROM v_learned"))
+    return found.select("id", "class", "was_learned")
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark, sf_dir).select("patient_id", F.explode(F.array(*map(F.lit, PROPOSED))).alias("drug"))
 
@@ -413,6 +420,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "family_risk": lambda s, d: checks.family_risks(charts(s, d)).select("id", "category", "early", "described"),
     "ground_facts": lambda s, d: charts(s, d).select("id", evidence.grounded().alias("grounded"), F.array_join(evidence.grounding_candidates(), "|").alias("candidates")),
     "ground_facts_near": ground_facts_near,
+    "classified_on_the_day": classified_on_the_day,
     "monitoring_rules": lambda s, d: charts(s, d).filter("resource_type = 'Condition'").select("id", F.explode(C.monitoring(F.col("value"))).alias("m")).select("id", "m.analyte", "m.every_months"),
     "ontology_triples": ontology_triples,
     "fact_label": lambda s, d: charts(s, d).select("id", C.label(F.col("subject"), F.col("predicate"), F.col("value")).alias("label")),

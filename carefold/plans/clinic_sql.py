@@ -366,6 +366,18 @@ QUERIES = {
             SELECT c, name, levenshtein(c, name) AS distance FROM (SELECT DISTINCT lower(trim(unnest(cands))) AS c FROM o_misspelt) JOIN (
               SELECT drug AS name FROM d_drug UNION SELECT cond FROM d_condition UNION SELECT term FROM v_term WHERE class <> 'no known class'
               UNION SELECT unnest({sorted({*V.MONITORING, *_ANALYTES_WATCHED})})) ON levenshtein(c, name) <= floor(greatest(length(c), length(name)) / 5)) m ON m.c = lower(trim(cand)) GROUP BY id) USING (id)""",
+    "classified_on_the_day": f"""
+        SELECT * FROM (WITH vocab AS (SELECT 'drug' AS kind, drug AS term, class FROM d_drug UNION ALL SELECT 'condition', cond, category FROM d_condition),
+        good AS (SELECT l.*, lower(trim(term)) AS t FROM v_learned l WHERE class IN (SELECT v.class FROM vocab v WHERE v.kind = l.kind)),
+        fact AS (SELECT id, kind, lower(trim(name)) AS n, day FROM v_named),
+        cand AS (
+          SELECT id, kind, day, -1000000 AS place, n AS term FROM fact
+          UNION ALL SELECT id, kind, day, generate_subscripts(w, 1), unnest(w) FROM (SELECT *, regexp_split_to_array(replace(n, '/', ' '), '\\s+') AS w FROM fact WHERE kind = 'drug')
+          UNION ALL SELECT DISTINCT f.id, f.kind, f.day, -length(k.term), k.term FROM fact f JOIN (SELECT term FROM vocab WHERE kind = 'condition' UNION SELECT t FROM good WHERE kind = 'condition') k ON contains(f.n, k.term) WHERE f.kind = 'condition'),
+        seen AS (SELECT c.id, c.place, c.term, v.class AS known, (SELECT last(g.class ORDER BY g.day, g.seq) FROM good g WHERE g.kind = c.kind AND g.t = c.term AND g.day <= c.day) AS said
+                 FROM cand c LEFT JOIN vocab v ON v.kind = c.kind AND v.term = c.term)
+        SELECT f.id, s.class, coalesce(s.was_learned, false) AS was_learned FROM fact f LEFT JOIN (
+          SELECT id, coalesce(said, known) AS class, said IS NOT NULL AS was_learned, row_number() OVER (PARTITION BY id ORDER BY place, known IS NULL, term) AS nth FROM seen WHERE coalesce(said, known) IS NOT NULL) s ON s.id = f.id AND nth = 1)""",
     "monitoring_rules": f"SELECT id, m.analyte, every_months FROM v_chart JOIN ({_table('m', 'cond, analyte, every_months', [(c, a, m) for c, rules in V.MONITORING.items() for a, m in rules])}) AS m ON cond = lower(trim(value)) WHERE resource_type = 'Condition'",
     "ontology_triples": f"""
         SELECT drug AS s, 'type' AS p, 'Drug' AS o FROM d_drug UNION ALL SELECT DISTINCT class, 'type', 'DrugClass' FROM d_drug

@@ -152,6 +152,18 @@ VIEWS = {
     "v_decision": """
       SELECT event_id AS seq, user_id AS pending_id, CASE WHEN event_type = 'error' THEN 'reject' ELSE 'approve' END AS decision FROM events""",
     "v_first_decision": "SELECT pending_id, min(seq) AS first FROM v_decision GROUP BY pending_id",
+    # Names that become known in time: every second one is a condition, and every third one is learned anew later.
+    "v_learned_name": f"""
+      SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'drug' ELSE 'condition' END AS kind, lower(p_name) AS term, DATE '1992-06-01' + CAST(p_partkey * 11 % 2000 AS INT) AS day,
+             CASE WHEN p_partkey % 14 < 2 THEN 'no known class' WHEN p_partkey % 2 = 0 THEN {pick(list(DRUG_CLASSES), "p_partkey")} ELSE {pick(list(HEREDITARY), "p_partkey")} END AS class,
+             CASE WHEN p_partkey % 2 = 0 THEN {pick(list(DRUG_CLASSES), "CAST(floor(p_partkey / 3) AS BIGINT)")} ELSE {pick(list(HEREDITARY), "CAST(floor(p_partkey / 3) AS BIGINT)")} END AS later
+      FROM part""",
+    "v_learned": """
+      SELECT seq, kind, term, class, day FROM v_learned_name UNION ALL SELECT -seq, kind, term, later, day + 400 FROM v_learned_name WHERE seq % 3 = 0""",
+    "v_named": f"""
+      SELECT o_orderkey AS id, n.kind, CASE WHEN o_orderkey % 5 = 0 THEN concat(' ', {pick(CHART_DRUGS + CHART_CONDITIONS, "o_orderkey")}) WHEN n.kind = 'drug' THEN concat(n.term, ' 50mg')
+             WHEN o_orderkey % 3 = 0 THEN concat('Severe ', n.term, ' with stroke') ELSE n.term END AS name, CAST(o_orderdate AS DATE) AS day
+      FROM orders JOIN v_learned_name n ON n.seq = o_orderkey % 199 + 1""",
     "v_term": """
       SELECT p_partkey AS seq, lower(p_name) AS term, CASE WHEN p_partkey % 6 = 0 THEN 'no known class' ELSE class END AS class
       FROM part JOIN d_drug ON n = p_partkey % 41""",

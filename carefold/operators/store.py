@@ -40,6 +40,12 @@ class KeyedTable:
         table._publish({"version": 0, "key": key, "buckets": buckets, "schema": fields.jsonValue(), "files": {}})
         return table
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64) -> KeyedTable:
+        """The table at ``path``, made if there is none."""
+        table = cls(spark, path)
+        return table if table.versions() else cls.create(spark, path, schema, key, buckets)
+
     # Versions.
 
     def versions(self) -> list[int]:
@@ -86,10 +92,15 @@ class KeyedTable:
         manifest = self.manifest()
         return asked.join(self.read(manifest["version"]), manifest["key"], "left")
 
-    def merge(self, changes: DataFrame, deleted: DataFrame | None = None, order: Column | None = None) -> int:
+    def merge(self, changes: DataFrame, deleted: DataFrame | None = None, order: Column | None = None, batch: tuple[str, int] | None = None) -> int:
         """Put the rows of ``changes`` in place of those with their keys, or beside them, and take out the keys of
-        ``deleted``; returns the version that has them."""
+        ``deleted``; returns the version that has them.
+
+        ``batch`` names a stream and counts its batches: one that was merged already, or an earlier one, changes nothing.
+        """
         manifest = self.manifest()
+        if batch is not None and manifest.get("batches", {}).get(batch[0], -1) >= batch[1]:
+            return manifest["version"]
         key, buckets, schema = manifest["key"], manifest["buckets"], StructType.fromJson(manifest["schema"])
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
         cells = [(F.col(f"`{f.name}`") if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
@@ -110,7 +121,8 @@ class KeyedTable:
         new.withColumn("_bucket", bucket).repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         written = self._listed(folder)
         files = {b: names for b, names in manifest["files"].items() if int(b) not in touched} | written
-        self._publish(manifest | {"version": manifest["version"] + 1, "files": files})
+        batches = manifest.get("batches", {}) | ({} if batch is None else {batch[0]: batch[1]})
+        self._publish(manifest | {"version": manifest["version"] + 1, "files": files, "batches": batches})
         return manifest["version"] + 1
 
     def _listed(self, folder: str) -> dict[str, list[str]]:

@@ -15,7 +15,8 @@ from carefold.functions import clinical as C
 from carefold.operators import checks, conversation, evidence, identity, intake, learned, ledger, memory, provenance, recall, terms
 from carefold.plans.catalog import run
 from carefold.plans.views import OTHER_RAW, RAW_DATES, RAW_FLAGS, RAW_NAMES
-from carefold.storage import materialize
+from carefold.storage import materialize, shared_dir
+from carefold.streaming.door import Door
 
 PROPOSED = ("amoxicillin 500mg", "azithromycin", "zinc")
 
@@ -150,6 +151,19 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "patient_id", "subject", "predicate", "value", "valid_from", "source", "source_document", "document_title", "resource_type")
 
 
+def door_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_facts`` through the stored tables: documents come as a stream of files, two a batch."""
+    to = shared_dir(spark, "door")
+    found = _extracted(spark, sf_dir).filter("doc_id IS NOT NULL")
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "doc_id"])).alias("found"))
+    documents = _documents(spark, sf_dir).join(found, "doc_id").withColumn("content", F.col("title"))
+    documents.repartition(4, "doc_id").write.parquet(f"{to}/incoming")
+    door = Door(spark, f"{to}/tables", registry(spark, sf_dir), today(), F.when(F.col("id") % 5 == 0, "lab"), 16)
+    stream = spark.readStream.schema(spark.read.parquet(f"{to}/incoming").schema).option("maxFilesPerTrigger", 2).parquet(f"{to}/incoming")
+    door.run(stream, f"{to}/checkpoint").awaitTermination()
+    return door.facts.read().select("id", "patient_id", "subject", "predicate", "value", "valid_from", "source", "source_document", "document_title", "resource_type")
+
+
 def extracted_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = intake.assertions(_extracted(spark, sf_dir), F.lit("1997-01-01"), F.lit("upload"))
     return made.select("id", *[c for c in intake.ASSERTION if c not in ("ref_range", "source")])
@@ -441,6 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "page_id", intake.sniff_format(F.col("name"), F.col("content")).alias("format"), C.image_mime(F.col("name")).alias("mime")),
     "extracted_assertions": extracted_assertions,
     "document_facts": document_facts,
+    "door_facts": door_facts,
     "intake_route": intake_route,
     "merged_identity": lambda s, d: intake.merged_identity(_pages_of_identity(s, d)),
     "csv_identity": lambda s, d: intake.csv_identity(run(s, d, "SELECT CAST(floor(id / 5) AS BIGINT) AS doc_id, id AS row, relative_mrn AS mrn, CAST(patient_id AS STRING) AS patient_id FROM v_chart")),

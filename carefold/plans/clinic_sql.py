@@ -466,4 +466,5 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql, VIEWS).replace("AS STRING)", "AS VARCHAR)") for name, sql in QUERIES.items()}
+    every = QUERIES | {"door_facts": QUERIES["document_facts"]}
+    return {name: with_views(sql, VIEWS).replace("AS STRING)", "AS VARCHAR)") for name, sql in every.items()}

@@ -14,7 +14,6 @@ from carefold import vocabulary as V
 from carefold.functions import clinical as C
 from carefold.operators import checks, conversation, evidence, identity, intake, learned, ledger, memory, provenance, recall, terms
 from carefold.plans.catalog import run
-from carefold.plans.views import OTHER_RAW, RAW_DATES, RAW_FLAGS, RAW_NAMES
 from carefold.storage import materialize, shared_dir
 from carefold.streaming.door import Door
 
@@ -289,17 +288,18 @@ def critical_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ontology_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary as (s, p, o): a fixed number of rows."""
+    """The vocabulary as (s, p, o), with the number of facts whose value names the subject."""
     kinds = [(d, "type", "Drug") for d in V.DRUG_CLASS] + [(c, "type", "DrugClass") for c in V.DRUG_CLASSES] + [(c, "type", "Condition") for c in sorted({*V.MONITORING, *V.FAMILY_RISK})]
     of = [(d, "subClassOf", c) for d, c in V.DRUG_CLASS.items()] + [(c, "subClassOf", g) for c, g in V.CLASS_GROUP.items()]
     watched = [(c, "monitoredBy", a) for c, rules in V.MONITORING.items() for a, _ in rules] + [(c, "confersFamilialRisk", r) for c, r in V.FAMILY_RISK.items()]
-    return spark.createDataFrame(kinds + of + watched, "s string, p string, o string")
+    named = charts(spark, sf_dir).groupBy(C.norm(F.col("value")).alias("s")).agg(F.count("*").alias("facts"))
+    rows = F.broadcast(spark.createDataFrame(kinds + of + watched, "s string, p string, o string"))  # of fixed size
+    counted = named.join(rows, "s").select("s", "p", "o", "facts")
+    return rows.join(counted, ["s", "p", "o"], "left").select("s", "p", "o", F.coalesce("facts", F.lit(0)).cast("long").alias("facts"))
 
 
-def _raw(spark: SparkSession, sf_dir: str, values: list[str], of: Column, name: str) -> DataFrame:
-    rows = run(spark, sf_dir, "SELECT t FROM v_order").groupBy((F.col("t") % len(values)).alias("i")).agg(F.count("*").alias("n"))
-    raw = F.element_at(F.array(*map(F.lit, values)), (F.col("i") + 1).cast("int"))
-    return rows.withColumn("raw", raw).select("raw", of.alias(name), "n")
+def _raw(spark: SparkSession, sf_dir: str, of: Column, name: str) -> DataFrame:
+    return run(spark, sf_dir, "SELECT * FROM v_raw").select("id", of.alias(name))
 
 
 def patient_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,10 +426,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "family_members": lambda s, d: identity.family_members(kin(s, d), registry(s, d)),
     "doctors": doctors,
     # Functions.
-    "canonical_analyte": lambda s, d: _raw(s, d, RAW_NAMES, C.canonical_analyte(F.col("raw")), "analyte"),
-    "canonical_flag": lambda s, d: _raw(s, d, RAW_FLAGS, C.canonical_flag(F.col("raw")), "canonical"),
-    "coerce_date": lambda s, d: _raw(s, d, RAW_DATES, C.coerce_date(F.col("raw"), F.when(F.length("raw") % 2 == 0, "2003-04-05 or so"), today()), "coerced"),
-    "to_float": lambda s, d: _raw(s, d, OTHER_RAW, C.to_float(F.col("raw")), "number"),
+    "canonical_analyte": lambda s, d: _raw(s, d, C.canonical_analyte(F.col("raw_name")), "analyte"),
+    "canonical_flag": lambda s, d: _raw(s, d, C.canonical_flag(F.col("raw_flag")), "canonical"),
+    "coerce_date": lambda s, d: _raw(s, d, C.coerce_date(F.col("raw_date"), F.when(F.length("raw_date") % 2 == 0, "2003-04-05 or so"), today()), "coerced"),
+    "to_float": lambda s, d: _raw(s, d, C.to_float(F.col("raw_number")), "number"),
     "drug_class": lambda s, d: charts(s, d).filter("resource_type IN ('Medication', 'Allergy')").select("id", C.drug_class(F.col("value")).alias("class"), C.drug_group(C.drug_class(F.col("value"))).alias("grp")),
     "family_risk": lambda s, d: checks.family_risks(charts(s, d)).select("id", "category", "early", "described"),
     "ground_facts": lambda s, d: charts(s, d).select("id", evidence.grounded().alias("grounded"), F.array_join(evidence.grounding_candidates(), "|").alias("candidates")),

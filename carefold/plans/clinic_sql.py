@@ -7,7 +7,7 @@ kinship compares every candidate, text rules look words up in tables: nothing he
 from __future__ import annotations
 
 from carefold import vocabulary as V
-from carefold.plans.views import OTHER_RAW, RAW_DATES, RAW_FLAGS, RAW_NAMES, _values, with_views
+from carefold.plans.views import _values, with_views
 
 AS_OF, TODAY = "DATE '2024-01-15'", "DATE '1998-06-30'"
 
@@ -229,9 +229,8 @@ _TREND = f"""
     FROM v_chart WHERE status = 'active' AND reading IS NOT NULL GROUP BY patient_id, subject"""
 
 
-def _raw(values: list[str], of: str, name: str) -> str:
-    rows = _values([(i, v) for i, v in enumerate(values)])
-    return f"SELECT raw, {of} AS {name}, n FROM (SELECT t % {len(values)} AS i, count(*) AS n FROM v_order GROUP BY 1) JOIN (VALUES {rows}) AS r(i, raw) USING (i)"
+def _raw(column: str, of: str, name: str) -> str:
+    return f"SELECT id, {of} AS {name} FROM (SELECT id, {column} AS raw FROM v_raw)"
 
 
 _PARTS = _values([(i, p, a) for i, (p, a) in enumerate(V.ANALYTE_PARTS.items())])
@@ -344,12 +343,12 @@ QUERIES = {
         SELECT f.a AS patient_id, p.name, p.mrn, CASE WHEN f.relation = 'child' THEN r.mrn END AS parent_mrn
         FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY fact_id * 2 + way) AS nth FROM o_edge) f JOIN v_patient p ON p.patient_id = f.a JOIN v_patient r ON r.patient_id = f.b WHERE nth = 1""",
     "doctors": "SELECT doctor_id, doctor FROM v_doctor",
-    "canonical_analyte": _raw(RAW_NAMES, rf"coalesce((SELECT arg_min(a, o) FROM (VALUES {_PARTS}) AS p(o, part, a) WHERE contains(lower(trim(raw)), part)), regexp_extract(lower(trim(raw)), '^\S*'))", "analyte"),
-    "canonical_flag": _raw(RAW_FLAGS, "CASE WHEN lower(trim(raw)) = 'h' THEN 'high' WHEN lower(trim(raw)) = 'l' THEN 'low' ELSE lower(trim(raw)) END", "canonical"),
-    "coerce_date": _raw(RAW_DATES, f"""
+    "canonical_analyte": _raw("raw_name", rf"coalesce((SELECT arg_min(a, o) FROM (VALUES {_PARTS}) AS p(o, part, a) WHERE contains(lower(trim(raw)), part)), regexp_extract(lower(trim(raw)), '^\S*'))", "analyte"),
+    "canonical_flag": _raw("raw_flag", "CASE WHEN lower(trim(raw)) = 'h' THEN 'high' WHEN lower(trim(raw)) = 'l' THEN 'low' ELSE lower(trim(raw)) END", "canonical"),
+    "coerce_date": _raw("raw_date", f"""
         coalesce(TRY_CAST(CASE WHEN regexp_matches(trim(raw), '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN trim(raw)[:10] WHEN regexp_matches(trim(raw), '^\\d{{4}}-\\d{{2}}$') THEN trim(raw) || '-01' WHEN regexp_matches(trim(raw), '^\\d{{4}}$') THEN trim(raw) || '-01-01' END AS DATE),
                  CASE WHEN length(raw) % 2 = 0 THEN DATE '2003-04-05' ELSE {TODAY} END)""", "coerced"),
-    "to_float": _raw(OTHER_RAW, "CASE WHEN regexp_matches(trim(raw), '^[0-9.]+(e[0-9]+)?$') THEN TRY_CAST(trim(raw) AS DOUBLE) END", "number"),
+    "to_float": _raw("raw_number", "CASE WHEN regexp_matches(trim(raw), '^[0-9.]+(e[0-9]+)?$') THEN TRY_CAST(trim(raw) AS DOUBLE) END", "number"),
     "drug_class": "SELECT id, class, grp FROM v_chart LEFT JOIN o_class ON text = value WHERE resource_type IN ('Medication', 'Allergy')",
     "family_risk": "SELECT id, category, early, described FROM o_family",
     "ground_facts": rf"""
@@ -380,10 +379,11 @@ QUERIES = {
           SELECT id, coalesce(said, known) AS class, said IS NOT NULL AS was_learned, row_number() OVER (PARTITION BY id ORDER BY place, known IS NULL, term) AS nth FROM seen WHERE coalesce(said, known) IS NOT NULL) s ON s.id = f.id AND nth = 1)""",
     "monitoring_rules": f"SELECT id, m.analyte, every_months FROM v_chart JOIN ({_table('m', 'cond, analyte, every_months', [(c, a, m) for c, rules in V.MONITORING.items() for a, m in rules])}) AS m ON cond = lower(trim(value)) WHERE resource_type = 'Condition'",
     "ontology_triples": f"""
+        SELECT t.*, (SELECT count(*) FROM v_chart WHERE lower(trim(value)) = t.s) AS facts FROM (
         SELECT drug AS s, 'type' AS p, 'Drug' AS o FROM d_drug UNION ALL SELECT DISTINCT class, 'type', 'DrugClass' FROM d_drug
         UNION ALL SELECT * FROM (SELECT cond, 'type', 'Condition' FROM d_condition UNION SELECT cond, 'type', 'Condition' FROM (VALUES {_values([(c,) for c in V.MONITORING])}) AS m(cond))
         UNION ALL SELECT drug, 'subClassOf', class FROM d_drug UNION ALL SELECT class, 'subClassOf', grp FROM d_group UNION ALL SELECT cond, 'confersFamilialRisk', category FROM d_condition
-        UNION ALL SELECT cond, 'monitoredBy', analyte FROM (VALUES {_values([(c, a) for c, rules in V.MONITORING.items() for a, _ in rules])}) AS m(cond, analyte)""",
+        UNION ALL SELECT cond, 'monitoredBy', analyte FROM (VALUES {_values([(c, a) for c, rules in V.MONITORING.items() for a, _ in rules])}) AS m(cond, analyte)) t(s, p, o)""",
     "fact_label": f"SELECT id, {_LABEL} AS label FROM v_chart",
     "fact_types": f"SELECT subject, type, count(*) AS n FROM v_chart LEFT JOIN (VALUES {_values(list(V.RESOURCE_TYPES.items()))}) AS t(s, type) ON s = lower(subject) GROUP BY 1, 2",
     "partition_names": "SELECT DISTINCT patient_id, concat('tr_p', patient_id) AS name_own, concat('naive_p', patient_id) AS name_naive, concat('chat_p', patient_id) AS name_chat FROM v_chart",

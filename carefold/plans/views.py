@@ -113,6 +113,14 @@ VIEWS = {
              CASE WHEN d = 8 AND h % 10 = 0 THEN concat(' mrn-', CAST(900000 + relative AS STRING)) END AS relative_mrn,
              CASE WHEN d = 9 AND t % 5 > 2 THEN {pick(["smoking", "exercise", "habits"], "id")} END AS factor
       FROM v_order""",
+    # Names, flags, dates and numbers of all orders as they may be written.
+    "v_raw": f"""
+      SELECT id, concat({pick(RAW_NAMES, "t")}, CASE WHEN id % 3 = 0 THEN concat(' ', CAST(id % 50 AS STRING)) ELSE '' END) AS raw_name,
+             CASE id % 3 WHEN 0 THEN {pick(RAW_FLAGS, "t")} WHEN 1 THEN concat(' ', substr(priority, 3)) ELSE substr(priority, 3, 1) END AS raw_flag,
+             CASE id % 6 WHEN 0 THEN CAST(valid_from AS STRING) WHEN 1 THEN substr(CAST(valid_from AS STRING), 1, 7) WHEN 2 THEN substr(CAST(valid_from AS STRING), 1, 4)
+                  WHEN 3 THEN concat(' ', CAST(valid_from AS STRING), 'T10:00:00') WHEN 4 THEN concat('x', CAST(valid_from AS STRING)) ELSE {pick(RAW_DATES, "t")} END AS raw_date,
+             CASE id % 4 WHEN 0 THEN CAST(half AS STRING) WHEN 1 THEN concat(' ', CAST(t AS STRING)) WHEN 2 THEN concat(CAST(t AS STRING), ' mg') ELSE {pick(OTHER_RAW, "t")} END AS raw_number
+      FROM v_order""",
     # Charts whose names are misspelt in every second row: a letter lost, or one too many.
     "v_misspelt": "SELECT id, resource_type, " + ", ".join(f"CASE id % 4 WHEN 1 THEN concat(substr({c}, 1, 2), substr({c}, 4)) WHEN 2 THEN concat(substr({c}, 1, 3), 'x', substr({c}, 4)) ELSE {c} END AS {c}" for c in ("value", "drug", "substance", "analyte", "condition")) + " FROM v_chart",
     "v_state": """

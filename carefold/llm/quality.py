@@ -2,10 +2,10 @@ r"""Quality rules (operator 9), by DataFrame functions alone.
 
 Method: a short-circuit cascade. Each rule names the features it needs and the condition under which it rejects a
 document. On a sample (of SAMPLE_ROWS rows or so: it only orders the rules and never decides about a row) the share of
-rows that each rule rejects is counted, in one job for all combinations of verdicts; a rule's cost is the work of its
-features on the sample's characters (WORK, passes over the text), so the order is the same in every run. Rules are
-ordered greedily: next comes the one that rejects most per cost of the features it still needs, among the rows that
-the rules before it keep. ``cascade`` and ``verdicts`` compute a rule's features only for the rows that all rules before
+rows that each rule rejects is counted, and so are the characters, words and lines of the rows, in one job for all
+combinations of verdicts; a rule's cost is the steps (STEPS) that its features take for what was counted, so the order is
+the same in every run. Rules are ordered greedily: next comes the one that rejects most per cost of the features it still
+needs, both among the rows that the rules before it keep. ``cascade`` and ``verdicts`` compute a rule's features only for the rows that all rules before
 it kept, ``verdicts`` but for the features that are wanted of every row. All rules must keep a document, so the order
 changes the work and not the verdict.
 
@@ -47,8 +47,11 @@ RULES = (
     Rule("capitals", ("word_chars", "n_capitals"), lambda f: 2 * f["n_capitals"] > f["word_chars"]),
 )
 
-#: Work of a feature in passes over the text: a scan is one, hashing and sorting windows many.
-WORK = {"n_words": 2.0, "word_chars": 1.0, "n_symbols": 1.0, "n_lines": 3.0, "n_dup_lines": 4.0, "n_capitals": 3.0, "n_repeat_words": 20.0}
+#: Steps that a feature takes for each character, word and line of a text; windows are as many as words, and are hashed
+#: and may be sorted. How many of these there are is counted on the sample.
+STEPS = {
+    "n_words": (2, 1, 0), "word_chars": (1, 0, 0), "n_symbols": (1, 0, 0), "n_lines": (2, 0, 2), "n_dup_lines": (2, 0, 20), "n_capitals": (3, 0, 0), "n_repeat_words": (3, 60, 0),
+}
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,24 +106,28 @@ def _columns(names: tuple[str, ...]) -> dict[str, Column]:
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, free: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
-    """(rule, cost, share rejected of the rows that the rules before it keep), in the order of the cascade.
+    """(rule, steps for a row, share rejected), of the rows that the rules before it keep, in the order of the cascade.
 
     ``free`` features are computed anyway and cost nothing. Ties go to the rule that is named first.
     """
     total = docs.count()
     sample = docs.select("text").sample(min(1.0, rows / max(total, 1)), seed=1)
-    judged = with_features(sample, {n for rule in rules for n in rule.needs})
+    judged = with_features(sample, {"n_words", "n_lines", *(n for rule in rules for n in rule.needs)})
+    judged = judged.withColumn("n_chars", F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     verdict = F.concat(*[F.when(rule.rejects(_columns(rule.needs)), "1").otherwise("0") for rule in rules])
-    seen = [(r[0], r[1]) for r in judged.groupBy(verdict.alias("v")).count().collect()]  # at most 2 ** rules rows
-    size = max(1, sum(n for _, n in seen))
+    counted = judged.groupBy(verdict.alias("v")).agg(F.count("*"), *[F.sum(c) for c in ("n_chars", "n_words", "n_lines")])
+    seen = [(r[0], r[1], r[2:]) for r in counted.collect()]  # at most 2 ** rules rows
+    size = max(1, sum(n for _, n, _ in seen))
     out, have, left = [], set(free), list(range(len(rules)))
     while left:
-        alive = max(1, sum(n for _, n in seen))
-        share = {i: sum(n for v, n in seen if v[i] == "1") / alive for i in left}
-        cost = {i: sum(WORK[n] for n in rules[i].needs if n not in have) for i in left}
-        best = max(left, key=lambda i: ((share[i] + 1 / size) / (cost[i] + 0.1), -i))  # noqa: B023
+        alive = max(1, sum(n for _, n, _ in seen))
+        share = {i: sum(n for v, n, _ in seen if v[i] == "1") / alive for i in left}
+        each = [sum(units[u] for _, _, units in seen) / alive for u in range(3)]
+        steps = {f: sum(a * b for a, b in zip(STEPS[f], each, strict=True)) for f in STEPS if f not in have}
+        cost = {i: sum(steps[f] for f in rules[i].needs if f in steps) for i in left}
+        best = max(left, key=lambda i: ((share[i] + 1 / size) / (cost[i] + 1), -i))  # noqa: B023
         out.append((rules[best], cost[best], share[best]))
-        seen = [(v, n) for v, n in seen if v[best] == "0"]
+        seen = [x for x in seen if x[0][best] == "0"]
         have |= set(rules[best].needs)
         left.remove(best)
     return out

@@ -67,3 +67,16 @@ def test_cascade_keeps_columns_of_any_name(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.verdicts(none, [r for r, _, _ in quality.estimate(none)], quality.WANTED).collect() == []
+
+
+def test_costs_are_counted_on_the_sample(spark):
+    """Steps of a row follow the characters, words and lines of the rows that are left; what is free costs nothing."""
+    text = "alpha beta gamma delta"
+    docs = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string")
+    cost = {r.name: c for r, c, _ in quality.estimate(docs, quality.RULES[1:2])}
+    assert cost == {"repeated_words": (2 + 3) * len(text) + (1 + 60) * 4}
+    assert [c for _, c, _ in quality.estimate(docs, quality.RULES[1:2], free=("n_words", "n_repeat_words"))] == [0]
+    # The same rule is dear where lines are many.
+    lines = spark.createDataFrame([(i, "\n".join(text.split())) for i in range(20)], "doc_id long, text string")
+    rule = quality.RULES[4:5]
+    assert quality.estimate(lines, rule)[0][1] - quality.estimate(docs, rule)[0][1] == 3 * (2 + 20)

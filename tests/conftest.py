@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from carefold.storage import release
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -19,4 +21,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()

@@ -153,6 +153,18 @@ def age_on(dob: Column, day: Column) -> Column:
     return F.year(day) - F.year(dob) - F.when(before, 1).otherwise(0)
 
 
+def birth_year(dob: Column) -> Column:
+    """The year that a text begins with, by its four leading digits; null without them."""
+    return F.regexp_extract(dob.cast("string"), "^([0-9]{4})", 1).try_cast("int")
+
+
+def timeline_file(patient: Column) -> Column:
+    """The name of a patient's timeline file, by the digits of the id: 1 and two places at least."""
+    digits = F.regexp_replace(patient.cast("string"), "[^0-9]", "")
+    number = F.regexp_replace(F.when(digits == "", "01").otherwise(digits), "^0+(?=.)", "")
+    return F.concat(F.lit("patient_timeline_"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit(".json"))
+
+
 def generation_plausible(relation: Column, patient_year: Column, relative_year: Column) -> Column:
     """May a person born in ``relative_year`` be this relation of one born in ``patient_year``? Null if it can't be told."""
     older = patient_year - relative_year

@@ -104,6 +104,24 @@ def prescribe_screen(orders: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def prescribe_top(orders: DataFrame, facts: DataFrame, limit: int = 5) -> DataFrame:
+    """The first ``limit`` cards of each order (patient_id, drug), with their place from 1."""
+    return top_cards(prescribe_cards(orders, facts), limit, ("patient_id", "drug"))
+
+
+def order_texts(orders: DataFrame, facts: DataFrame) -> DataFrame:
+    """(patient_id, drug, text): what is said of each order before anything is ordered, its first cards in their order or
+    that nothing was found."""
+    line = F.concat(F.lit("- ["), F.upper("indicator"), F.lit("] "), F.col("summary"), F.lit(": "), F.col("detail"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n")
+    told = prescribe_top(orders, facts).groupBy("patient_id", "drug").agg(lines.alias("lines"))  # five cards at most
+    found = F.concat(F.lit("Prescribe-time safety findings (nothing has been ordered):\n"), F.col("lines"))
+    none = F.concat(
+        F.lit("No allergy or contraindication found for "), F.col("drug"), F.lit(" in this patient's records. This is a safety screen only — confirm dosing and interactions for your review.")
+    )
+    return orders.select("patient_id", "drug").distinct().join(told, ["patient_id", "drug"], "left").select("patient_id", "drug", F.coalesce(found, none).alias("text"))
+
+
 def lab_series(facts: DataFrame, today: Column) -> DataFrame:
     """(patient_id, analyte, ...): what trends and gaps are told from, one aggregation over laboratory results."""
     labs = facts.filter("resource_type = 'LabResult' AND status <> 'retracted'")
@@ -254,9 +272,9 @@ def severity(indicator: Column) -> Column:
     return out
 
 
-def top_cards(cards: DataFrame, limit: int = 5, by: str = "patient_id") -> DataFrame:
-    """The first ``limit`` cards of each patient, the most severe first, with their place from 1."""
-    order = Window.partitionBy(by).orderBy(severity(F.col("indicator")), "check_ord", "ord1", "ord2", "ord3")
+def top_cards(cards: DataFrame, limit: int = 5, by: tuple[str, ...] = ("patient_id",)) -> DataFrame:
+    """The first ``limit`` cards of each patient (or whatever ``by`` names), the most severe first, with their place from 1."""
+    order = Window.partitionBy(*by).orderBy(severity(F.col("indicator")), "check_ord", "ord1", "ord2", "ord3")
     return cards.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 

@@ -6,7 +6,7 @@ settled; blank texts count as missing; extra columns of answers are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carefold import vocabulary as V
@@ -111,3 +111,13 @@ def grounded(learned: dict[str, str] | None = None) -> Column:
     """Is one of the candidates in the vocabulary? Null without candidates."""
     names = grounding_candidates()
     return F.when(F.size(names) > 0, F.exists(names, lambda n: C.is_known(n, learned)))
+
+
+def brief_rows(facts: DataFrame) -> DataFrame:
+    """(patient_id, section, place, id, label, value, valid_from, status): the rows of a brief's sections, each in the order
+    of days and ids from 1. Facts of no section, and retracted ones, have no row."""
+    section = F.try_element_at(F.create_map(*[F.lit(x) for item in V.SECTIONS.items() for x in item]), F.col("resource_type"))
+    rows = facts.filter("status <> 'retracted'").withColumn("section", section).filter("section IS NOT NULL")
+    order = Window.partitionBy("patient_id", "section").orderBy("valid_from", "id")
+    label = C.label(F.col("subject"), F.col("predicate"), F.col("value"))
+    return rows.select("patient_id", "section", F.row_number().over(order).alias("place"), "id", label.alias("label"), "value", "valid_from", "status")

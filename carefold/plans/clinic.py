@@ -402,6 +402,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allergy_conflict": lambda s, d: _shown(checks.allergy_cards(charts(s, d)), "ord2"),
     "prescribe_screen": lambda s, d: checks.prescribe_screen(_orders(s, d), charts(s, d)),
     "prescribe_cards": lambda s, d: _shown(checks.prescribe_cards(_orders(s, d), charts(s, d)), "drug"),
+    "prescribe_top": lambda s, d: _shown(checks.prescribe_top(_orders(s, d), charts(s, d)), "drug", "place"),
+    "order_texts": lambda s, d: checks.order_texts(_orders(s, d), charts(s, d)),
     "combined_cv_risk": lambda s, d: _shown(checks.risk_cards(charts(s, d)).filter("check_id = 'combined_risk:cardiovascular'")),
     "combined_risk": lambda s, d: _shown(checks.risk_cards(charts(s, d))),
     "own_factors": lambda s, d: checks.own_factors(charts(s, d)).select("patient_id", "id", "label"),
@@ -413,6 +415,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cards_text": lambda s, d: checks.as_text(checks.risk_cards(charts(s, d))),
     "risk_assertions": lambda s, d: checks.risk_assertions(checks.risk_cards(charts(s, d))),
     "brief_sections": brief_sections,
+    "brief_rows": lambda s, d: evidence.brief_rows(charts(s, d)),
     # Identity.
     "patient_resolve": patient_resolve,
     "entity_find": lambda s, d: identity.find(_asked(s, d), registry(s, d)).select("query_id", "found"),
@@ -430,6 +433,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "canonical_flag": lambda s, d: _raw(s, d, C.canonical_flag(F.col("raw_flag")), "canonical"),
     "coerce_date": lambda s, d: _raw(s, d, C.coerce_date(F.col("raw_date"), F.when(F.length("raw_date") % 2 == 0, "2003-04-05 or so"), today()), "coerced"),
     "to_float": lambda s, d: _raw(s, d, C.to_float(F.col("raw_number")), "number"),
+    "birth_years": lambda s, d: run(s, d, "SELECT id, raw_date FROM v_raw").select("id", C.birth_year(F.col("raw_date")).alias("year")),
+    "timeline_files": lambda s, d: run(s, d, "SELECT id, concat(substr(raw_name, 1, 1), CAST(id % 150 AS STRING), substr(raw_flag, 1, 1)) AS name FROM v_raw").select("id", C.timeline_file(F.col("name")).alias("file")),
     "drug_class": lambda s, d: charts(s, d).filter("resource_type IN ('Medication', 'Allergy')").select("id", C.drug_class(F.col("value")).alias("class"), C.drug_group(C.drug_class(F.col("value"))).alias("grp")),
     "family_risk": lambda s, d: checks.family_risks(charts(s, d)).select("id", "category", "early", "described"),
     "ground_facts": lambda s, d: charts(s, d).select("id", evidence.grounded().alias("grounded"), F.array_join(evidence.grounding_candidates(), "|").alias("candidates")),

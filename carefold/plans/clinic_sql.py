@@ -302,6 +302,13 @@ QUERIES = {
     "allergy_conflict": f"SELECT {_SHOWN}, o2 AS ord2 FROM o_allergy_card",
     "prescribe_screen": "SELECT o.patient_id, o.drug, CASE WHEN count(f.allergy) > 0 THEN 'critical' ELSE 'clear' END AS verdict, count(f.allergy) AS cards FROM o_order o LEFT JOIN o_forbidden f ON f.patient_id = o.patient_id AND f.drug = o.drug GROUP BY 1, 2",
     "prescribe_cards": "SELECT o.patient_id, o.drug, 'allergy' AS check_id, 'critical' AS indicator, concat('Do not prescribe ', split_part(o.drug, ' ', 1), ' — ', substance, ' allergy') AS summary, detail, CAST(allergy AS VARCHAR) AS evidence FROM o_order o JOIN o_forbidden f ON f.patient_id = o.patient_id AND f.drug = o.drug",
+    "prescribe_top": """
+        SELECT * FROM (SELECT o.patient_id, o.drug, row_number() OVER (PARTITION BY o.patient_id, o.drug ORDER BY allergy_from, allergy) AS place, 'allergy' AS check_id, 'critical' AS indicator,
+          concat('Do not prescribe ', split_part(o.drug, ' ', 1), ' — ', substance, ' allergy') AS summary, detail, CAST(allergy AS VARCHAR) AS evidence FROM o_order o JOIN o_forbidden f ON f.patient_id = o.patient_id AND f.drug = o.drug) WHERE place <= 5""",
+    "order_texts": """
+        SELECT o.patient_id, o.drug, coalesce('Prescribe-time safety findings (nothing has been ordered):' || chr(10) || string_agg(concat('- [CRITICAL] Do not prescribe ', split_part(o.drug, ' ', 1), ' — ', substance, ' allergy: ', detail), chr(10) ORDER BY nth) FILTER (WHERE f.allergy IS NOT NULL),
+               concat('No allergy or contraindication found for ', o.drug, ' in this patient''s records. This is a safety screen only — confirm dosing and interactions for your review.')) AS text
+        FROM o_order o LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY patient_id, drug ORDER BY allergy_from, allergy) AS nth FROM o_forbidden) f ON f.patient_id = o.patient_id AND f.drug = o.drug AND nth <= 5 GROUP BY 1, 2""",
     "combined_cv_risk": f"SELECT {_SHOWN} FROM o_heart_card",
     "combined_risk": f"SELECT {_SHOWN} FROM o_risk_card",
     "own_factors": "SELECT patient_id, id, label FROM o_factor",
@@ -321,6 +328,12 @@ QUERIES = {
                           ORDER BY CASE WHEN c.resource_type = 'Allergy' AND c.status = 'active' AND lower(trim(c.predicate)) <> 'cleared' THEN coalesce(nullif(substance, ''), value) END) AS badge,
                p.patient_id IN (SELECT patient_id FROM o_card) AS risk
         FROM v_patient p LEFT JOIN v_chart c ON c.patient_id = p.patient_id AND c.status <> 'retracted' GROUP BY p.patient_id, dob""",
+    "brief_rows": f"""
+        SELECT patient_id, section, row_number() OVER (PARTITION BY patient_id, section ORDER BY valid_from, id) AS place, id, {_LABEL} AS label, value, valid_from, status
+        FROM v_chart JOIN (VALUES {_values(list(V.SECTIONS.items()))}) AS k(rt, section) ON rt = resource_type WHERE status <> 'retracted'""",
+    "birth_years": "SELECT id, TRY_CAST(CASE WHEN raw_date[:4] SIMILAR TO '[0-9]{4}' THEN raw_date[:4] END AS INT) AS year FROM v_raw",
+    "timeline_files": """
+        SELECT id, concat('patient_timeline_', CASE WHEN n < 10 THEN '0' ELSE '' END, n, '.json') AS file FROM (SELECT id, CAST(regexp_replace(concat(id % 150, substr(raw_flag, 1, 1)), '[^0-9]', '', 'g') AS BIGINT) AS n FROM v_raw)""",
     "patient_resolve": """
         SELECT q.doctor_id, q.query, count(p.patient_id) AS candidates, CASE WHEN count(p.patient_id) = 1 THEN min(p.patient_id) END AS resolved
         FROM (SELECT DISTINCT doctor_id, query FROM v_access, (VALUES ('mrn-900007'), ('given-3 '), (' O''Fam12'), ('42'), ('nobody')) AS q(query)) q

@@ -7,7 +7,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from carefold.operators import checks
+from carefold.functions import clinical as C
+from carefold.operators import checks, evidence
 from carefold.plans import clinic
 
 SCHEMA = """id long, patient_id long, valid_from date, resource_type string, subject string, predicate string, value string, status string, analyte string, reading double, abnormal_flag string,
@@ -163,6 +164,30 @@ def test_suggestions(spark):
     }
 
 
+def test_orders(spark):
+    """Of seven allergies to one drug the first five make cards, in the order of their days; a clear order says so."""
+    rows = [{"resource_type": "Allergy", "predicate": "diagnosed", "substance": "penicillin", "reaction": f"r{i}", "valid_from": f"2024-01-{9 - i:02d}"} for i in range(7)]
+    orders = spark.createDataFrame([(1, "amoxicillin 500mg"), (1, "zinc"), (1, "zinc"), (2, "amoxicillin 500mg")], "patient_id long, drug string")
+    top = checks.prescribe_top(orders, chart(spark, *rows)).orderBy("place").collect()
+    assert [(r.patient_id, r.drug, r.place, r.evidence) for r in top] == [(1, "amoxicillin 500mg", i + 1, [6 - i]) for i in range(5)]
+    texts = {(r.patient_id, r.drug): r.text.split("\n") for r in checks.order_texts(orders, chart(spark, *rows)).collect()}
+    assert set(texts) == {(1, "amoxicillin 500mg"), (1, "zinc"), (2, "amoxicillin 500mg")}
+    found = texts[1, "amoxicillin 500mg"]
+    assert len(found) == 6 and found[0].startswith("Prescribe-time safety findings") and found[1].startswith("- [CRITICAL] Do not prescribe amoxicillin — penicillin allergy: ") and "r6" in found[1]
+    assert texts[1, "zinc"] == ["No allergy or contraindication found for zinc in this patient's records. This is a safety screen only — confirm dosing and interactions for your review."]
+
+
+def test_brief_rows(spark):
+    rows = [{"resource_type": "Condition", "valid_from": "2024-02-01"}, {"resource_type": "Condition", "valid_from": "2024-01-01"}, {"resource_type": "Vital"}, {"resource_type": None}, {"resource_type": "Vital", "status": "retracted"}, {"resource_type": "Note"}]
+    assert sorted((r.section, r.place, r.id) for r in evidence.brief_rows(chart(spark, *rows)).collect()) == [("conditions", 1, 1), ("conditions", 2, 0), ("vitals", 1, 2)]
+
+
+def test_years_and_files(spark):
+    rows = [("1999-02-03", "P001", 1999, "01"), ("19", "7", None, "07"), (" 1999", "none", None, "01"), ("2001x", "P1x02", 2001, "102"), ("", "", None, "01"), (None, "000", None, "00"), ("12345", "P0100", 1234, "100")]
+    for r in spark.createDataFrame(rows, "dob string, patient string, year int, file string").select(C.birth_year(F.col("dob")).alias("got"), C.timeline_file(F.col("patient")).alias("name"), "year", "file").collect():
+        assert (r.got, r.name) == (r.year, f"patient_timeline_{r.file}.json")
+
+
 def test_top_cards_are_stable(spark):
     rows = [(1, "warning", 3, 1), (1, "critical", 0, 9), (1, "warning", 1, 2), (1, "info", 0, 0), (1, "critical", 0, 3), (1, "warning", 1, 1)]
     made = spark.createDataFrame(rows, "patient_id long, indicator string, check_ord int, ord2 long").withColumns({"ord1": F.lit(0), "ord3": F.lit(0)})

@@ -193,3 +193,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = [(j, min(s, _MOST_LONG), total, hashlib.sha256(",".join(map(str, centroids[j].tolist())).encode()).hexdigest()) for j, s in inertia.items()]
     about = spark.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return labels.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _oracle() -> str:
+    """The query's rows for another engine, every pair of a vector and a centroid compared."""
+    apart = "CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    assigned = "SELECT r, min({{'d': {apart}, 'j': j}}) AS m FROM k, c{n} GROUP BY r"
+    parts = [
+        f"""k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(greatest(least(floor({SCALE} * CAST(x AS DOUBLE)), {LIMIT}), -{LIMIT}) AS BIGINT)) AS v
+             FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMS})""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT v, sha256(concat('1:', vec_id)) AS h FROM k ORDER BY h, v LIMIT {CLUSTERS}))""",
+    ]
+    for n in range(ROUNDS):
+        parts += [
+            f"a{n} AS ({assigned.format(apart=apart, n=n)})",
+            f"""s{n} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT m.j AS j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k JOIN a{n} USING (r)) GROUP BY j, i)""",
+            f"""c{n + 1} AS (SELECT o.j, coalesce(w.c, o.c) AS c FROM c{n} o LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{n} GROUP BY j) w ON w.j = o.j)""",
+        ]
+    parts.append(f"z AS ({assigned.format(apart=apart, n=ROUNDS)})")
+    return "WITH " + ",\n".join(parts) + f"""
+        SELECT vec_id, CAST(m.j AS INT) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM k JOIN z USING (r) JOIN c{ROUNDS} ON c{ROUNDS}.j = m.j"""
+
+
+ORACLE = _oracle()

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.ORACLE, "op10_line_dedup": linededup.ORACLE}
+    return {"op9_quality_rules": quality.ORACLE, "op10_line_dedup": linededup.ORACLE, "op11_centroid_clustering": centroids.ORACLE, "op12_warc": warc.ORACLE}

@@ -313,3 +313,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     if write(table(spark, sf_dir, "pages"), to).isEmpty():
         return spark.createDataFrame([], schema)
     return read(spark, f"{to}/warc", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, size >= 100 AND row_number() OVER same > 1 AS again, first_value(page_id) OVER same AS first
+      FROM (SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, sha256(coalesce(html, '')) AS digest FROM pages)
+      WINDOW same AS (PARTITION BY digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+"""

@@ -9,6 +9,7 @@ import random
 import pytest
 
 from carefold.llm import centroids
+from tests.oracle import assert_same, connect
 
 SCHEMA = "vec_id long, embedding array<float>, label int, chunk int, cluster string"
 
@@ -76,3 +77,7 @@ def test_nothing_to_cluster(spark, tmp_path):
 def test_too_many_cells(spark):
     with pytest.raises(ValueError):
         centroids.cluster(spark.createDataFrame([], SCHEMA), k=1 << 20, dims=64)
+
+
+def test_query_matches_sql(spark):
+    assert_same(centroids.query(spark, "/root/testdata/sf0.001"), connect("/root/testdata/sf0.001"), centroids.ORACLE)

@@ -11,6 +11,7 @@ import pytest
 
 from carefold.llm import warc
 from carefold.llm._common import shared_dir
+from tests.oracle import assert_same, connect
 
 SCHEMA = "page_id long, url string, html string, digest string, first int"
 
@@ -111,3 +112,7 @@ def test_damage(spark, size):
     assert [r.page_id for r in got if r.record_type == "response"] == [0, 1, 3, 4, 5]
     places = [(r.start, r.end) for r in got]
     assert places[0][0] == 0 and places[-1][1] == sum(map(len, parts)) and all(a[1] == b[0] for a, b in zip(places, places[1:], strict=False))
+
+
+def test_query_matches_sql(spark):
+    assert_same(warc.query(spark, "/root/testdata/sf0.001"), connect("/root/testdata/sf0.001"), warc.ORACLE)

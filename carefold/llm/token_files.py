@@ -203,10 +203,11 @@ def write(docs: DataFrame, vocabulary: str, to: str, end_id: int = END_ID) -> Da
             out.close()
             files.move(attempt, f"{folder}/{name}")
 
-    # The text is a sort key so that rows which repeat a doc_id have one order, whatever the input's order is.
+    # The text is a sort key so that rows which repeat a doc_id have one order, whatever the input's order is, and part of
+    # the ranges so that a doc_id with many rows, or a null one, is many tasks' work.
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = chosen.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+    ranged = chosen.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), text_key(F.col("text")))
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_key(F.col("text")))
     ordered.mapInArrow(run, INDEX).write.parquet(f"{to}/index")
     return spark.read.schema(INDEX).parquet(f"{to}/index")

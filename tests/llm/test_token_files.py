@@ -129,3 +129,15 @@ def test_counts_of_documents(spark):
     coder = bpe.ByteBpe.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want = sorted((r.doc_id, len(coder.encode(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     assert sorted(map(tuple, token_counts.query(spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_a_hot_doc_id_goes_to_many_files(spark, doc_id):
+    rows = [(doc_id, f"word{i} it's") for i in range(400)] + [(i, "alone") for i in range(100, 120)]
+    to = shared_dir(spark, "test-files")
+    index = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, to)
+    sizes = {r.file: r["count"] for r in index.groupBy("file").count().collect()}
+    assert len(sizes) > 2 and max(sizes.values()) < 300
+    got = sorted(token_files.with_starts(token_files.read(index, to), index).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [doc_id] * 400 + list(range(100, 120))
+    assert all(a.start + len(a.ids) // 4 == b.start for a, b in zip(got, got[1:], strict=False))

@@ -30,8 +30,16 @@ def _card(rows: DataFrame, **columns: Column | str | int) -> DataFrame:
     return rows.select("patient_id", *[made[c].alias(c) for c in CARD[1:]])
 
 
-def _texts(*texts: Column | str) -> Column:
-    return F.array(*[x if isinstance(x, Column) else F.lit(x) for x in texts])
+def _filled(text: str, *values: Column) -> Column:
+    """The text with the values, in turn, in place of its braces."""
+    parts = text.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, part in zip(values, parts[1:], strict=True) for x in (v, F.lit(part))])
+
+
+def _suggest(kind: str, *values: Column) -> Column:
+    """What a kind of card suggests; the values are for its first text."""
+    first, *others = V.SUGGESTIONS[kind]
+    return F.array(_filled(first, *values), *map(F.lit, others))
 
 
 def is_abnormal(flag: Column) -> Column:
@@ -73,8 +81,7 @@ def _conflict_cards(found: DataFrame, summary: Column, ord1: Column, ord2: Colum
         F.lit("."),
     )
     agents = F.replace(F.coalesce(C.drug_group(of_class), of_class, F.lit("related")), F.lit("_"), F.lit(" "))
-    avoid = F.concat(F.lit("Avoid "), name, F.lit(" and other "), agents, F.lit(" agents"))
-    suggestions = _texts(avoid, "Choose a non-cross-reactive alternative", "Reconfirm the allergy and reaction with the patient")
+    suggestions = _suggest("allergy", name, agents)
     return _card(found, check_id="allergy", indicator="critical", summary=summary, detail=detail, evidence=F.array("allergy_id"), check_ord=0, ord1=ord1, ord2=ord2, ord3=ord3, suggestions=suggestions)
 
 
@@ -115,10 +122,7 @@ def order_texts(orders: DataFrame, facts: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- ["), F.upper("indicator"), F.lit("] "), F.col("summary"), F.lit(": "), F.col("detail"))
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n")
     told = prescribe_top(orders, facts).groupBy("patient_id", "drug").agg(lines.alias("lines"))  # five cards at most
-    found = F.concat(F.lit("Prescribe-time safety findings (nothing has been ordered):\n"), F.col("lines"))
-    none = F.concat(
-        F.lit("No allergy or contraindication found for "), F.col("drug"), F.lit(" in this patient's records. This is a safety screen only — confirm dosing and interactions for your review.")
-    )
+    found, none = F.concat(F.lit(f"{V.ORDER_FINDINGS}\n"), F.col("lines")), _filled(V.ORDER_CLEAR, F.col("drug"))
     return orders.select("patient_id", "drug").distinct().join(told, ["patient_id", "drug"], "left").select("patient_id", "drug", F.coalesce(found, none).alias("text"))
 
 
@@ -154,7 +158,7 @@ def trend_cards(series: DataFrame) -> DataFrame:
         check_id=F.concat(F.lit("followup_gap:trend:"), F.col("analyte")), indicator="warning", summary=F.concat(name, F.lit(" "), way, F.lit(": "), moved),
         detail=F.concat(name, F.lit(" moved "), moved, F.lit(" ("), span, F.lit(") — trending the wrong way despite prior results.")),
         evidence=F.transform("points", lambda p: p["id"]), check_ord=1, ord1=F.col("seen.valid_from"), ord2=F.col("seen.id"),
-        suggestions=_texts(F.concat(F.lit("Review "), name, F.lit(" management")), "Consider treatment intensification or specialist referral"),
+        suggestions=_suggest("trend", name),
     )
 
 
@@ -185,7 +189,7 @@ def gap_cards(series: DataFrame, facts: DataFrame) -> DataFrame:
         summary=F.concat(F.lit("Abnormal "), name, F.lit(" ("), shown, F.lit(") with no follow-up")),
         detail=F.concat(name, F.lit(" was "), shown, F.lit(" ("), F.col("latest.flag"), F.lit(") on "), F.col("latest.valid_from").cast("string"), F.lit(" with no subsequent lab, note, or referral on record.")),
         evidence=F.array("latest.id"), check_ord=1, ord1=F.col("seen.valid_from"), ord2=F.col("seen.id"),
-        suggestions=_texts(F.concat(F.lit("Order a repeat "), name), "Refer to the relevant specialist", "Document a follow-up plan"),
+        suggestions=_suggest("gap", name),
     )
 
 
@@ -210,7 +214,7 @@ def family_risks(facts: DataFrame) -> DataFrame:
 
 
 def _screening() -> Column:
-    return _texts(F.concat(F.lit("Consider "), F.col("category"), F.lit(" screening per family-history guidelines")))
+    return _suggest("hereditary", F.col("category"))
 
 
 def risk_cards(facts: DataFrame) -> DataFrame:
@@ -223,7 +227,7 @@ def risk_cards(facts: DataFrame) -> DataFrame:
         check_id="combined_risk:cardiovascular", indicator="warning", summary="Elevated cardiovascular risk — family history plus active risk factors",
         detail=F.concat(F.col("relative.described"), F.lit(", combined with "), F.array_join(F.transform("factors", lambda f: f["label"]), ", "), F.lit(", raises this patient's cardiovascular risk.")),
         evidence=F.concat(F.array("relative.id"), F.transform("factors", lambda f: f["id"])), check_ord=2, ord1=_first_day(), ord2=F.lit(0).cast("long"),
-        suggestions=_texts("Assess 10-year cardiovascular risk", "Discuss smoking cessation", "Consider lipid-lowering therapy and cardiovascular review"),
+        suggestions=_suggest("heart"),
     )
     other = _card(
         family.filter("category <> 'cardiovascular'"),

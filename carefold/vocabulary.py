@@ -82,6 +82,16 @@ SECTIONS = {
     "Condition": "conditions", "Medication": "medications", "Allergy": "allergies", "LabResult": "labs",
     "FamilyHistory": "family", "Lifestyle": "lifestyle", "Vital": "vitals", "Procedure": "procedures",
 }
+# What cards suggest, and what is said of an order; braces stand for what the card is about.
+SUGGESTIONS = {
+    "allergy": ["Avoid {} and other {} agents", "Choose a non-cross-reactive alternative", "Reconfirm the allergy and reaction with the patient"],
+    "trend": ["Review {} management", "Consider treatment intensification or specialist referral"],
+    "gap": ["Order a repeat {}", "Refer to the relevant specialist", "Document a follow-up plan"],
+    "heart": ["Assess 10-year cardiovascular risk", "Discuss smoking cessation", "Consider lipid-lowering therapy and cardiovascular review"],
+    "hereditary": ["Consider {} screening per family-history guidelines"],
+}
+ORDER_FINDINGS = "Prescribe-time safety findings (nothing has been ordered):"
+ORDER_CLEAR = "No allergy or contraindication found for {} in this patient's records. This is a safety screen only — confirm dosing and interactions for your review."
 # Order of severity and of certainty.
 SEVERITY = {"critical": 0, "warning": 1, "info": 2}
 CERTAINTY = {"settled": 0, "low_confidence": 1, "contested": 2}

@@ -66,8 +66,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what was stored for this application so far, and say how many folders that were; results that read them
-    must have been taken or written by then."""
+    """Delete the folders that were named for this application so far, and say how many there were; results that read them
+    must have been taken or written by then. Checkpoints go by ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     gone = 0
     for path in _NAMED.pop(spark.sparkContext.applicationId, []):
         of = hadoop_path(spark, path)

@@ -208,23 +208,82 @@ def family_members(of: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(per)).filter("nth = 1").select("patient_id", "name", "mrn", "parent_mrn")
 
 
-def search(queries: DataFrame, registry: DataFrame, access: DataFrame) -> DataFrame:
+#: Who may see whom: (doctor_id, ward) and (patient_id, ward), where a doctor may see all patients of the own wards.
+Wards = tuple[DataFrame, DataFrame]
+
+
+def _wards(access: DataFrame | Wards) -> Wards:
+    """A table of (doctor_id, patient_id) is the case in which every patient is a ward."""
+    if isinstance(access, tuple):
+        doctors, patients = access
+    else:
+        doctors, patients = access.select("doctor_id", F.col("patient_id").alias("ward")), access.select("patient_id", F.col("patient_id").alias("ward"))
+    return doctors.select("doctor_id", "ward").na.drop().distinct(), patients.select("patient_id", "ward").na.drop()
+
+
+def _placed(patients: DataFrame) -> DataFrame:
+    """(patient_id, wards): all wards of a patient, sorted, so that patients of the same wards are counted as one."""
+    return patients.groupBy("patient_id").agg(F.sort_array(F.collect_set("ward")).alias("wards"))
+
+
+def _visible(asked: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, n, first, last): ``asked`` has ``by`` and a ward in each row, ``counted`` wards, ward, n, first and last; a
+    set of wards that is met by several of them counts once."""
+    keys = [c for c in asked.columns if c in counted.columns]
+    once = asked.join(counted, keys).select(*by, "wards", "n", "first", "last").distinct()
+    return once.groupBy(*by).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+_COUNTS = (F.count, "n"), (F.min, "first"), (F.max, "last")
+
+
+def _counted(placed: DataFrame, *more: str) -> DataFrame:
+    of = placed.groupBy(*more, "wards").agg(*[f("patient_id").alias(name) for f, name in _COUNTS])
+    return of.withColumn("ward", F.explode("wards"))
+
+
+def scopes(access: DataFrame | Wards) -> DataFrame:
+    """(doctor_id, patients, first, last): how many patients a doctor may see; doctors without any have no row.
+
+    Patients are counted by their wards before they meet doctors, so pairs of them are never made.
+    """
+    doctors, patients = _wards(access)
+    return _visible(doctors, _counted(_placed(patients)), ["doctor_id"]).withColumnRenamed("n", "patients")
+
+
+def gate(requests: DataFrame, access: DataFrame | Wards) -> DataFrame:
+    """``requests`` (doctor_id, patient_id and any columns) with ``allowed``: whether the doctor may see the patient.
+
+    A request meets its patient's wards; what doctors ask for then is looked up once for each doctor and set of wards.
+    """
+    doctors, patients = _wards(access)
+    met = materialize(requests.join(_placed(patients), "patient_id", "left"), "requests")
+    pairs = met.select("doctor_id", "wards").filter("wards IS NOT NULL").distinct()
+    open_to = pairs.withColumn("ward", F.explode("wards")).join(doctors, ["doctor_id", "ward"]).select("doctor_id", "wards").distinct()
+    return met.join(open_to.withColumn("allowed", F.lit(True)), ["doctor_id", "wards"], "left").select(*requests.columns, F.coalesce("allowed", F.lit(False)).alias("allowed"))
+
+
+def search(queries: DataFrame, registry: DataFrame, access: DataFrame | Wards) -> DataFrame:
     """(doctor_id, query, candidates, resolved): patients whom a doctor may see by a part of the name or number, or the id.
 
-    Distinct texts of queries are looked up in an index of grams over distinct names and numbers (``terms.within``), and
-    what they hit meets the doctors' patients: equi-joins throughout. One candidate is resolved; queries without any have
-    no candidates, an empty query has all of the doctor's patients, and a null one none.
+    Distinct texts of queries are looked up in an index of grams over distinct names and numbers (``terms.within``); what
+    they hit is counted by wards, and these counts meet the doctors' wards: equi-joins throughout, and no pairs of
+    doctors and patients. One candidate is resolved; queries without any have no candidates, an empty query has all of
+    the doctor's patients, and a null one none.
     """
-    said = queries.select("doctor_id", "query", C.norm(F.col("query")).alias("q")).distinct()
+    doctors, patients = _wards(access)
+    said = queries.select("doctor_id", "query", C.norm(F.col("query")).alias("q")).filter("query IS NOT NULL").distinct()
     texts = registry.select("patient_id", F.explode(F.array(F.lower("name"), F.lower("mrn"))).alias("text"))
     found = within(texts.select("text"), said.select(F.col("q").alias("part")))
     by_part = texts.join(found, "text").select("patient_id", F.col("part").alias("q"))
     by_id = registry.select("patient_id", F.col("patient_id").cast("string").alias("q")).join(said.select("q").distinct(), "q").select("patient_id", "q")
-    hits = by_part.unionByName(by_id).distinct()
-    mine = said.join(access.select("doctor_id", "patient_id").distinct(), "doctor_id")
-    some = mine.filter("q <> ''").join(hits, ["patient_id", "q"], "left_semi")
-    every = mine.filter("q = '' AND query IS NOT NULL").join(registry.select("patient_id"), "patient_id", "left_semi")
-    counted = some.unionByName(every).groupBy("doctor_id", "query").agg(F.count("*").alias("n"), F.min("patient_id").alias("one"))
+    placed = _placed(patients)
+    hits = by_part.unionByName(by_id).distinct().join(placed, "patient_id")
+    mine = said.join(doctors, "doctor_id")
+    some = _visible(mine.filter("q <> ''"), _counted(hits, "q"), ["doctor_id", "query"])
+    own = placed.join(registry.select("patient_id").distinct(), "patient_id", "left_semi")
+    every = _visible(mine.filter("q = ''").drop("q"), _counted(own), ["doctor_id", "query"])
+    counted = some.unionByName(every).select("doctor_id", "query", "n", "first")
     return queries.join(counted, ["doctor_id", "query"], "left").select(
-        "doctor_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("n") == 1, F.col("one")).alias("resolved")
+        "doctor_id", "query", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("n") == 1, F.col("first")).alias("resolved")
     )

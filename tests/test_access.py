@@ -45,3 +45,7 @@ def test_pairs_are_counted_and_not_made(spark):
     found = identity.search(doctors.selectExpr("doctor_id", "explode(array('ann 1', '')) AS query"), people, (doctors, patients))
     assert sorted(map(tuple, found.groupBy("query", "candidates").count().collect())) == [("", 500_000, 2000), ("ann 1", 166_667, 2000)]
 
+
+def test_queries_have_their_sql_s_rows(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert clinic.access_gate(spark, sf_dir).columns == ["id", "doctor_id", "patient_id", "answer"]

@@ -48,4 +48,5 @@ def test_pairs_are_counted_and_not_made(spark):
 
 def test_queries_have_their_sql_s_rows(spark):
     sf_dir = "/root/testdata/sf0.001"
+    assert clinic.QUERIES["access_scope"](spark, sf_dir).columns == ["doctor_id", "patients", "first", "last"]
     assert clinic.access_gate(spark, sf_dir).columns == ["id", "doctor_id", "patient_id", "answer"]

@@ -1,6 +1,10 @@
 """Steps whose work or memory once grew faster than their input."""
 
+import datetime
 
+
+from carefold.operators import checks
+from carefold.plans import clinic
 from carefold.storage import shared_dir
 from carefold.streaming import reconcile
 
@@ -23,3 +27,12 @@ def test_stream_calls_by_shards(spark, monkeypatch):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 8
     got = sorted((r.patient_id, r.id, r.superseded_by, r.status, str(r.valid_from), str(r.valid_to)) for r in spark.table("closed_by_shards").collect())
     assert got == [(p, 2 * p, 2 * p + 1, "superseded", "2024-01-01", "2024-01-02") for p in range(1, 4000, 2)]
+
+
+def test_orders_are_not_broadcast(spark):
+    """A small file of patients makes many orders and keys: they meet allergies in a shuffle."""
+    assert "BroadcastExchange" not in plan(clinic.QUERIES["prescribe_screen"](spark, "/root/testdata/sf0.01")).split("hashpartitioning")[-1]
+    drugs = spark.range(10).selectExpr("id AS patient_id", "'amoxicillin' AS drug")
+    allergies = spark.createDataFrame([(3, 1, datetime.date(2020, 1, 1), "penicillin", "rash", "")], "patient_id long, allergy_id long, allergy_from date, substance string, reaction string, severity string")
+    found = checks.conflicts(drugs, allergies)
+    assert "BroadcastHashJoin" not in plan(found) and [r.patient_id for r in found.collect()] == [3]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from carefold.functions import clinical as C
 from carefold.operators.evidence import grounding_candidates
+from carefold.storage import materialize
 
 GRAM = 2
 #: Characters of a name for each edit.
@@ -53,11 +54,17 @@ def close(terms: DataFrame, names: DataFrame) -> DataFrame:
 
 def ground(facts: DataFrame, names: DataFrame) -> DataFrame:
     """(id, grounded, name, distance): whether what a fact may be called is near a name, and the nearest one; ``grounded``
-    is null where it may be called nothing. Of several candidates the nearest counts, then the first."""
-    asked = facts.select("id", F.posexplode_outer(grounding_candidates()).alias("place", "said")).withColumn("term", C.norm(F.col("said")))
-    found = asked.join(close(asked.select("term"), names), "term", "left")
-    best = F.min(F.when(F.col("name").isNotNull(), F.struct("distance", "place", "name"))).alias("b")
-    return found.groupBy("id").agg(best, F.count("said").alias("n")).select("id", F.when(F.col("n") > 0, F.col("b").isNotNull()).alias("grounded"), "b.name", "b.distance")
+    is null where it may be called nothing. Of several candidates the nearest counts, then the first.
+
+    Lists of candidates are made distinct and judged once each, so facts are neither exploded nor sorted.
+    """
+    asked = facts.select("id", grounding_candidates().alias("said"))
+    lists = materialize(asked.select("said").filter(F.size("said") > 0).distinct(), "candidates")
+    each = lists.select("said", F.posexplode("said").alias("place", "one")).withColumn("term", C.norm(F.col("one")))
+    found = each.join(close(each.select("term"), names), "term")
+    best = found.groupBy("said").agg(F.min(F.struct("distance", "place", "name")).alias("b"))
+    named = F.size(F.array_compact("said")) > 0
+    return asked.join(best, "said", "left").select("id", F.when(named, F.col("b").isNotNull()).alias("grounded"), "b.name", "b.distance")
 
 
 #: Characters of a text by which a part of it is found.

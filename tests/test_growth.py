@@ -3,7 +3,7 @@
 import datetime
 
 
-from carefold.operators import checks
+from carefold.operators import checks, terms
 from carefold.plans import clinic
 from carefold.storage import shared_dir
 from carefold.streaming import reconcile
@@ -36,3 +36,11 @@ def test_orders_are_not_broadcast(spark):
     allergies = spark.createDataFrame([(3, 1, datetime.date(2020, 1, 1), "penicillin", "rash", "")], "patient_id long, allergy_id long, allergy_from date, substance string, reaction string, severity string")
     found = checks.conflicts(drugs, allergies)
     assert "BroadcastHashJoin" not in plan(found) and [r.patient_id for r in found.collect()] == [3]
+
+
+def test_equal_candidates_are_judged_once(spark):
+    facts = spark.range(1000).selectExpr("id", "'Medication' AS resource_type", "CASE WHEN id % 2 = 0 THEN 'amoxicilin' END AS value", "CAST(NULL AS STRING) AS drug", "CAST(NULL AS STRING) AS substance", "CAST(NULL AS STRING) AS analyte", "CAST(NULL AS STRING) AS condition")
+    out = terms.ground(facts, spark.createDataFrame([("amoxicillin",)], "name string"))
+    assert "/candidates-" in plan(out) and "posexplode_outer" not in plan(out)
+    got = {(r.id % 2, r.grounded, r.name, r.distance) for r in out.collect()}
+    assert got == {(0, True, "amoxicillin", 1), (1, None, None, None)}

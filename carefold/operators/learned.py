@@ -6,8 +6,9 @@ the closed vocabulary has not are left out, so learning never makes a class.
 
 A drug is looked up by its name, then by its words in turn; a condition by its name, then by the longest known term
 within it, of equally long ones the vocabulary's first, then by its text. At each step what is learned comes before the
-vocabulary. Names are few against facts: they are made distinct before anything is looked up, and a fact meets the one
-version of each term that held on its day.
+vocabulary. Names are few against facts: names, and names with a day, are made distinct before anything is looked up.
+What a term was on a day is read off its rows and the days asked in order, so a term's number of versions never multiplies
+the rows.
 
 Defined results: names and terms are compared as ``functions.clinical.norm`` has them; facts without a name, a day or a
 known kind have no class; rows of ``learned`` without a term, a class or a day count as not there; extra columns of
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from carefold import vocabulary as V
 from carefold.functions import clinical as C
 from carefold.operators.terms import within
+from carefold.storage import materialize
 
 DRUG, CONDITION = "drug", "condition"
 CLASSES = {DRUG: sorted(V.DRUG_CLASSES), CONDITION: sorted(V.HEREDITARY)}
@@ -59,15 +61,25 @@ def _asked(names: DataFrame, terms: DataFrame) -> DataFrame:
     return whole.unionByName(drugs).unionByName(of_vocabulary).unionByName(of_learned).distinct()
 
 
+def _on(asked: DataFrame, of: DataFrame) -> DataFrame:
+    """(kind, term, day, said): for distinct (kind, term, day) of ``asked`` the class that held of the term, if any did."""
+    begins = of.select("kind", "term", F.col("since").alias("day"), "class", F.lit(False).alias("is_asked"))
+    rows = begins.unionByName(asked.select("kind", "term", "day").distinct().select("*", F.lit(None).cast("string").alias("class"), F.lit(True).alias("is_asked")))
+    until = Window.partitionBy("kind", "term").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("said", F.last("class", ignorenulls=True).over(until)).filter("is_asked AND said IS NOT NULL").select("kind", "term", "day", "said")
+
+
 def classify_on(facts: DataFrame, learned: DataFrame) -> DataFrame:
     """``facts`` (id, kind, name, day) with class and was_learned, as of each fact's day."""
     of = versions(learned)
-    keyed = facts.select("id", "kind", C.norm(F.col("name")).alias("name"), "day").filter("name <> '' AND day IS NOT NULL")
+    named = C.norm(F.col("name"))
+    keyed = materialize(facts.select("kind", named.alias("name"), "day").filter("name <> '' AND day IS NOT NULL").distinct(), "asked-names")
     asked = _asked(keyed.select("kind", "name").distinct(), of)
-    met = keyed.join(asked, ["kind", "name"])
-    held = (met["kind"] == of["kind"]) & (met["term"] == of["term"]) & (of["since"] <= met["day"]) & (of["until"].isNull() | (met["day"] < of["until"]))
-    met = met.join(of, held, "left").select("id", met["kind"], "place", met["term"], F.col("class").alias("said"))
+    met = materialize(keyed.join(asked, ["kind", "name"]), "asked-terms")
+    met = met.join(_on(met, of), ["kind", "term", "day"], "left")
     known = F.coalesce(*[F.when(F.col("kind") == kind, _lookup(entries, F.col("term"))) for kind, entries in _KNOWN.items()])
     found = met.withColumn("known", known).withColumn("class", F.coalesce("said", "known")).filter("class IS NOT NULL")
     best = F.min(F.struct("place", F.col("known").isNull().alias("new"), "term", "class", F.col("said").isNotNull().alias("was_learned"))).alias("b")
-    return facts.join(found.groupBy("id").agg(best), "id", "left").select(*facts.columns, F.col("b.class").alias("class"), F.coalesce("b.was_learned", F.lit(False)).alias("was_learned"))
+    best = found.groupBy(F.col("kind").alias("of_kind"), F.col("name").alias("of_name"), F.col("day").alias("of_day")).agg(best)
+    same = (facts["kind"] == best["of_kind"]) & (C.norm(facts["name"]) == best["of_name"]) & (facts["day"] == best["of_day"])
+    return facts.join(best, same, "left").select(*facts.columns, F.col("b.class").alias("class"), F.coalesce("b.was_learned", F.lit(False)).alias("was_learned"))

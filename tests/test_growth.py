@@ -3,7 +3,7 @@
 import datetime
 
 
-from carefold.operators import checks, terms
+from carefold.operators import checks, learned, terms
 from carefold.plans import clinic
 from carefold.storage import shared_dir
 from carefold.streaming import reconcile
@@ -44,3 +44,13 @@ def test_equal_candidates_are_judged_once(spark):
     assert "/candidates-" in plan(out) and "posexplode_outer" not in plan(out)
     got = {(r.id % 2, r.grounded, r.name, r.distance) for r in out.collect()}
     assert got == {(0, True, "amoxicillin", 1), (1, None, None, None)}
+
+
+def test_versions_of_a_term_do_not_multiply_rows(spark):
+    """Versions meet the days asked in a window; none of them is joined by a range of days."""
+    known = spark.range(500).selectExpr("'drug' AS kind", "'zornil' AS term", "CASE WHEN id % 2 = 0 THEN 'statin' ELSE 'nsaid' END AS class", "DATE '2000-01-01' + CAST(2 * id AS INT) AS day", "id AS seq")
+    facts = spark.range(1100).selectExpr("id", "'drug' AS kind", "'Zornil' AS name", "DATE '1999-12-31' + CAST(id AS INT) AS day")
+    out = learned.classify_on(facts, known)
+    assert "since" not in plan(out).split("Window")[0]
+    got = {r.id: r["class"] for r in out.collect()}
+    assert got == {i: None if i < 1 else "statin" if min((i - 1) // 2, 499) % 2 == 0 else "nsaid" for i in range(1100)}

@@ -55,13 +55,19 @@ _BUNDLE = """
     FROM v_fact"""
 
 
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders are dealt out before texts are made of them, as a file of them is few tasks' work."""
+    facts = run(spark, sf_dir, "SELECT * FROM v_fact").repartition("id")
+    return spark.sql(_BUNDLE.replace("FROM v_fact", "FROM {facts}"), facts=facts)
+
+
 def fhir_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fhir.assertions(run(spark, sf_dir, _BUNDLE)).filter("resource_type = 'LabResult'")
+    found = fhir.assertions(_bundles(spark, sf_dir)).filter("resource_type = 'LabResult'")
     return found.select("id", "subject", F.col("reading").cast("double").cast("long").alias("reading"), "unit", "flag", "valid_from", "patient_ref")
 
 
 def fhir_family_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fhir.assertions(run(spark, sf_dir, _BUNDLE)).filter("resource_type = 'FamilyHistory'")
+    found = fhir.assertions(_bundles(spark, sf_dir)).filter("resource_type = 'FamilyHistory'")
     return found.select("id", "subject", "relation", F.col("age_at_onset").cast("long").alias("age_at_onset"), "valid_from")
 
 

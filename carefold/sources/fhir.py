@@ -68,7 +68,7 @@ def _by(kind: Column, values: dict[str, str]) -> Column:
 
 def resources(texts: DataFrame, places: bool = False) -> DataFrame:
     """The input's columns and ``r``, one variant per resource, bundles taken apart; with ``places`` also their ``place``."""
-    parsed = texts.withColumn("_v", F.try_parse_json("value")).filter("_v IS NOT NULL")
+    parsed = texts.withColumn("_v", F.try_parse_json("value"))  # a filter here would parse every text twice
     entries = F.coalesce(_get(F.col("_v"), "$.entry", "array<variant>"), F.array().cast("array<variant>"))
     own = F.transform(entries, lambda e: _get(e, "$.resource", "variant"))
     is_bundle = F.coalesce(_get(F.col("_v"), "$.resourceType") == "Bundle", F.lit(False))
@@ -84,14 +84,13 @@ def assertions(texts: DataFrame, today: Column | None = None) -> DataFrame:
     patient_ref. A family history gives one row per condition of the relative, none without conditions.
     """
     kept = [c for c in texts.columns if c != "value"]
-    r, c = F.col("r"), F.col("c")
-    kind = _get(r, "$.resourceType")
+    r, c, kind, type_ = F.col("r"), F.col("c"), F.col("_kind"), F.col("_type")
     per = F.when(kind == "FamilyMemberHistory", _each(r, "$.condition")).otherwise(F.array("r"))
-    rows = resources(texts).filter(kind.isin(*KINDS)).withColumn("c", F.explode(per))
+    rows = resources(texts).withColumn("_kind", _get(r, "$.resourceType")).filter(kind.isin(*KINDS)).withColumn("c", F.explode(per))
     measured = _get(r, "$.valueQuantity", "variant").isNotNull()
-    type_ = F.when((kind == "Observation") & ~measured, "Lifestyle").otherwise(_by(kind, {k: t for k, (t, _, _) in KINDS.items()}))
-    state = F.when(kind.startswith("Medication"), F.lower(_get(r, "$.status"))).otherwise(_state(r, "clinicalStatus"))
-    ended = F.lit(False)
+    rows = rows.withColumn("_type", F.when((kind == "Observation") & ~measured, "Lifestyle").otherwise(_by(kind, {k: t for k, (t, _, _) in KINDS.items()})))
+    in_state = F.when(kind.startswith("Medication"), F.lower(_get(r, "$.status"))).otherwise(_state(r, "clinicalStatus"))
+    state, ended = F.col("_state"), F.lit(False)
     for k, (_, _, states) in KINDS.items():
         ended = F.when(kind == k, state.isin(states) if states else F.lit(False)).otherwise(ended)
     name = (
@@ -100,11 +99,15 @@ def assertions(texts: DataFrame, today: Column | None = None) -> DataFrame:
         .when(kind == "FamilyMemberHistory", _label(c, "code"))
         .otherwise(_label(r, "code"))
     )
-    name = F.coalesce(F.lower(F.trim(name)), F.when(type_ == "Lifestyle", "observation").otherwise(_by(kind, {k: d for k, (_, d, _) in KINDS.items()})))
+    called = F.coalesce(F.lower(F.trim(name)), F.when(type_ == "Lifestyle", "observation").otherwise(_by(kind, {k: d for k, (_, d, _) in KINDS.items()})))
     reading = F.coalesce(_get(r, "$.valueQuantity.value", "double").cast("string"), _get(r, "$.valueString"), _label(r, "valueCodeableConcept"))
     reactions = _each(r, "$.reaction")
     manifest = F.transform(reactions, lambda x: F.array_join(F.filter(F.transform(_each(x, "$.manifestation"), lambda m: _label(m)), lambda m: F.coalesce(m, F.lit("")) != ""), ", "))
     who = F.coalesce(*[_get(r, f"$.{w}", "variant") for w in ("recorder", "asserter", "requester")])
+    date = F.coalesce(*[F.nullif(_get(r, f"$.{d}"), F.lit("")) for d in _DATES])
+    # What functions look at again and again is a column of its own, taken from the variant once.
+    rows, name = rows.withColumns({"_state": in_state, "_name": called, "_date": date, "_who": who}), F.col("_name")
+    who = F.col("_who")
     out = rows.select(
         *kept,
         type_.alias("resource_type"),
@@ -121,7 +124,7 @@ def assertions(texts: DataFrame, today: Column | None = None) -> DataFrame:
         F.coalesce(_first(F.transform(reactions, lambda x: _get(x, "$.severity"))), _get(r, "$.criticality")).alias("severity"),
         state.alias("status"),
         F.coalesce(*[F.nullif(_get(who, f"$.{p}"), F.lit("")) for p in ("display", "reference")], F.lit("unknown")).alias("author"),
-        coerce_date(F.coalesce(*[F.nullif(_get(r, f"$.{d}"), F.lit("")) for d in _DATES]), today=today).alias("valid_from"),
+        coerce_date(F.col("_date"), today=today).alias("valid_from"),
         F.regexp_extract(F.coalesce(_get(r, "$.subject.reference"), _get(r, "$.patient.reference"), F.lit("")), r"([^/]*)$", 1).alias("patient_ref"),
     )
     return out

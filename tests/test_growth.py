@@ -2,9 +2,11 @@
 
 import datetime
 
+from pyspark.sql import functions as F
 
 from carefold.operators import checks, learned, terms
-from carefold.plans import clinic
+from carefold.plans import clinic, frames
+from carefold.sources import fhir
 from carefold.storage import shared_dir
 from carefold.streaming import reconcile
 
@@ -54,3 +56,11 @@ def test_versions_of_a_term_do_not_multiply_rows(spark):
     assert "since" not in plan(out).split("Window")[0]
     got = {r.id: r["class"] for r in out.collect()}
     assert got == {i: None if i < 1 else "statin" if min((i - 1) // 2, 499) % 2 == 0 else "nsaid" for i in range(1100)}
+
+
+def test_texts_are_parsed_once(spark):
+    texts = spark.createDataFrame([(1, '{"resourceType": "Condition", "code": {"text": " Asthma "}}'), (2, "no json"), (3, None)], "id long, value string")
+    out = fhir.assertions(texts, F.to_date(F.lit("2024-01-01")))
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parse") == 1
+    assert [(r.id, r.subject) for r in out.collect()] == [(1, "asthma")]
+    assert "hashpartitioning(id" in plan(frames.fhir_observation(spark, "/root/testdata/sf0.001"))

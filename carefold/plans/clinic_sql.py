@@ -242,7 +242,8 @@ QUERIES = {
         JOIN o_ledger l ON l.patient_id = d.patient_id AND l.valid_from <= d.day AND (l.valid_to IS NULL OR l.valid_to > d.day)""",
     "ledger_active": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from FROM o_ledger WHERE status = 'active'",
     "ledger_history": "SELECT patient_id, subject, id, CAST(value AS VARCHAR) AS value, valid_from, valid_to, status, superseded_by FROM o_ledger",
-    "supersession_chain": "SELECT id, chain, position, length FROM o_rank",
+    "supersession_chain": "SELECT start, step, id FROM o_chain",
+    "supersession_rank": "SELECT id, chain, position, length FROM o_rank",
     "reconcile_islands": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from, valid_to, superseded_by, status, percent AS confidence_percent FROM o_ledger",
     "reconcile_contested": "SELECT id, patient_id, subject, CAST(value AS VARCHAR) AS value, valid_from, percent / 100 AS confidence FROM o_ledger WHERE status = 'contested'",
     "reconcile_classified": "SELECT id, patient_id, subject, cls AS classification, target FROM o_verdict",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carefold.functions import clinical as C
 from carefold.operators import conversation, evidence, identity, intake, ledger, provenance
+from carefold.plans import clinic
 
 SAID = "id long, patient_id long, subject string, value string, valid_from date"
 
@@ -60,6 +61,15 @@ def test_chains(spark):
     assert got == sorted(want + [(60, 0, 60), (70, 0, 70), (80, 0, 80)])
 
 
+def test_chain_query_has_every_later_fact(spark):
+    """A row for each fact and each one that came after it, not only a fact's place."""
+    sf_dir = "/root/testdata/sf0.001"
+    places = {r.id: r for r in clinic.QUERIES["supersession_rank"](spark, sf_dir).collect()}
+    got = clinic.QUERIES["supersession_chain"](spark, sf_dir)
+    assert got.columns == ["start", "step", "id"]
+    assert got.count() == sum(r.length - r.position + 1 for r in places.values()) > len(places)
+
+
 def test_ranked(spark):
     """A long chain, a cycle and what leads into it, a fact that points to itself, one that points nowhere, one alone, two with one successor."""
     links = [(i, i + 1) for i in range(3000)] + [(3000, None), (4001, 4002), (4002, 4003), (4003, 4001), (4000, 4001), (4010, 4010), (4020, 9999), (4030, None), (4040, 4042), (4041, 4042), (4042, None), (4043, 4040)]

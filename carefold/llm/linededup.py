@@ -29,6 +29,9 @@ from carefold.llm._common import ASCII_SPACE, join_with_hot_keys, materialize, r
 
 MIN_CHARS = 10
 
+#: Rows whose lines or texts a task holds at a time, beside the batch that they come in.
+ROWS = 1024
+
 #: Stands for a null doc_id in comparisons.
 NO_ID = -(1 << 63)
 
@@ -44,11 +47,17 @@ def line_keys(text: str, min_chars: int) -> tuple[list[int], list[bytes]]:
     return at, hashes
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, row, pos, h): the lines of at least ``min_chars`` code points; h is a 128-bit hash of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             of, at, hashes = [], [], []
             for i, text in enumerate(batch.column("text")):
                 places, found = line_keys(text.as_py(), min_chars)
@@ -102,7 +111,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             columns = batch.column("r").flatten()
             texts = columns[at]
             new = [
@@ -120,7 +129,7 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     joined = _joined(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, texts = batch.column("r").flatten()
             out = [_without(t.as_py(), d.as_py()) for t, d in zip(texts, batch.column("positions"), strict=True)]
             yield pa.record_batch(

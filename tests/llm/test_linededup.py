@@ -58,3 +58,11 @@ def test_empty(spark):
 def test_like_sql(spark, query, sql):
     sf = "/root/testdata/sf0.001"
     assert_same(query(spark, sf), connect(sf), sql)
+
+
+def test_a_task_holds_few_rows_at_a_time():
+    """A batch of 10,000 rows is taken in pieces, in order and without loss."""
+    batch = pa.record_batch([pa.array(range(10_000))], ["doc"])
+    pieces = list(linededup._pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in pieces) == linededup.ROWS
+    assert [x for p in pieces for x in p.column("doc").to_pylist()] == list(range(10_000))

@@ -3,7 +3,10 @@
 Method: SimHash first, then an exact set-similarity join by prefixes for what it can't see. At a Jaccard similarity of
 0.8, fingerprints of 64 bits differ in about 10 bits and often in 15: no limit that an index can search finds all such
 pairs and no others. So the Gray-order index of ``simhash`` links the fingerprints that differ in a few bits, which
-gives each document a leader to be compared with; the join then finds every similar pair that is left. Shingles get
+gives each document a leader, the least set of its group. A fingerprint counts a shingle as often as it stands in the
+text, so documents are compared to their leaders by their shingles with repeats, too: such near copies (a passage many
+times over, with another end) are found by SimHash alone, as the join compares sets. The join then finds every pair of
+similar sets that is left. Shingles get
 one order for all documents, rare before common. Two sets at 0.8 or more share a shingle among the first
 ``n - ceil(0.8 n) + 1`` of either, so only those meet in a shuffle, and every pair found there is compared by its whole
 sets. The order of common shingles comes from a bounded sample; it decides how many pairs meet, never which are found.
@@ -18,7 +21,9 @@ two more, one of each shingle being such. Of what meets again only pairs that ar
 bound in the task are compared.
 
 Defined results: as in ``simhash.one_of_each``; texts of fewer words than a shingle are one shingle, texts without
-words are copies of each other. Shingles and sets are told apart by 64-bit hashes.
+words are copies of each other. Near copies are two documents whose sets are similar, or one and its leader by SimHash
+whose shingles with repeats are; of documents with equal sets the least doc_id stands for all in the latter. Shingles
+and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carefold.llm import simhash
-from carefold.llm._arrays import U64
+from carefold.llm._arrays import U64, mix, ragged
 from carefold.llm._bitmap import bitmap_of
 from carefold.llm._common import join_with_hot_keys, materialize, rows_as, sliced, text_key
 
@@ -93,6 +98,20 @@ def similar(a: Column, b: Column) -> Column:
     return (p + q) * F.size(F.array_intersect(a, b)) >= p * (F.size(a) + F.size(b))
 
 
+def repeats(every: np.ndarray) -> np.ndarray:
+    """A number for each time but the first that a shingle stands in a text, the same in all texts."""
+    gram, n = np.unique(every, return_counts=True)
+    gram, n = gram[n > 1], n[n > 1] - 1
+    nth = ragged(np.ones(len(n), dtype=np.int64), n)
+    return mix(np.repeat(gram, n) ^ mix(nth.astype(U64))).view(np.int64)
+
+
+def similar_with_repeats(a: Column, b: Column, more_a: Column, more_b: Column) -> Column:
+    p, q = SIMILAR
+    both = F.size(F.array_intersect(a, b)) + F.size(F.array_intersect(more_a, more_b))
+    return (p + q) * both >= p * (F.size(a) + F.size(b) + F.size(more_a) + F.size(more_b))
+
+
 def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), simhash.SEED)
 
@@ -144,7 +163,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _grams(docs: DataFrame, sets: DataFrame, sids: DataFrame) -> DataFrame:
-    """(sid, grams) of the sets named in ``sids``, and maybe of some others."""
+    """(sid, grams, more) of the sets named in ``sids``, and maybe of some others; more are the repeats of a set's least document."""
     one = sets.select("sid", "doc_id", "tk").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tk")).alias("at"))
     named = materialize(one.select(F.xxhash64("at.doc_id", "at.tk").alias("name")), "near-ids")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(named, "name"))
@@ -152,12 +171,16 @@ def _grams(docs: DataFrame, sets: DataFrame, sids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = np.flatnonzero(shared.value.has(batch.column("name").to_numpy().view(U64)))
-            grams = [shingles(batch.column("text")[i].as_py()) for i in wanted.tolist()]
+            every = [simhash.shingle_hashes(batch.column("text")[i].as_py(), SHINGLE) for i in wanted.tolist()]
+            grams = [np.unique(h.view(np.int64)) for h in every]
             sid = np.array([set_id(g) for g in grams], dtype=U64).view(np.int64)
-            yield pa.record_batch([pa.array(sid), _lists(grams)], ["sid", "grams"])
+            at = [batch.column(c).take(pa.array(wanted)) for c in ("doc_id", "tk")]
+            yield pa.record_batch([pa.array(sid), *at, _lists(grams), _lists([repeats(h) for h in every])], ["sid", "doc_id", "tk", "grams", "more"])
 
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text_key(F.col("text").cast("string"))).alias("name"), F.col("text").cast("string"))
-    return materialize(rows.mapInArrow(run, "sid long, grams array<long>").dropDuplicates(["sid"]), "near-grams")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text").cast("string")).alias("tk"))
+    rows = rows.withColumn("name", F.xxhash64("doc_id", "tk")).mapInArrow(run, "sid long, doc_id long, tk long, grams array<long>, more array<long>")
+    least = rows.groupBy("sid").agg(F.min_by(F.struct("grams", "more"), F.struct("doc_id", "tk")).alias("r"))
+    return materialize(least.select("sid", "r.*"), "near-grams")
 
 
 def _meetings(keyed: DataFrame) -> DataFrame:
@@ -267,23 +290,30 @@ def _pairs(of: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
 
-def _similar_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+def _similar_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, sketches: DataFrame, led: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v) whose sets are similar, and those of ``led`` (u, v) whose shingles with repeats are, too."""
 
     def of(rows: DataFrame, side: str) -> DataFrame:
         return rows.select(*[F.col(c).alias(side if c == "sid" else f"{c}_{side}") for c in rows.columns])
 
     drawn = pairs.join(of(sketches, "v"), "v").join(of(sketches, "u"), "u")
-    maybe = drawn.filter(maybe_similar(F.col("sketch_u"), F.col("sketch_v"), F.col("n_u"), F.col("n_v"))).select("u", "v")
+    maybe = drawn.filter(maybe_similar(F.col("sketch_u"), F.col("sketch_v"), F.col("n_u"), F.col("n_v")))
+    maybe = maybe.select("u", "v", F.lit(False).alias("led"))
+    if led is not None:
+        maybe = maybe.unionByName(led.select("u", "v", F.lit(True).alias("led"))).groupBy("u", "v").agg(F.max("led").alias("led"))
     maybe = materialize(maybe, "near-maybe")
     grams = _grams(docs, sets, maybe.select(F.explode(F.array("u", "v")).alias("sid")).distinct())
     both = maybe.join(of(grams, "v"), "v").join(of(grams, "u"), "u")
-    return both.filter(similar(F.col("grams_u"), F.col("grams_v"))).select("u", "v")
+    repeated = F.col("led") & similar_with_repeats(*[F.col(f"{c}_{side}") for c in ("grams", "more") for side in "uv"])
+    return both.filter(similar(F.col("grams_u"), F.col("grams_v")) | repeated).select("u", "v")
 
 
 def _simhash_leaders(sets: DataFrame) -> DataFrame:
-    """(sid, lead): the least set among those whose fingerprints the Gray-order index connects."""
-    prints = materialize(sets.select("fp", "sid").distinct(), "near-prints")
+    """(sid, lead): the least set among those whose fingerprints the Gray-order index connects.
+
+    A set's fingerprint is that of its least document.
+    """
+    prints = materialize(sets.groupBy("sid").agg(F.min(F.struct("doc_id", "tk", "fp")).alias("at")).select("at.fp", "sid"), "near-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("sid").alias("least")), "near-nodes")
     linked = simhash.components(simhash.links(nodes.select("fp")), "near-links").withColumnRenamed("u", "fp")
     rooted = materialize(nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-groups")
@@ -301,9 +331,9 @@ def roots(docs: DataFrame, sets: DataFrame) -> DataFrame:
     p, q = SIMILAR
     led = met.filter("sid <> lead").filter((q * F.col("n") >= p * F.col("lead_n")) & (q * F.col("lead_n") >= p * F.col("n")))
     led = led.groupBy("sid").agg(F.min("lead").alias("a"), F.max("lead").alias("b"))
-    led = led.select("sid", F.explode(F.array_distinct(F.array("a", "b"))).alias("lead")).unionByName(_simhash_leaders(sets))
-    pairs = led.select(F.greatest("sid", "lead").alias("u"), F.least("sid", "lead").alias("v")).filter("u <> v").distinct()
-    found = _similar_pairs(docs, sets, pairs, sketches)
+    led = led.select("sid", F.explode(F.array_distinct(F.array("a", "b"))).alias("lead"))
+    pairs, by_prints = (x.select(F.greatest("sid", "lead").alias("u"), F.least("sid", "lead").alias("v")).filter("u <> v").distinct() for x in (led, _simhash_leaders(sets)))
+    found = _similar_pairs(docs, sets, pairs, sketches, by_prints)
     known = materialize(simhash.components(found, "near-links").withColumnRenamed("u", "sid"), "near-known")
     rooted = met_sets.join(known, "sid", "left").select("key", F.coalesce("root", "sid").alias("root"), "sid", "n")
     rooted = materialize(rooted, "near-rooted")

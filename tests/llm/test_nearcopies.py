@@ -86,5 +86,22 @@ def test_a_similarity_of_just_four_fifths(spark):
     assert sorted(r.doc_id for r in got.collect()) == kept(rows) == [1, 3]
 
 
+def test_simhash_decides_by_repeats(spark):
+    """A passage many times over with another end: the sets differ, the shingles with repeats don't."""
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    ends = [f"{' '.join([words('p', 20)] * times)} {words(x, 15)}" for x, times in (("a", 40), ("b", 40), ("c", 40), ("d", 4))]
+    rows = [(5, ends[0]), (3, ends[1]), (4, ends[2]), (9, ends[3]), (7, words("a", 15)), (8, ends[0].upper())]
+    assert kept(rows) == [3, 4, 5, 7, 9]  # by sets alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.one_of_each(docs).collect()) == [3, 7, 9]
+
+
+def test_repeats_are_items_of_their_own():
+    every = np.array([5, 9, 5, 5, 1, 9], dtype=np.uint64)
+    assert len(nearcopies.repeats(every)) == len(set(nearcopies.repeats(every).tolist())) == 3
+    assert set(nearcopies.repeats(every[:3]).tolist()) < set(nearcopies.repeats(every).tolist())
+    assert len(nearcopies.repeats(every[:2])) == len(nearcopies.repeats(every[:0])) == 0
+
+
 def test_no_documents(spark):
     assert nearcopies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -16,6 +16,9 @@ from carefold.functions import clinical as C
 IMAGES = ["png", "jpg", "jpeg", "webp", "heic", "heif", "tif", "tiff", "bmp", "gif"]
 RESOURCES = ["Bundle", "AllergyIntolerance", "MedicationStatement", "MedicationRequest", "Condition", "Observation", "FamilyMemberHistory"]
 
+#: What facts take from their document.
+OF_DOCUMENT = ("patient_id", "doc_date", "author", "title", "text")
+
 ASSERTION = (
     "resource_type", "subject", "predicate", "value", "date", "source", "analyte", "reading", "unit", "ref_range", "abnormal_flag", "drug", "substance", "reaction",
     "severity", "condition", "relation", "age_at_onset", "relative_name", "relative_dob", "relative_mrn", "factor", "factor_value",
@@ -105,9 +108,13 @@ def assertions(rows: DataFrame, default_date: Column, source: Column) -> DataFra
 def facts_of(documents: DataFrame, asserted: DataFrame, today: Column | None = None) -> DataFrame:
     """Facts of documents: ``documents`` (doc_id, patient_id, doc_date, author, title, text), ``asserted`` (doc_id, subject,
     predicate, value, date, source, resource_type and attributes). Dates and sources fall back to the document's."""
-    met = asserted.join(documents.select("doc_id", "patient_id", "doc_date", "author", "title", "text"), "doc_id")
+    return facts_with(asserted.join(documents.select("doc_id", *OF_DOCUMENT), "doc_id"), today)
+
+
+def facts_with(met: DataFrame, today: Column | None = None) -> DataFrame:
+    """As ``facts_of``, of assertions that have their document's columns already (OF_DOCUMENT)."""
     own = {"subject": C.norm(F.col("subject")), "predicate": C.norm(F.col("predicate")), "value": F.trim("value")}
-    kept = [c for c in asserted.columns if c not in {"doc_id", "date", "source", "resource_type", *own}]
+    kept = [c for c in met.columns if c not in {"doc_id", *OF_DOCUMENT, "date", "source", "resource_type", *own}]
     return met.select(
         "patient_id", *[v.alias(k) for k, v in own.items()], C.coerce_date(F.col("date"), F.col("doc_date"), today).alias("valid_from"),
         F.trim(F.coalesce(C.filled(F.col("source"), F.col("author")), F.lit("unknown"))).alias("source"), F.coalesce("text", F.lit("")).alias("raw_text"),

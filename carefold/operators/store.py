@@ -1,7 +1,8 @@
 """A stored table with one row for each key, whose merges rewrite only what they touch.
 
 Rows lie in buckets by a hash of their key. A version is a manifest, a small file that names the data files of each
-bucket. A merge reads the buckets of its keys, writes these anew under a folder of its own, and publishes the next
+bucket. A merge reads the keys in the buckets of its own, writes those buckets anew that have one of them, adds files to
+the others, under a folder of its own, and publishes the next
 manifest by a rename that fails if another writer was first; until then readers see the version before. Nothing is
 changed in place: older versions can be read until ``vacuum``, and a merge that fails leaves nothing but files that no
 manifest names.
@@ -24,6 +25,10 @@ from pyspark.sql.types import StructType
 from carefold.storage import hadoop_path, materialize
 
 
+#: A bucket of more files is written anew by the next merge that touches it.
+MAX_FILES = 16
+
+
 class Conflict(RuntimeError):
     """Another writer published the next version first."""
 
@@ -104,8 +109,11 @@ class KeyedTable:
         key, buckets, schema = manifest["key"], manifest["buckets"], StructType.fromJson(manifest["schema"])
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
         cells = [(F.col(f"`{f.name}`") if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        rows = changes.select(F.struct(*cells).alias("r"), (F.struct(*cells) if order is None else F.struct(order, F.struct(*cells))).alias("o"))
-        rows = rows.groupBy(F.col(f"r.`{key}`").alias(key)).agg(F.max_by("r", "o").alias("r"))
+        r = F.struct(*cells)
+        if order is None:
+            rows = changes.select(r.alias("r")).groupBy(F.col(f"r.`{key}`").alias(key)).agg(F.max("r").alias("r"))
+        else:
+            rows = changes.select(F.struct(order, r.alias("r")).alias("o")).groupBy(F.col(f"o.r.`{key}`").alias(key)).agg(F.max("o").alias("o")).select(key, "o.r")
         if deleted is not None:
             gone = deleted.select(F.col(key).cast(schema[key].dataType).alias(key)).distinct().select(key, F.lit(None).cast(schema).alias("r"))
             rows = rows.unionByName(gone).groupBy(key).agg(F.when(F.count("*") == F.count("r"), F.max("r")).alias("r"))
@@ -113,18 +121,31 @@ class KeyedTable:
         touched = sorted(r[0] for r in due.select("_bucket").distinct().collect())  # at most the number of buckets
         if not touched:
             return manifest["version"]
-        old = self._rows(manifest, [f for b in touched for f in manifest["files"].get(str(b), [])])
+        named = {b: manifest["files"].get(str(b), []) for b in touched}
         changed = due.select(F.col(key).alias("_key"))
+        anew = {b for b in touched if len(named[b]) > MAX_FILES} | self._met(manifest, [f for names in named.values() for f in names], changed, bucket)
+        old = self._rows(manifest, [f for b in sorted(anew) for f in named[b]])
         stay = old.join(changed, old[key].eqNullSafe(changed["_key"]), "left_anti").select(*(F.col(f"`{f.name}`") for f in schema))
-        new = stay.unionByName(due.filter("r IS NOT NULL").select("r.*"))
+        new = due.filter("r IS NOT NULL").select("r.*")
+        new = stay.unionByName(new) if anew else new
         folder = f"data/{uuid.uuid4().hex}"
-        new.withColumn("_bucket", bucket).repartition(len(touched), "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        dealt = new.withColumn("_bucket", bucket).repartitionById(len(touched), F.pmod("_bucket", F.lit(len(touched))))
+        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         written = self._listed(folder)
-        files = {b: names for b, names in manifest["files"].items() if int(b) not in touched} | written
+        files = {b: names for b, names in manifest["files"].items() if int(b) not in anew}
+        files |= {b: files.get(b, []) + names for b, names in written.items()}
         batches = manifest.get("batches", {}) | ({} if batch is None else {batch[0]: batch[1]})
         self._publish(manifest | {"version": manifest["version"] + 1, "files": files, "batches": batches})
         return manifest["version"] + 1
 
+    def _met(self, manifest: dict, files: list[str], changed: DataFrame, bucket: Column) -> set[int]:
+        """The buckets in which a row has one of the changed keys; only keys are read."""
+        if not files:
+            return set()
+        old = self._rows(manifest, files).select(manifest["key"])
+        met = old.join(changed, old[manifest["key"]].eqNullSafe(changed["_key"]), "left_semi")
+        return {r[0] for r in met.select(bucket).distinct().collect()}
+
     def _listed(self, folder: str) -> dict[str, list[str]]:
         """The data files under a folder, by bucket."""
         found: dict[str, list[str]] = {}

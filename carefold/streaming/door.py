@@ -41,8 +41,8 @@ class Door:
         """One batch of documents."""
         hashed = documents.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256))
         new = materialize(hashed.join(self.index.read().select("hash"), "hash", "left_anti"), "door-documents")
-        said = new.select(F.col("doc_id"), F.explode("found").alias("f")).select("doc_id", "f.*")
-        made = intake.facts_of(new, intake.assertions(said, F.lit(""), self.source), self.today).withColumn("status", F.lit("active"))
+        said = new.filter("doc_id IS NOT NULL").select("doc_id", *intake.OF_DOCUMENT, F.explode("found").alias("f")).select("doc_id", *intake.OF_DOCUMENT, "f.*")
+        made = intake.facts_with(intake.assertions(said, F.lit(""), self.source), self.today).withColumn("status", F.lit("active"))
         made = materialize(made, "door-facts")
         self.facts.merge(made, batch=batch)
         kin = identity.relatives(made.withColumn("relative_dob", F.to_date(F.try_to_timestamp("relative_dob"))))

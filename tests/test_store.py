@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from carefold.operators import store
 from carefold.operators.store import Conflict, KeyedTable
 from carefold.storage import shared_dir
 
@@ -48,6 +49,20 @@ def test_merges_in_turn(spark, table):
     assert [r.v for r in table.lookup(spark.createDataFrame([(3,), (7,)], "k long")).orderBy("k").collect()] == ["b", None]
 
 
+def test_new_keys_leave_files_as_they_are(spark, table, monkeypatch):
+    """Rows of new keys are put beside the others; a bucket is written anew for a known key, or of too many files."""
+    monkeypatch.setattr(store, "MAX_FILES", 2)
+    names = []
+    for i in range(4):
+        table.merge(rows(spark, *[(k, f"v{i}", i) for k in range(100 * i, 100 * i + 100)]))
+        names.append(table.manifest()["files"])
+    assert all(len(new) == len(old) + 1 and new[: len(old)] == old for a, b in zip(names[:2], names[1:3], strict=True) for old, new in ((a[x], b[x]) for x in a))
+    assert {len(x) for x in names[3].values()} == {1}
+    assert held(table) == {k: (f"v{k // 100}", k // 100) for k in range(400)}
+    table.merge(rows(spark, (5, "other", 9)), deleted=spark.createDataFrame([(1000,)], "k long"))
+    assert sum(table.manifest()["files"][x] != names[3][x] for x in names[3]) == 1 and held(table)[5] == ("other", 9) and len(held(table)) == 400
+
+
 def test_like_a_dictionary(spark, table):
     rnd, want = random.Random(5), {}
     for _ in range(4):

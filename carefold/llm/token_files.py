@@ -81,7 +81,7 @@ def from_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if is_null else doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=10).astype("<u4")
 
 
-class Words(dict):
+class Words:
     """Ids of a piece of text by the tokenizers library, remembered per worker; of bounded size.
 
     The strings of special tokens are cut out of a text first, as the library does; pieces are then free of them.
@@ -90,6 +90,7 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.memo: dict[str, bytes] = {}  # a plain one, as sets look pieces up in it fast
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
@@ -103,20 +104,22 @@ class Words(dict):
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, piece: str) -> bytes:
+    def _of(self, piece: str) -> bytes:
+        if (packed := self.memo.get(piece)) is not None:
+            return packed
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return self._put(piece, np.array(ids, dtype="<u4").tobytes())
 
     def _put(self, piece: str, packed: bytes) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+        if len(self.memo) >= MEMO_ENTRIES:
+            self.memo.clear()
         if len(piece) <= 64:
-            self[piece] = packed
+            self.memo[piece] = packed
         return packed
 
     def learn(self, pieces: list[str], narrow: bool) -> None:
         """Remember the ids of new pieces; those of letters only, in a ``narrow`` text, are words and go as one text."""
-        new = [p for p in set(pieces) if p not in self]
+        new = set(pieces).difference(self.memo)
         if narrow and (letters := [p for p in new if p.isalpha()]):
             found = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0]
             ids = np.array(found.ids, dtype="<u4")
@@ -124,11 +127,14 @@ class Words(dict):
             for piece, end in zip(letters, ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist(), strict=True):
                 self._put(piece, data[at:end])
                 at = end
-            new = [p for p in new if not p.isalpha()]
+            new = new.difference(letters)
+        new = list(new)
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self._put(piece, np.array(found.ids, dtype="<u4").tobytes())
 
     def encode(self, text: str) -> np.ndarray:
+        if not any(s in text for s in self.special):
+            return np.frombuffer(self._plain(text), dtype="<u4")
         out, at = [], 0
         for m in self.cut.finditer(text):
             out += [self._plain(text[at : m.start()]), self.special[m[0]]]
@@ -139,7 +145,10 @@ class Words(dict):
     def _plain(self, text: str) -> bytes:
         pieces, narrow = split(text)
         self.learn(pieces, narrow)
-        return b"".join(map(self.__getitem__, pieces))
+        try:
+            return b"".join(map(self.memo.__getitem__, pieces))
+        except KeyError:  # long pieces are not remembered, and others may be forgotten by now
+            return b"".join(map(self._of, pieces))
 
 
 @cache

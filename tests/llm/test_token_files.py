@@ -44,6 +44,15 @@ def test_some_texts(library, text):
     assert token_files.words(PATH).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_memory_is_bounded_and_decides_nothing(library, monkeypatch):
+    """Looked up in a plain dict, which sets need for a fast look; full, it is cleared in the middle of a text."""
+    monkeypatch.setattr(token_files, "MEMO_ENTRIES", 3)
+    coder = token_files.Words(PATH)
+    for text in ("one two three four five six one", "x" * 100 + " one 12 don't", "seven<|endoftext|>one eight nine ten", "漢 one"):
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert type(coder.memo) is dict and len(coder.memo) <= 3
+
+
 def test_frames():
     data = token_files.frame(b"one") + token_files.frame(b"")
     payload, at = token_files.unframe(data, 0)
